@@ -30,6 +30,7 @@ from .shared import LOWER, U64, chained, cut, mix, span_hashes, text_slices, wor
 BUCKET_BITS = 20
 CHUNK = 1 << 16
 PARITY = 1024
+ID_BITS = 23
 #: Rows of a list that are compared with each other at once; longer lists go block against block.
 BLOCK = 2048
 
@@ -74,7 +75,7 @@ def fingerprints(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _sets_and_counts(width: int) -> Callable:
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("counts", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bits", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -91,11 +92,11 @@ def _sets_and_counts(width: int) -> Callable:
                 once[first] = True
                 total += np.bincount((sets[np.repeat(once, n)] >> U64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total)).astype(np.int32)
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1, np.int32)), batch.column(0).slice(lo, m), pa.array(n), pa.array(fp1), pa.array(fp2), pa.nulls(m, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1, np.int32)), batch.column(0).slice(lo, m), pa.array(n), pa.array(fp1), pa.array(fp2), pa.array([x.tobytes() for x in parities(sets, at)], pa.binary()), pa.nulls(m, pa.binary())], schema=schema)
         kinds = [k for k in range(len(total) // CHUNK) if total[k * CHUNK : (k + 1) * CHUNK].any()]
         if kinds:
             m = len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), *[pa.nulls(m, pa.int64())] * 4, pa.array([zlib.compress(total[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1) for k in kinds], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), *[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.binary()), pa.array([zlib.compress(total[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1) for k in kinds], pa.binary())], schema=schema)
 
     return run
 
@@ -167,19 +168,61 @@ def parities(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketches(width: int) -> Callable:
+def _id_bits(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(U64)) >> U64(64 - ID_BITS)).astype(np.int64)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's ids as a bitmap of 2**ID_BITS bits, in parts."""
+    import zlib
+
+    seen = np.zeros(1 << ID_BITS, bool)
+    for batch in batches:
+        seen[_id_bits(batch.column(0).to_numpy())] = True
+    parts = np.packbits(seen).reshape(16, -1)
+    kinds = np.flatnonzero(parts.any(1))
+    if len(kinds):
+        yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in kinds], pa.binary())], ["kind", "bits"])
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zlib
+
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(zlib.decompress(raw), np.uint8)
+            total[k] = total[k] | own if k in total else own
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["kind", "bits"])
+
+
+def _whole_sets(width: int, marked: np.ndarray) -> Callable:
+    """(doc_id, fp, grams) of the documents whose id is marked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(marked[_id_bits(batch.column(0).to_numpy(zero_copy_only=False))]))
             for lo, hi, data, offsets in text_slices(batch.column(0), batch.column(1)):
                 sets, at = shingle_sets(data, offsets, width)
-                fp1, _ = fingerprints(sets, at)
-                bits = parities(sets, at)
                 raw = [sets[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fp1), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "fp", "bits", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fingerprints(sets, at)[0]), pa.array(raw, pa.binary())], ["doc_id", "fp", "grams"])
 
     return run
 
 
+def _sets_of(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The sets of the documents in pairs, from a bitmap of their ids (of fixed size) held against all documents:
+    texts are not shuffled. What the bitmap lets pass by chance finds no partner in the exact joins that follow."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    parts = ids.mapInArrow(_marked, "kind int, bits binary").repartition(16, "kind").mapInArrow(_united, "kind int, bits binary").collect()
+    marked = np.zeros((16, 1 << ID_BITS >> 7), np.uint8)
+    for k, raw in parts:
+        marked[k] |= np.frombuffer(raw, np.uint8)
+    found = texts.where("doc_id is not null").mapInArrow(_whole_sets(width, np.unpackbits(marked.ravel()).astype(bool)), "doc_id long, fp long, grams binary")
+    return cut(found, "jaccard-near")
+
+
 # ---------------------------------------------------------------- lists
 
 
@@ -350,6 +393,7 @@ def _verify(threshold: int) -> Callable:
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs that link, verified with whole sets. A follower's set moves once for each of its pairs, a leader's once."""
+    sets = sets.join(pairs.select(F.col("a").alias("doc_id"), F.col("a_fp").alias("fp")).union(pairs.select("b", "b_fp")).distinct(), ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"])
     follower = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("fp").alias("b_fp"), "grams"), ["b", "b_fp"]).select("a", "a_fp", "b", "grams")
     leader = pairs.select("a", "a_fp").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("fp").alias("a_fp"), "grams"), ["a", "a_fp"]).select("a", "a_fp", F.lit(None).cast("long").alias("b"), "grams")
     stream = follower.unionByName(leader).repartition("a", "a_fp").sortWithinPartitions("a", "a_fp", F.col("b").asc_nulls_first())
@@ -370,7 +414,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: int = 90, id_
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text_"))
-    first = cut(texts.mapInArrow(_sets_and_counts(width), "kind int, doc_id long, n long, fp1 long, fp2 long, counts binary"), "jaccard-sets")
+    first = cut(texts.mapInArrow(_sets_and_counts(width), "kind int, doc_id long, n long, fp1 long, fp2 long, bits binary, counts binary"), "jaccard-sets")
     rows = first.where("kind = -1").select("doc_id", "n", "fp1", "fp2")
     parts = first.where("kind >= 0").select("kind", "counts").repartition(1 << BUCKET_BITS >> 16, "kind").mapInArrow(_summed, "kind int, counts binary").collect()  # 2**20 counts in all
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -380,23 +424,22 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: int = 90, id_
     lists = texts.where("doc_id is not null").mapInArrow(_postings(width, threshold, counts), "key long, n int, pos int, fp long, doc_id long")
     lists = lists.repartition("key").sortWithinPartitions("key", "n", "fp", "doc_id")
     shared = cut(lists.mapInArrow(_shared, "key long, n int, pos int, fp long, doc_id long"), "jaccard-lists")
-    # Sets and parities of the documents that share anything; the others are alone.
-    wanted = shared.select("doc_id", "fp").distinct()
-    near = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sketches(width), "doc_id long, fp long, bits binary, grams binary")
-    sets = cut(near.join(wanted, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"]), "jaccard-near")
-    bits = sets.select("doc_id", "fp", "bits", (F.octet_length("grams") / 8).cast("long").alias("n"))
+    bits = first.where("kind = -1 and doc_id is not null").select("doc_id", F.col("fp1").alias("fp"), "bits", "n").dropDuplicates(["doc_id", "fp"])
 
     ordered = shared.repartition("key").sortWithinPartitions("key", "n", "fp", "doc_id")
     stars = ordered.mapInArrow(_stars(threshold), "a long, a_fp long, b long, b_fp long").distinct()
     stars = _near_only(stars, bits, threshold)
-    links = cut(_links(stars, sets, threshold), "jaccard-links")
+    links = cut(_links(stars, _sets_of(stars, texts, width), threshold), "jaccard-links")
     known = connected_components(links, "jaccard-components")
 
     # Sets of one component have their answer; the others are looked at across components.
     labelled = shared.join(known, shared["doc_id"] == known["node"], "left").select("key", shared["n"], "pos", "fp", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    labelled = labelled.join(bits.drop("n"), ["doc_id", "fp"])
+    # Lists whose sets are all of one component have nothing left to ask.
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    labelled = labelled.join(mixed, "key", "left_semi").join(bits.drop("n"), ["doc_id", "fp"])
     across = labelled.repartition("key").sortWithinPartitions("key", "n", "fp", "doc_id").mapInArrow(_across(threshold), "a long, a_fp long, b long, b_fp long").distinct()
-    more = cut(_links(cut(across, "jaccard-pairs"), sets, threshold), "jaccard-links")
+    across = cut(across, "jaccard-pairs")
+    more = cut(_links(across, _sets_of(across, texts, width), threshold), "jaccard-links")
 
     # Equal sets: each row with the smallest id of its class.
     classes = rows.where("n > 0 and doc_id is not null")

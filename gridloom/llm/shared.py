@@ -2,49 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut  # noqa: F401  the operators take it from here
+
+
 U64 = np.uint64
 #: Whole documents are gathered up to this many bytes of text and then handled by numpy at once.
 SLICE_BYTES = 4 << 20
 
 
-# ---------------------------------------------------------------- lineage
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; where none is set (as in tests), a folder of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="gridloom-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(_remove_local, root.removeprefix("file://"))
-    return root
-
-
-def _remove_local(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared checkpoint folder and read it back: its lineage ends there, and
-    what it holds no longer depends on any executor."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # ---------------------------------------------------------------- Arrow text
 
 
