@@ -194,8 +194,9 @@ def training_statistics(docs: DataFrame, labels: DataFrame, label_column: str, i
     chosen = known.where("y_ = 0").orderBy(tag, "id_").limit(most_per_class).union(known.where("y_ = 1").orderBy(tag, "id_").limit(most_per_class))
     # At most 2 * most_per_class rows of two numbers: small whatever the labels' size.
     picked = docs.join(F.broadcast(chosen), docs[id_column].cast("long") == F.col("id_")).select(docs[id_column].alias("id__"), docs[text_column].alias("t__"), "y_")
-    found = statistics(picked, "id__", "t__", ["y_"]).where(~base_failed()).select("doc_id", "y_", *[c.alias(k + "_") for k, c in ratios().items()]).collect()
-    return [({k: r[k + "_"] for k in RATIOS}, 1 - r["y_"]) for r in sorted(found, key=lambda r: (r["doc_id"], *[r[k + "_"] for k in RATIOS]))]
+    # Rows that fail the base go here and not in a filter, which the optimizer would push through every step of the statistics.
+    found = statistics(picked, "id__", "t__", ["y_"]).select("doc_id", "y_", base_failed().alias("failed_"), *[c.alias(k + "_") for k, c in ratios().items()]).collect()
+    return [({k: r[k + "_"] for k in RATIOS}, 1 - r["y_"]) for r in sorted(found, key=lambda r: (r["doc_id"], *[r[k + "_"] for k in RATIOS])) if not r["failed_"]]
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", most_per_class: int = MOST_PER_CLASS) -> DataFrame:
