@@ -8,7 +8,7 @@ A document is the set of hashes of its n-grams. Equal sets are one class. The re
    passed over when its sizes are out of range or its positions leave too few n-grams behind them.
 3. Answer-level skipping: of every list, a leader takes the sets that follow it within its range of sizes.
    These few pairs are verified first. Sets linked to the same leader have the answer of their component;
-   the second pass only looks at pairs of different components, and a pair whose parities (1,024 bits a set)
+   the second pass only looks at pairs of different components, and a pair whose parities (512 bits a set)
    differ in more places than the threshold allows is rejected without its sets. Both are exact.
 4. What is left is verified with the whole sets. Components of the links are the answer.
 
@@ -29,7 +29,7 @@ from .shared import LOWER, U64, chained, cut, mix, span_hashes, text_slices, wor
 
 BUCKET_BITS = 20
 CHUNK = 1 << 16
-PARITY = 1024
+PARITY = 512
 ID_BITS = 23
 #: Rows of a list that are compared with each other at once; longer lists go block against block.
 BLOCK = 2048
@@ -154,11 +154,11 @@ def _postings(width: int, threshold: int, counts: np.ndarray) -> Callable:
 
 
 def parities(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each set 1,024 bits: whether an odd number of its n-grams falls on each. Each bit in which two sets differ
+    """For each set 512 bits: whether an odd number of its n-grams falls on each. Each bit in which two sets differ
     stands for at least one n-gram that only one of them has."""
     docs = len(at) - 1
     out = np.zeros((docs, PARITY // 8), np.uint8)
-    bit = (mix(sets * U64(0x2545F4914F6CDD1D)) >> U64(64 - 10)).astype(np.int64)
+    bit = (mix(sets * U64(0x2545F4914F6CDD1D)) >> U64(64 - 9)).astype(np.int64)
     step = 2048
     for k in range(0, docs, step):
         end = min(docs, k + step)
@@ -392,8 +392,8 @@ def _verify(threshold: int) -> Callable:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs that link, verified with whole sets. A follower's set moves once for each of its pairs, a leader's once."""
-    sets = sets.join(pairs.select(F.col("a").alias("doc_id"), F.col("a_fp").alias("fp")).union(pairs.select("b", "b_fp")).distinct(), ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"])
+    """The pairs that link, verified with whole sets. A follower's set moves once for each of its pairs, a leader's once. Should sets hold
+    a document twice (repeated rows), its pairs are looked at twice to the same end."""
     follower = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("fp").alias("b_fp"), "grams"), ["b", "b_fp"]).select("a", "a_fp", "b", "grams")
     leader = pairs.select("a", "a_fp").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("fp").alias("a_fp"), "grams"), ["a", "a_fp"]).select("a", "a_fp", F.lit(None).cast("long").alias("b"), "grams")
     stream = follower.unionByName(leader).repartition("a", "a_fp").sortWithinPartitions("a", "a_fp", F.col("b").asc_nulls_first())
@@ -434,8 +434,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: int = 90, id_
 
     # Sets of one component have their answer; the others are looked at across components.
     labelled = shared.join(known, shared["doc_id"] == known["node"], "left").select("key", shared["n"], "pos", "fp", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    # Lists whose sets are all of one component have nothing left to ask.
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    # Lists whose sets are all of one component have nothing left to ask, nor have lists of two: those were leader and follower.
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("key")
     labelled = labelled.join(mixed, "key", "left_semi").join(bits.drop("n"), ["doc_id", "fp"])
     across = labelled.repartition("key").sortWithinPartitions("key", "n", "fp", "doc_id").mapInArrow(_across(threshold), "a long, a_fp long, b long, b_fp long").distinct()
     across = cut(across, "jaccard-pairs")
