@@ -304,6 +304,12 @@ def _stars(threshold: int) -> Callable:
     return run
 
 
+def _fixed(column: pa.Array, words: int) -> np.ndarray:
+    """Binary values of equal size as rows of 64-bit words."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.uint64).reshape(len(column), words)
+
+
 def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
 
@@ -317,7 +323,7 @@ def _across(threshold: int) -> Callable:
             key = part["key"]
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             end = np.append(begin[1:], len(key))
-            bits = np.frombuffer(part["bits"].buffers()[2], np.uint64).reshape(len(key), PARITY // 64) if len(key) else None
+            bits = _fixed(part["bits"], PARITY // 64)
             found: list[np.ndarray] = []
             held = 0
             for s, e in zip(begin.tolist(), end.tolist(), strict=True):
