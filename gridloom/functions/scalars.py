@@ -45,21 +45,28 @@ def deviation_pct(pop: Column, ideal: Column) -> Column:
 
 
 def hilbert_index(x: Column, y: Column, side: int) -> Column:
-    """Place of (x, y) on the Hilbert curve over a side x side square, side a power of two. The bits are taken from the
-    highest down in one select per level, unrolled, so it stays one expression without a loop over rows."""
-    d: Column = F.lit(0).cast("long")
-    s = side // 2
-    x, y = x.cast("long"), y.cast("long")
-    while s:
-        rx = F.when(x.bitwiseAND(s) > 0, 1).otherwise(0)
-        ry = F.when(y.bitwiseAND(s) > 0, 1).otherwise(0)
-        d = d + F.lit(s * s).cast("long") * ((rx * 3).bitwiseXOR(ry))
-        flip = (ry == 0) & (rx == 1)
+    """Place of (x, y) on the Hilbert curve over a side x side square, side a power of two.
+
+    The bits are folded from the highest down. A fold over the levels keeps the expression small; written out, each level
+    would repeat the one above it twice."""
+    levels = []
+    while side > 1:
+        side //= 2
+        levels.append(F.lit(side).cast("long"))
+    if not levels:
+        return F.lit(0).cast("long")
+
+    def step(acc: Column, s: Column) -> Column:
+        ax, ay = acc["x"], acc["y"]
+        rx, ry = ax.bitwiseAND(s) > 0, ay.bitwiseAND(s) > 0
+        quarter = F.when(rx, F.when(ry, 2).otherwise(3)).otherwise(F.when(ry, 1).otherwise(0))
         # Only bits below s are read from here on; flipped against s - 1 they may go negative above.
-        fx, fy = F.when(flip, F.lit(s - 1) - x).otherwise(x), F.when(flip, F.lit(s - 1) - y).otherwise(y)
-        x, y = F.when(ry == 0, fy).otherwise(fx), F.when(ry == 0, fx).otherwise(fy)
-        s //= 2
-    return d
+        fx = F.when(ry, ax).when(rx, s - 1 - ay).otherwise(ay)
+        fy = F.when(ry, ay).when(rx, s - 1 - ax).otherwise(ax)
+        return F.struct(fx.alias("x"), fy.alias("y"), (acc["d"] + s * s * quarter).alias("d"))
+
+    start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+    return F.aggregate(F.array(*levels), start, step, lambda acc: acc["d"])
 
 
 def _albers_constants() -> tuple[float, float, float, float, float]:
