@@ -98,14 +98,18 @@ def to_albers(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 
 def to_lonlat(x: Column, y: Column, rounds: int = 6) -> tuple[Column, Column]:
-    """The inverse, by the series of a fixed number of steps for the latitude."""
+    """The inverse, by the series of a fixed number of steps for the latitude, folded so that the expression stays small."""
     e2, e, n, c, rho0 = _albers_constants()
     dy = F.lit(rho0) - y
-    rho = F.sqrt(x * x + dy * dy)
-    q = (F.lit(c) - (rho * F.lit(n / SEMI_MAJOR)) ** 2) / F.lit(n)
-    phi = F.asin(q / 2)
-    for _ in range(rounds):
+    rho2 = x * x + dy * dy
+    start = (F.lit(c) - rho2 * F.lit((n / SEMI_MAJOR) ** 2)) / F.lit(n)
+
+    def step(acc: Column, _: Column) -> Column:
+        phi, q = acc["phi"], acc["q"]
         s = F.sin(phi)
         one = 1 - F.lit(e2) * s * s
-        phi = phi + one * one / (2 * F.cos(phi)) * (q / F.lit(1 - e2) - s / one + F.lit(1 / (2 * e)) * F.log((1 - F.lit(e) * s) / (1 + F.lit(e) * s)))
+        more = one * one / (2 * F.cos(phi)) * (q / F.lit(1 - e2) - s / one + F.lit(1 / (2 * e)) * F.log((1 - F.lit(e) * s) / (1 + F.lit(e) * s)))
+        return F.struct((phi + more).alias("phi"), q.alias("q"))
+
+    phi = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.asin(start / 2).alias("phi"), start.alias("q")), step, lambda acc: acc["phi"])
     return F.lit(LON_0) + F.degrees(F.atan2(x, dy)) / F.lit(n), F.degrees(phi)

@@ -39,5 +39,5 @@ def plurality(votes: DataFrame) -> DataFrame:
     """(winner, districts): districts won; a tied district has the winner null. votes: (district, party, votes)."""
     d = votes.groupBy("district", "party").agg(F.sum("votes").alias("v"))
     top = d.groupBy("district").agg(F.max("v").alias("m"))
-    best = d.join(top, (d["district"] == top["district"]) & (d["v"] == top["m"])).groupBy(d["district"]).agg(F.count(F.lit(1)).alias("n"), F.min("party").alias("party"))
+    best = d.join(top, "district").where("v = m").groupBy("district").agg(F.count(F.lit(1)).alias("n"), F.min("party").alias("party"))
     return best.groupBy(F.when(F.col("n") == 1, F.col("party")).alias("winner")).agg(F.count(F.lit(1)).alias("districts"))

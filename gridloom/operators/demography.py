@@ -32,8 +32,8 @@ def seat_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 def growth(pops: DataFrame, before: str, after: str, n: int = 3) -> DataFrame:
     """(side, place, state, pct): the n fastest and slowest; ties by name."""
     g = pops.select("state", ((F.col(after) - F.col(before)) / F.col(before) * 100).alias("pct"))
-    up = g.orderBy(F.col("pct").desc(), "state").limit(n).select(F.lit("fastest").alias("side"), F.row_number().over(Window.orderBy(F.col("pct").desc(), "state")).alias("place"), "state", "pct")
-    down = g.orderBy("pct", "state").limit(n).select(F.lit("slowest").alias("side"), F.row_number().over(Window.orderBy("pct", "state")).alias("place"), "state", "pct")
+    up = g.orderBy(F.col("pct").desc(), "state").limit(n).select(F.lit("fastest").alias("side"), F.row_number().over(Window.orderBy(F.col("pct").desc(), "state")).cast("long").alias("place"), "state", "pct")
+    down = g.orderBy("pct", "state").limit(n).select(F.lit("slowest").alias("side"), F.row_number().over(Window.orderBy("pct", "state")).cast("long").alias("place"), "state", "pct")
     return up.unionByName(down)
 
 

@@ -53,7 +53,7 @@ def scores(stats: DataFrame, seats: DataFrame) -> DataFrame:
 def rank_arms(scored: DataFrame) -> DataFrame:
     """arm_rank within a state: eligible first, fewer irregular, higher mean ppn, fewer moves, smaller deviation, then name."""
     w = Window.partitionBy("state").orderBy(F.col("eligible").desc(), "irregular_count", F.col("mean_ppn").desc(), "repair_moves", "max_abs_dev_pct", "arm")
-    return scored.withColumn("arm_rank", F.row_number().over(w))
+    return scored.withColumn("arm_rank", F.row_number().over(w).cast("long"))
 
 
 def district_adjacency(assigned: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def hilbert_side(rows: int, cols: int) -> int:
 def hilbert_order(grid: DataFrame, side: int) -> DataFrame:
     """grid with key (place on the curve over side x side, x the column) and ord (0-based within the state)."""
     keyed = grid.withColumn("key", hilbert_index(F.col("c"), F.col("r"), side))
-    return keyed.withColumn("ord", F.row_number().over(Window.partitionBy("state").orderBy("key", "r", "c")) - 1)
+    return keyed.withColumn("ord", F.row_number().over(Window.partitionBy("state").orderBy("key", "r", "c")).cast("long") - 1)
 
 
 def band_width(grid: DataFrame, ideal: DataFrame) -> DataFrame:
@@ -31,11 +31,11 @@ def serpentine_order(grid: DataFrame, widths: DataFrame) -> DataFrame:
     """grid with ord: vertical bands of k0 columns, from the top in even bands and from the bottom in odd ones."""
     b = grid.join(F.broadcast(widths), "state").withColumn("band", F.floor(F.col("c") / F.col("k0")))
     w = Window.partitionBy("state").orderBy("band", F.when(F.col("band") % 2 == 0, F.col("r")).otherwise(-F.col("r")), "c")
-    return b.withColumn("ord", F.row_number().over(w) - 1).drop("band", "k0")
+    return b.withColumn("ord", F.row_number().over(w).cast("long") - 1).drop("band", "k0")
 
 
 def centre_order(grid: DataFrame) -> DataFrame:
     """grid with ord: by squared distance from the mean row and column, then row, column."""
     mean = grid.groupBy("state").agg(F.avg("r").alias("mr"), F.avg("c").alias("mc"))
     d = grid.join(F.broadcast(mean), "state").withColumn("d2", (F.col("r") - F.col("mr")) * (F.col("r") - F.col("mr")) + (F.col("c") - F.col("mc")) * (F.col("c") - F.col("mc")))
-    return d.withColumn("ord", F.row_number().over(Window.partitionBy("state").orderBy("d2", "r", "c")) - 1).drop("mr", "mc", "d2")
+    return d.withColumn("ord", F.row_number().over(Window.partitionBy("state").orderBy("d2", "r", "c")).cast("long") - 1).drop("mr", "mc", "d2")

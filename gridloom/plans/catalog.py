@@ -85,7 +85,7 @@ def _(v: Census) -> DataFrame:
     return m.join(F.broadcast(v.ideal()), "state").select("state", "max_cell", F.round(F.col("max_cell") / F.col("ideal"), 9).alias("share"))
 
 
-@query("block_probe", " SELECT state, count(*) AS n, count_if(pop > 0) AS populated, CAST(sum(pop) AS BIGINT) AS total, max(pop) AS largest FROM block GROUP BY state")
+@query("block_probe", " SELECT state, count(*) AS n, CAST(count_if(pop > 0) AS BIGINT) AS populated, CAST(sum(pop) AS BIGINT) AS total, max(pop) AS largest FROM block GROUP BY state")
 def _(v: Census) -> DataFrame:
     return v.blocks().groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pop") > 0).alias("populated"), F.sum("pop").cast("long").alias("total"), F.max("pop").alias("largest"))
 
@@ -518,7 +518,7 @@ def _(v: Census) -> DataFrame:
     return demography.worklist(o.select(F.col("o_custkey").alias("key")).distinct(), ledger)
 
 
-@query("national", _stats_sql("bands") + ", x AS (SELECT state, CAST(sum(pop) AS BIGINT) AS pop, max(CASE WHEN abs(deviation_pct) <= 50 THEN 'pass' WHEN state = 1 THEN 'flag' ELSE 'fail' END) AS v FROM stats GROUP BY state) SELECT CAST(sum(pop) AS BIGINT) AS pop, CAST(sum(resident_pop) AS BIGINT) AS resident_pop, count_if(v = 'pass') AS clean, count_if(v = 'flag') AS flagged, count_if(v = 'fail') AS failed, sum(pop) = sum(resident_pop) AS ok FROM x FULL JOIN resident USING (state)")
+@query("national", _stats_sql("bands") + ", x AS (SELECT state, CAST(sum(pop) AS BIGINT) AS pop, max(CASE WHEN abs(deviation_pct) <= 50 THEN 'pass' WHEN state = 1 THEN 'flag' ELSE 'fail' END) AS v FROM stats GROUP BY state) SELECT CAST(sum(pop) AS BIGINT) AS pop, CAST(sum(resident_pop) AS BIGINT) AS resident_pop, CAST(count_if(v = 'pass') AS BIGINT) AS clean, CAST(count_if(v = 'flag') AS BIGINT) AS flagged, CAST(count_if(v = 'fail') AS BIGINT) AS failed, sum(pop) = sum(resident_pop) AS ok FROM x FULL JOIN resident USING (state)")
 def _(v: Census) -> DataFrame:
     s = metrics.district_stats(v.bands(), v.ideal())
     return demography.national(s.withColumn("verdict", F.when(F.abs("deviation_pct") <= 50, "pass").when(F.col("state") == 1, "flag").otherwise("fail")), v.resident())
@@ -613,7 +613,7 @@ def _ballots(v: Census) -> DataFrame:
     return w.withColumn("rank", F.row_number().over(Window.partitionBy("evaluator").orderBy(F.col("score").desc(), "option")))
 
 
-@query("borda", BALLOT + " SELECT option, CAST(sum((SELECT count(DISTINCT option) FROM ballot) - rank) AS BIGINT) AS points, count_if(rank = 1) AS firsts FROM ballot GROUP BY option")
+@query("borda", BALLOT + " SELECT option, CAST(sum((SELECT count(DISTINCT option) FROM ballot) - rank) AS BIGINT) AS points, CAST(count_if(rank = 1) AS BIGINT) AS firsts FROM ballot GROUP BY option")
 def _(v: Census) -> DataFrame:
     return ballots.borda(_ballots(v))
 
