@@ -347,29 +347,43 @@ class Map:
                     queue.append(e)
         return None
 
+    def _grown(self, a: int, b: int, amount: float) -> tuple[list[Cell], int]:
+        """A piece of a of about so many people, grown from the border with b."""
+        border = sorted(k for k in self.cells[a] if any(self.district.get(j) == b for j in self.near(k)))
+        piece: list[Cell] = []
+        seen, queue, people = set(border), deque(border), 0
+        while queue:
+            k = queue.popleft()
+            if people > 0 and abs(people + self.pop[k] - amount) > abs(people - amount):
+                break
+            piece.append(k)
+            people += self.pop[k]
+            for j in sorted(self.near(k)):
+                if j in self.cells[a] and j not in seen:
+                    seen.add(j)
+                    queue.append(j)
+        return piece, people
+
     def _transfer(self, a: int, b: int, amount: float) -> bool:
-        """A piece of a of about so many people, grown from the border with b, that leaves a whole; halved until it does."""
+        """Give b a piece of a that leaves a whole, of half the people each time it does not. If none does, what the first piece
+        cuts off from the peopled rest goes with it: such a fragment touches the piece, so b stays whole."""
+        asked = amount
         while amount >= 1:
-            border = sorted(k for k in self.cells[a] if any(self.district.get(j) == b for j in self.near(k)))
-            piece: list[Cell] = []
-            seen, queue, people = set(border), deque(border), 0
-            while queue:
-                k = queue.popleft()
-                if people > 0 and abs(people + self.pop[k] - amount) > abs(people - amount):
-                    break
-                piece.append(k)
-                people += self.pop[k]
-                for j in sorted(self.near(k)):
-                    if j in self.cells[a] and j not in seen:
-                        seen.add(j)
-                        queue.append(j)
+            piece, people = self._grown(a, b, amount)
             if people > 0 and self.whole_without(a, set(piece)):
-                for k in piece:
-                    self.move(k, b)
-                self.moves += len(piece)
-                return True
+                break
             amount /= 2
-        return False
+        else:
+            piece, people = self._grown(a, b, asked)
+            rest = self.pieces(self.cells[a] - set(piece))
+            if not rest or not people:
+                return False
+            keep = max(range(len(rest)), key=lambda i: (sum(self.pop[k] for k in rest[i]), len(rest[i]), -i))
+            piece += [k for i, part in enumerate(rest) if i != keep for k in part]
+        for k in piece:
+            self.move(k, b)
+        self.moves += len(piece)
+        return True
 
 
 def repair(pop: dict[Cell, int], district: dict[Cell, int], seats: int, ideal: float, bridges: Iterable[tuple[Cell, Cell]] = ()) -> Map:
