@@ -261,8 +261,8 @@ def test_half_up_of_negatives(spark):
 
 
 def test_equal_priorities_go_to_the_larger_then_by_name(spark):
-    got = demography.apportion(spark.createDataFrame([("B", 100), ("A", 100), ("C", 300)], "state string, pop long"), 6)
-    assert {r.state: r.seats for r in got.collect()} == {"A": 2, "B": 1, "C": 3}
+    got = demography.apportion(spark.createDataFrame([("B", 100), ("A", 100), ("C", 300)], "state string, pop long"), 7)
+    assert {r.state: r.seats for r in got.collect()} == {"A": 2, "B": 1, "C": 4}
 
 
 def test_equal_proportions_one_by_one(spark):
