@@ -83,7 +83,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        step = np.full(max(n, SLICE_BYTES + 1), U64(base), U64)
+        step = np.full(max(n + n // 2, 1 << 16), U64(base), U64)
         step[0] = U64(1)
         _powers[base] = have = np.multiply.accumulate(step)
     return have[:n]

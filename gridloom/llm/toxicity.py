@@ -80,15 +80,12 @@ class Words:
         return out / np.array([3, 3, 3, 3, 3, 1], np.float32)
 
 
-def _log_odds(words: list[Words], labels: np.ndarray) -> list[np.ndarray]:
-    size, tables = 1 << BITS, []
-    n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
-    for k in range(4):
-        seen = np.zeros((2, size))
-        for w, y in zip(words, labels, strict=True):
-            seen[y, np.unique(w.bucket if k == 0 else w.grams[k - 1][0])] += 1
-        odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-        total = seen.sum(0)
+def _log_odds(seen: np.ndarray, texts: np.ndarray) -> list[np.ndarray]:
+    """seen: (tables, 2, buckets) texts of each class that hold a bucket; texts: how many there are of each class."""
+    tables = []
+    for own in seen:
+        odds = np.log((own[1] + 0.5) / (texts[1] + 1)) - np.log((own[0] + 0.5) / (texts[0] + 1))
+        total = own.sum(0)
         tables.append(np.clip(odds * total / (total + 3), -2, 6).astype(np.float32))
     return tables
 
@@ -201,28 +198,36 @@ def learn(rows: list[tuple[str, int]], seed: int = 7) -> tuple[Network, list[np.
     labels = np.array([y for _, y in rows], np.int64)
     if len(set(labels.tolist())) < 2:
         return None
-    words = []
-    for text, _ in rows:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        words.append(Words(raw, np.array([0, len(raw)])))
     r = np.random.default_rng(seed)
     fold = np.empty(len(rows), np.int64)
     for y in (0, 1):
         own = np.flatnonzero(labels == y)
         fold[own] = r.permutation(len(own)) % 2
-    features: list[np.ndarray] = [np.empty(0)] * len(rows)
-    for k in (0, 1):
-        other = np.flatnonzero(fold != k)
-        tables = _log_odds([words[i] for i in other], labels[other])
-        for i in np.flatnonzero(fold == k):
-            features[i] = words[i].features(tables)
-    sizes = np.array([len(w.word) for w in words])
+
+    def words(i: int) -> Words:
+        raw = np.frombuffer(rows[i][0].encode(), np.uint8)
+        return Words(raw, np.array([0, len(raw)]))
+
+    # Texts are read twice, once to count and once for their inputs, so that only counts and inputs are held.
+    seen = np.zeros((2, 4, 2, 1 << BITS), np.float32)
+    for i, y in enumerate(labels):
+        w = words(i)
+        for k, buckets in enumerate([w.bucket, *(g for g, _ in w.grams)]):
+            seen[fold[i], k, y, np.unique(buckets)] += 1
+    number = np.array([[((labels == y) & (fold == k)).sum() for y in (0, 1)] for k in (0, 1)], float)
+    tables = [_log_odds(seen[1 - k], number[1 - k]) for k in (0, 1)]
+    inputs, sizes = [], np.zeros(len(rows), np.int64)
+    for i in range(len(rows)):
+        w = words(i)
+        inputs.append(w.features(tables[fold[i]])[w.word])
+        sizes[i] = len(w.word)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    x = np.concatenate([f[w.word] for f, w in zip(features, words, strict=True)] + [np.zeros((1, INPUTS), np.float32)]).astype(np.float32)
+    x = np.concatenate([*inputs, np.zeros((1, INPUTS), np.float32)]).astype(np.float32, copy=False)
+    del inputs
     first, size, text = windows(offsets)
     net = Network(seed)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-    tick, at = 0, np.arange(len(x) - 1)
+    tick = 0
     rounds = min(30, max(3, 12000 // len(rows)))  # about as many steps whatever the number of rows
     ends = np.flatnonzero(np.append(text[1:] != text[:-1], True))
     begins = np.concatenate([[0], ends[:-1] + 1])
@@ -235,7 +240,10 @@ def learn(rows: list[tuple[str, int]], seed: int = 7) -> tuple[Network, list[np.
             peak = np.append(x[:, :4].max(1), 0)
             score = np.array([peak[a : a + n].max() if n else 0 for a, n in zip(first, size, strict=True)], np.float32)
         else:
-            score = net.logits(x[:-1], at, first, size)
+            score = np.empty(len(first), np.float32)
+            for k in range(0, len(first), 4096):
+                lo, hi = int(first[k]), int((first + size)[k : k + 4096].max())
+                score[k : k + 4096] = net.logits(x[lo:hi], np.arange(hi - lo), first[k : k + 4096] - lo, size[k : k + 4096])
         top = np.array([a + int(score[a : b + 1].argmax()) for a, b in zip(begins, ends, strict=True)])
         others = begins + (r.random(len(begins)) * (ends - begins + 1)).astype(int)
         use = np.concatenate([top, others[labels == 0]])
@@ -254,7 +262,7 @@ def learn(rows: list[tuple[str, int]], seed: int = 7) -> tuple[Network, list[np.
                 m += 0.1 * (value - m)
                 v += 0.01 * (value * value - v)
                 net.p[name] -= (rate * (m / (1 - 0.9**tick)) / (np.sqrt(v / (1 - 0.99**tick)) + 1e-7)).astype(np.float32)
-    return net, _log_odds(words, labels)
+    return net, _log_odds(seen.sum(0), number.sum(0))
 
 
 def score_texts(model: tuple[Network, list[np.ndarray]] | None, texts: pa.Array) -> np.ndarray:
