@@ -8,8 +8,8 @@ A document is the set of hashes of its n-grams. Equal sets are one class. The re
    passed over when its sizes are out of range or its positions leave too few n-grams behind them.
 3. Answer-level skipping: of every list, a leader takes the sets that follow it within its range of sizes.
    These few pairs are verified first. Sets linked to the same leader have the answer of their component;
-   the second pass only looks at pairs of different components, and a pair whose parities (512 bits a set)
-   differ in more places than the threshold allows is rejected without its sets. Both are exact.
+   the second pass only looks at pairs of different components, and a pair whose parities
+   (at least 512 bits a set, about a bit an n-gram) differ in more places than the threshold allows is rejected without its sets. Both are exact.
 4. What is left is verified with the whole sets. Components of the links are the answer.
 
 Links inside a component that follow from others are not listed: no pair within a group of copies is expanded.
@@ -92,7 +92,7 @@ def _sets_and_counts(width: int) -> Callable:
                 once[first] = True
                 total += np.bincount((sets[np.repeat(once, n)] >> U64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total)).astype(np.int32)
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1, np.int32)), batch.column(0).slice(lo, m), pa.array(n), pa.array(fp1), pa.array(fp2), pa.array([x.tobytes() for x in parities(sets, at)], pa.binary()), pa.nulls(m, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1, np.int32)), batch.column(0).slice(lo, m), pa.array(n), pa.array(fp1), pa.array(fp2), pa.array(parities(sets, at), pa.binary()), pa.nulls(m, pa.binary())], schema=schema)
         kinds = [k for k in range(len(total) // CHUNK) if total[k * CHUNK : (k + 1) * CHUNK].any()]
         if kinds:
             m = len(kinds)
@@ -153,21 +153,27 @@ def _postings(width: int, threshold: int, counts: np.ndarray) -> Callable:
     return run
 
 
-def parities(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each set 512 bits: whether an odd number of its n-grams falls on each. Each bit in which two sets differ
-    stands for at least one n-gram that only one of them has."""
-    docs = len(at) - 1
-    out = np.zeros((docs, PARITY // 8), np.uint8)
-    bit = (mix(sets * U64(0x2545F4914F6CDD1D)) >> U64(64 - 9)).astype(np.int64)
-    step = 2048
-    for k in range(0, docs, step):
-        end = min(docs, k + step)
-        doc = np.repeat(np.arange(end - k), np.diff(at[k : end + 1]))
-        odd = np.bincount(doc * PARITY + bit[at[k] : at[end]], minlength=(end - k) * PARITY) & 1
-        out[k:end] = np.packbits(odd.astype(np.uint8).reshape(-1, PARITY), axis=1)
+def parities(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set the parities of its n-grams on PARITY bits, or on as many as it has n-grams (the next power of two):
+    each bit in which two sets differ stands for at least one n-gram that only one of them has. Folding the
+    halves of a row of bits onto each other gives the row of half the size."""
+    spread = mix(sets * U64(0x2545F4914F6CDD1D)).view(np.int64)
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        size = max(PARITY, 1 << max(0, b - a - 1).bit_length())
+        odd = np.bincount(spread[a:b] & (size - 1), minlength=size) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
     return out
 
 
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A row of parities on so many bytes."""
+    row = np.frombuffer(bits, np.uint8)
+    while len(row) > size:
+        row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+    return row
+
+
 def _id_bits(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(U64)) >> U64(64 - ID_BITS)).astype(np.int64)
 
@@ -304,12 +310,6 @@ def _stars(threshold: int) -> Callable:
     return run
 
 
-def _fixed(column: pa.Array, words: int) -> np.ndarray:
-    """Binary values of equal size as rows of 64-bit words."""
-    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.uint64).reshape(len(column), words)
-
-
 def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
 
@@ -323,7 +323,7 @@ def _across(threshold: int) -> Callable:
             key = part["key"]
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             end = np.append(begin[1:], len(key))
-            bits = _fixed(part["bits"], PARITY // 64)
+            bits = np.stack([folded(x, PARITY // 8) for x in part["bits"].to_pylist()]).view(np.uint64)
             found: list[np.ndarray] = []
             held = 0
             for s, e in zip(begin.tolist(), end.tolist(), strict=True):
@@ -444,7 +444,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: int = 90, id_
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("key")
     labelled = labelled.join(mixed, "key", "left_semi").join(bits.drop("n"), ["doc_id", "fp"])
     across = labelled.repartition("key").sortWithinPartitions("key", "n", "fp", "doc_id").mapInArrow(_across(threshold), "a long, a_fp long, b long, b_fp long").distinct()
-    across = cut(across, "jaccard-pairs")
+    across = _near_only(across, bits, threshold)
     more = cut(_links(across, _sets_of(across, texts, width), threshold), "jaccard-links")
 
     # Equal sets: each row with the smallest id of its class.
@@ -463,9 +463,12 @@ def _near_only(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("x", "y"))
             n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            ok = _differ(x, y) <= n + m - 2 * overlap_needed(n, m, threshold)
+            apart = np.empty(len(batch), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                size = min(len(x), len(y))
+                apart[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()
+            ok = apart <= n + m - 2 * overlap_needed(n, m, threshold)
             yield batch.select(["a", "a_fp", "b", "b_fp"]).filter(pa.array(ok))
 
     one = pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("fp").alias("a_fp"), F.col("bits").alias("x"), "n"), ["a", "a_fp"])
