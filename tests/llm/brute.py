@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import math
 import re
 
 import numpy as np
@@ -75,3 +76,38 @@ def statistics(text: str | None) -> tuple[int, int, int, int, int]:
     seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
     covered = {k for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for k in range(i, i + 8)}
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def backoff_scores(train: list[list], texts: list[list], least: int = 2, discount: float = 0.75) -> list[float]:
+    """log10 probability of each text (words, then None for its end) by absolute discounting over whole words."""
+    n = [collections.Counter() for _ in range(4)]
+    histories = [collections.Counter() for _ in range(3)]
+    for ws in train:
+        padded = ["<s>", "<s>", *ws]
+        for i in range(2, len(padded)):
+            for order in (1, 2, 3):
+                n[order][tuple(padded[i - order + 1 : i + 1])] += 1
+                histories[order - 1][tuple(padded[i - order + 1 : i])] += 1
+    kept = [collections.defaultdict(float) for _ in range(3)]
+    for order in (2, 3):
+        for gram, count in n[order].items():
+            if count >= least:
+                kept[order - 1][gram[:-1]] += count - discount
+    total, distinct = sum(n[1].values()), len(n[1])
+
+    def p(gram: tuple) -> float:
+        if len(gram) == 1:
+            return (n[1][gram] + 1) / (total + distinct + 1)
+        history = gram[:-1]
+        lower = p(gram[1:])
+        if not kept[len(history)][history]:
+            return lower
+        times = histories[len(history)][history]
+        own = (n[len(gram)][gram] - discount) / times if n[len(gram)][gram] >= least else 0.0
+        return own + (1 - kept[len(history)][history] / times) * lower
+
+    out = []
+    for ws in texts:
+        padded = ["<s>", "<s>", *ws]
+        out.append(sum(math.log10(p(tuple(padded[i - 2 : i + 1]))) for i in range(2, len(padded))))
+    return out

@@ -136,6 +136,22 @@ def test_language_model(spark):
     assert lm_scoring.score_documents(docs.limit(0)).collect() == []
 
 
+def test_language_model_keeps_rare_words_as_history(spark):
+    r = np.random.default_rng(8)
+    common = [f"w{i}" for i in (r.zipf(1.3, 6000) % 900)]
+    rows = [(i, " ".join(common[i * 20 : i * 20 + int(r.integers(0, 20))])) for i in range(300)]
+    # Words and an n-gram far below 1/1,000 of the tokens, in training texts of several blocks.
+    rows = [(i, f"{text} zyx wvu tsr" if i in (1, 130, 290) else text) for i, text in rows] + [(None, ""), (400, None), (1000, "zyx wvu tsr zyx wvu")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {g.doc_id: g for g in lm_scoring.score_documents(docs).collect()}
+    texts = {i: (text or "").lower().split() + [None] for i, text in rows}
+    want = brute.backoff_scores([ws for i, ws in texts.items() if not got[i].held_out], list(texts.values()))
+    for i, score in zip(texts, want, strict=True):
+        assert got[i].score == pytest.approx(score)
+    again = {g.doc_id: g.score for g in lm_scoring.score_documents(docs.coalesce(1)).collect()}
+    assert again == pytest.approx({i: g.score for i, g in got.items()})
+
+
 def test_automaton_walk_and_sums():
     r = np.random.default_rng(5)
     k = 9
