@@ -3,7 +3,7 @@
 Every source's documents are cut into blocks. With weight w (a whole number of W, the sum over the sources that
 still have blocks), block k of a source may start no earlier than slot floor(k*W/w) and must be done by
 slot ceil((k+1)*W/w). Earliest-deadline-first over these windows gives every slot to one block; then after
-every slot each source has its target share to within less than one block. The windows repeat every W
+every slot each source has the share of its whole weight to within less than one block. The windows repeat every W
 slots, so one period is scheduled, whatever the number of blocks. When a source is used up the other
 sources go on with their weights, from a new period. So all documents are kept, each once, and the
 order is the mix.
@@ -13,20 +13,36 @@ from __future__ import annotations
 
 import heapq
 from fractions import Fraction
+from math import gcd, lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import rank_within
 
-#: Weights are rounded to whole numbers of this sum, so a period has about as many slots.
+#: Weights that are whole numbers of at most this sum, up to a common factor, are exact. Others are rounded to whole
+#: numbers of this sum. A period has as many slots.
 RESOLUTION = 10_000
 
 
+def exact_weights(weights: dict[str | None, float], most: int = RESOLUTION) -> dict[str | None, int] | None:
+    """The least whole numbers in the ratio of the weights, if their sum is at most `most`. A float is the simplest fraction that reads as it."""
+    found = {k: next((y for y in (x.limit_denominator(most), x) if float(y) == float(w)), x) for k, w in weights.items() for x in [Fraction(w)]}
+    scale = lcm(*(x.denominator for x in found.values()))
+    whole = {k: int(x * scale) for k, x in found.items()}
+    common = gcd(*whole.values())
+    whole = {k: x // common for k, x in whole.items()}
+    return whole if sum(whole.values()) <= most else None
+
+
 def whole_weights(weights: dict[str | None, float], resolution: int = RESOLUTION) -> dict[str | None, int]:
-    """Weights as whole numbers of sum resolution (largest remainders), each at least 1."""
+    """Weights as whole numbers: exact if they have such of a sum of at most resolution, else of sum resolution (largest
+    remainders), each at least 1. Shares of rounded weights are off by up to 1/resolution, and by more where a weight is raised to 1."""
     if any(not w > 0 or w == float("inf") for w in weights.values()):
         raise ValueError("weights must be positive and finite")
+    exactly = exact_weights(weights, resolution)
+    if exactly:
+        return exactly
     total = sum(Fraction(w) for w in weights.values())
     exact = {k: Fraction(w) * resolution / total for k, w in weights.items()}
     out = {k: max(1, int(x)) for k, x in exact.items()}

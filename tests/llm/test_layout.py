@@ -69,6 +69,21 @@ def test_mix_keeps_rows_with_nulls_and_clashes(spark):
         mixing.mix(docs.drop("rank_"), {"s0": 0.0})
 
 
+@pytest.mark.parametrize("weights", [dict.fromkeys([f"s{i}" for i in range(21)], 1.0), {"a": 0.1, "b": 0.2, "c": 0.7}, {"a": 1.0, "b": 1 / 3}, {"a": 3.0, "b": 1e-3 * 7}])
+def test_rational_weights_are_exact(weights):
+    own = mixing.whole_weights(weights)
+    total = sum(weights.values())
+    for k, w in weights.items():
+        assert own[k] / sum(own.values()) == pytest.approx(w / total, rel=1e-12)
+    # The schedule stays within a block of the target however long it is.
+    slots = 10_000_000
+    parts = mixing.phases(dict.fromkeys(weights, slots), own)
+    for source, lo, hi, start, period, places in parts:
+        if start == 0:
+            run = slots // period * len(places) + sum(p < slots % period for p in places)
+            assert abs(run - slots * weights[source] / total) < 1
+
+
 # ---------------------------------------------------------------- packing
 
 
