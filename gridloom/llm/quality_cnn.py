@@ -19,19 +19,24 @@ from .labelled import training_rows
 from .shared import held_out_mod, text_slices
 
 WIDTH, STRIDE, HALF, FILTERS, DENSE = 8, 2, 256, 16, 16
+ROW = HALF + WIDTH
 LOW = np.float32(-1e30)
 
 
 def _laid(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts in half-chunks of HALF bytes: (bytes with WIDTH zeros behind, bytes of text in each half, each text's first half)."""
+    """Texts in half-chunks of HALF bytes: (a row a half and the WIDTH bytes behind it, zeros behind the text; bytes of text in each half, each text's first half)."""
     sizes = np.diff(offsets)
     halves = np.maximum(1, -(-sizes // HALF))
     first = np.concatenate([[0], np.cumsum(halves)])
-    out = np.zeros(int(first[-1]) * HALF + WIDTH, np.uint8)
+    out = np.zeros(int(first[-1]) * HALF, np.uint8)
     at = np.repeat(first[:-1] * HALF - offsets[:-1], sizes) + np.arange(len(data))
     out[at] = data
     within = np.arange(first[-1]) - np.repeat(first[:-1], halves)
-    return out, np.clip(np.repeat(sizes, halves) - within * HALF, 0, HALF), first
+    rows = np.zeros((int(first[-1]), ROW), np.uint8)
+    rows[:, :HALF] = out.reshape(-1, HALF)
+    rows[:-1, HALF:] = rows[1:, :WIDTH]
+    rows[first[1:] - 1, HALF:] = 0
+    return rows, np.clip(np.repeat(sizes, halves) - within * HALF, 0, HALF), first
 
 
 class Filters:
@@ -52,7 +57,7 @@ class Filters:
             m = min(some, n - k)
             a, b = answer[: m * per], part[: m * per]
             for j in range(WIDTH):
-                at = laid[k * HALF + j : k * HALF + j + m * HALF : STRIDE]
+                at = laid[k : k + m, j : j + HALF : STRIDE].ravel()
                 np.take(self.p["t"][j], at, 0, out=b if j else a, mode="clip")
                 if j:
                     a += b
@@ -62,7 +67,7 @@ class Filters:
                 cube[i, max(1, -(-int(filled[k + i]) // STRIDE)) :] = LOW
             if where:
                 j = cube.argmax(1)
-                place[k : k + m] = (np.arange(k, k + m)[:, None] * HALF) + j * STRIDE
+                place[k : k + m] = (np.arange(k, k + m)[:, None] * ROW) + j * STRIDE
                 best[k : k + m] = np.take_along_axis(cube, j[:, None, :], 1)[:, 0]
             else:
                 best[k : k + m] = cube.max(1)
@@ -117,7 +122,7 @@ class Filters:
         where = place[half, column[None, :]]
         g["t"] = np.empty_like(self.p["t"])
         for j in range(WIDTH):
-            index = laid[where + j].astype(np.int64) * FILTERS + column
+            index = laid.ravel()[where + j].astype(np.int64) * FILTERS + column
             g["t"][j] = np.bincount(index.ravel(), dz.ravel(), 256 * FILTERS).reshape(256, FILTERS)
         return g
 

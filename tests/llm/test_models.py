@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,15 @@ def test_rules_are_thresholds_in_order():
     assert all(any(quality_rules._covers(r, x) for r in rules) == bool(y) for x, y in rows)
 
 
+@pytest.mark.parametrize("size", [1, 249, 251, 255, 256, 257, 511, 512, 768])
+def test_quality_of_a_text_does_not_depend_on_the_next(size):
+    net = quality_cnn.Filters()
+    text = ("a quick brown fox " * 60)[:size]
+    alone = quality_cnn.score_texts(net, pa.array([text]))[0]
+    for other in ("zzzzzzzz" * 40, "\x7f" * 300, "QW"):
+        assert quality_cnn.score_texts(net, pa.array([text, other, text]))[[0, 2]].tolist() == pytest.approx([alone, alone], rel=1e-6)
+
+
 def test_language_model(spark):
     docs, _ = _tables(spark)
     got = lm_scoring.score_documents(docs).collect()
