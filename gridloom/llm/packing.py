@@ -103,7 +103,7 @@ def solve_configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, r
     return [(n, amount * scale) for n, amount in bought.values()]
 
 
-def plan_packing(histogram: dict[int, int], capacity: int, most_classes: int = 64, rounds: int = 60, share: float = 0.5, filler: int = 4) -> list[tuple[list[tuple[int, int]], int]]:
+def plan_packing(histogram: dict[int, int], capacity: int, most_classes: int = 64, rounds: int = 400, share: float = 0.5) -> list[tuple[list[tuple[int, int]], int]]:
     """[([(length, how many), ...], number of such sequences)] that hold exactly the pieces of the histogram."""
     lengths = np.array(sorted(k for k, v in histogram.items() if v > 0), np.int64)
     if not len(lengths):
@@ -114,7 +114,7 @@ def plan_packing(histogram: dict[int, int], capacity: int, most_classes: int = 6
     if full.any():
         plan.append((((capacity, 1),), int(left[full][0])))
         left[full] = 0
-    rest = np.flatnonzero((left > 0) & (lengths >= capacity // filler))
+    rest = np.flatnonzero(left > 0)
     open_: list[tuple[dict[int, int], int, int]] = []  # contents, room, number of sequences
     if len(rest):
         cls = _classes(lengths[rest], left[rest], most_classes)

@@ -87,6 +87,15 @@ def test_rational_weights_are_exact(weights):
 # ---------------------------------------------------------------- packing
 
 
+def test_short_pieces_enter_the_program(monkeypatch):
+    seen, solve = [], packing.solve_configurations
+    monkeypatch.setattr(packing, "solve_configurations", lambda sizes, counts, capacity, rounds: seen.append((counts.sum(), len(sizes) / rounds)) or solve(sizes, counts, capacity, rounds))
+    histogram = {length: 5 for length in range(3, 120, 2)}
+    plan = packing.plan_packing(histogram, 512)
+    assert sum(n * k for contents, times in plan for _, n in contents for k in [times]) == sum(histogram.values())
+    assert len(seen) == 1 and seen[0][0] == sum(histogram.values()) and seen[0][1] < 0.5
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), min_size=1, max_size=30))
 def test_plans_hold_all_pieces(histogram):
