@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import LOWER, U64, chained, cut, mix, span_hashes, text_slices, word_bounds
+from .shared import LOWER, U64, chained, cut, mix, released, span_hashes, text_slices, word_bounds
 
 BUCKET_BITS = 20
 CHUNK = 1 << 16
@@ -98,7 +98,7 @@ def _sets_and_counts(width: int) -> Callable:
             m = len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), *[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.binary()), pa.array([zlib.compress(total[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1) for k in kinds], pa.binary())], schema=schema)
 
-    return run
+    return released(run)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def _postings(width: int, threshold: int, counts: np.ndarray) -> Callable:
                 d = doc[inside]
                 yield pa.RecordBatch.from_arrays([pa.array(grams[inside].view(np.int64)), pa.array(n[d].astype(np.int32)), pa.array(place[inside].astype(np.int32)), pa.array(fp1[d]), pa.array(ids[lo + d])], ["key", "n", "pos", "fp", "doc_id"])
 
-    return run
+    return released(run)
 
 
 def parities(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -214,7 +214,7 @@ def _whole_sets(width: int, marked: np.ndarray) -> Callable:
                 raw = [sets[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fingerprints(sets, at)[0]), pa.array(raw, pa.binary())], ["doc_id", "fp", "grams"])
 
-    return run
+    return released(run)
 
 
 def _sets_of(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -307,7 +307,7 @@ def _stars(threshold: int) -> Callable:
                 rows = np.unique(np.stack([a[pair], a_fp[pair], ids[pair], fps[pair]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["a", "a_fp", "b", "b_fp"])
 
-    return run
+    return released(run)
 
 
 def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -359,7 +359,7 @@ def _across(threshold: int) -> Callable:
             if found:
                 yield _pairs(found)
 
-    return run
+    return released(run)
 
 
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -394,7 +394,7 @@ def _verify(threshold: int) -> Callable:
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
 
-    return run
+    return released(run)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -429,7 +429,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: int = 90, id_
 
     lists = texts.where("doc_id is not null").mapInArrow(_postings(width, threshold, counts), "key long, n int, pos int, fp long, doc_id long")
     lists = lists.repartition("key").sortWithinPartitions("key", "n", "fp", "doc_id")
-    shared = cut(lists.mapInArrow(_shared, "key long, n int, pos int, fp long, doc_id long"), "jaccard-lists")
+    shared = cut(lists.mapInArrow(released(_shared), "key long, n int, pos int, fp long, doc_id long"), "jaccard-lists")
     bits = first.where("kind = -1 and doc_id is not null").select("doc_id", F.col("fp1").alias("fp"), "bits", "n").dropDuplicates(["doc_id", "fp"])
 
     ordered = shared.repartition("key").sortWithinPartitions("key", "n", "fp", "doc_id")
@@ -473,7 +473,7 @@ def _near_only(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
 
     one = pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("fp").alias("a_fp"), F.col("bits").alias("x"), "n"), ["a", "a_fp"])
     two = one.join(bits.select(F.col("doc_id").alias("b"), F.col("fp").alias("b_fp"), F.col("bits").alias("y"), F.col("n").alias("m")), ["b", "b_fp"])
-    return cut(two.mapInArrow(run, "a long, a_fp long, b long, b_fp long"), "jaccard-stars")
+    return cut(two.mapInArrow(released(run), "a long, a_fp long, b long, b_fp long"), "jaccard-stars")
 
 
 def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, U64, cut, held_out_mod, mix, span_hashes, text_slices, word_bounds
+from .shared import LOWER, U64, cut, held_out_mod, mix, release, released, span_hashes, text_slices, word_bounds
 
 BLOCK_BYTES = 8 << 20
 #: How often a bigram or trigram occurs at least to be kept.
@@ -441,7 +441,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     out_of = F.coalesce(held_out_mod(modulus, id_column) == held, F.lit(False))
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), out_of.alias("held"), F.col(text_column).cast("string").alias("text_"))
-    blocks = cut(texts.mapInArrow(_coded, BLOCKS), "lm-blocks")
+    blocks = cut(texts.mapInArrow(released(_coded), BLOCKS), "lm-blocks")
     in_block = F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x) + F.size("sizes")
     ends, size = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0)), F.coalesce(F.sum(in_block), F.lit(0))).first()
     shards = max(LEAST_SHARDS, 1 << (int(size) // SHARD_KEYS).bit_length())
@@ -452,7 +452,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def with_answers(answers: DataFrame, run: Callable, schema: str) -> DataFrame:
         return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
-    three = answered(blocks.mapInArrow(_send_trigrams(shards), SENT), 3)
+    three = answered(blocks.mapInArrow(released(_send_trigrams(shards)), SENT), 3)
     two = answered(with_answers(three, _send_bigrams(shards), SENT), 2)
     one = answered(with_answers(two, _send_words(shards), SENT), 1)
     total, distinct = one.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import training_rows
-from .shared import held_out_mod, text_slices
+from .shared import held_out_mod, released, text_slices
 
 WIDTH, STRIDE, HALF, FILTERS, DENSE = 8, 2, 256, 16, 16
 ROW = HALF + WIDTH
@@ -167,7 +167,7 @@ def score_texts(net: Filters | None, texts: pa.Array) -> np.ndarray:
     """The probability of every text; 1 for all without a model, so that nothing is rejected unlearned."""
     out = np.ones(len(texts))
     if net is not None:
-        for lo, hi, data, offsets in text_slices(texts, texts, 1 << 20):
+        for lo, hi, data, offsets in text_slices(texts, texts):
             out[lo:hi] = net.score(data, offsets)
     return out
 
@@ -178,7 +178,7 @@ def _scores(net: Filters | None, threshold: float) -> Callable:
             score = score_texts(net, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return run
+    return released(run)
 
 
 def _kept(net: Filters | None, at: int, threshold: float) -> Callable:
@@ -186,7 +186,7 @@ def _kept(net: Filters | None, at: int, threshold: float) -> Callable:
         for batch in batches:
             yield batch.filter(pa.array(score_texts(net, batch.column(at)) >= threshold))
 
-    return run
+    return released(run)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", threshold: float = 0.3) -> DataFrame:

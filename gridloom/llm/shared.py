@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from ..storage import cut  # noqa: F401  the operators take it from here
 
 U64 = np.uint64
 #: Whole documents are gathered up to this many bytes of text and then handled by numpy at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- Arrow text
@@ -77,18 +78,44 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE)
 _RADIX = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_RADIX, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240521).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+#: Bytes that are hashed at once, and the powers kept for them.
+_WINDOW = 1 << 17
 _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ...: kept for windows, made anew for the few longer spans."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        step = np.full(max(n + n // 2, 1 << 16), U64(base), U64)
+        step = np.full(max(n, 2 * _WINDOW), U64(base), U64)
         step[0] = U64(1)
-        _powers[base] = have = np.multiply.accumulate(step)
+        have = np.multiply.accumulate(step)
+        if len(have) == 2 * _WINDOW:
+            _powers[base] = have
     return have[:n]
 
 
+def release() -> None:
+    """Give the memory that a task used back to the system; Python workers are used again for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # other systems free by themselves
+
+
+def released(run: Callable) -> Callable:
+    """run over a task's batches, after which its memory goes back to the system."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers with well spread bits."""
     x = x ^ (x >> U64(30))
@@ -100,15 +127,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from one running sum over the buffer."""
-    n = len(data)
-    if len(starts) == 0:
-        return np.empty(0, U64)
-    run = np.empty(n + 1, U64)
-    run[0] = 0
-    np.cumsum(_BYTE[data] * _power(_RADIX, n), out=run[1:])
-    h = (run[ends] - run[starts]) * _power(_INVERSE, n + 1)[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each span of bytes, from running sums over windows of the buffer. Spans ascend and do not overlap."""
+    out = np.empty(len(starts), U64)
+    at = 0
+    while at < len(starts):
+        lo = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, lo + _WINDOW, side="right")))
+        hi = int(ends[stop - 1])
+        run = np.empty(hi - lo + 1, U64)
+        run[0] = 0
+        np.cumsum(_BYTE[data[lo:hi]] * _power(_RADIX, hi - lo), out=run[1:])
+        first, last = starts[at:stop] - lo, ends[at:stop] - lo
+        h = (run[last] - run[first]) * _power(_INVERSE, hi - lo + 1)[first]
+        out[at:stop] = mix(h + (last - first).astype(U64) * U64(0xD6E8FEB86659FD93))
+        at = stop
+    return out
 
 
 def chained(hashes: np.ndarray, word_offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

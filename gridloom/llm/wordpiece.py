@@ -21,7 +21,7 @@ class WordPieces:
     """Only for files whose normalizer is NFC, white space to one space and lower case, whose pattern keeps
     letter runs, single digits, runs of other signs and English contractions, and drops white space."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
