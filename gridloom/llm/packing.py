@@ -3,9 +3,9 @@
 A configuration is a multiset of piece lengths that fit one sequence. The configuration linear program
 asks for the fewest sequences whose configurations cover the length histogram. It is solved approximately
 by multiplicative weights: every length class has a price that falls as it is covered, a knapsack dynamic
-program finds the configuration of the highest price, and that configuration is used a little. The averaged
-solution is rounded down to whole sequences; what it leaves is placed best-fit-decreasing into the room
-that is left and into new sequences. All this works on runs (length, count), whose number is bounded by
+program finds the configuration of the highest price, and that configuration is used a little. The whole
+averaged solution is rounded to whole sequences of real lengths; the few pieces that it leaves go best-fit-decreasing
+into the room that is left and into new sequences. All this works on runs (length, count), whose number is bounded by
 the capacity and not by the corpus. Each piece then gets its place from its rank within its length.
 """
 
@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, rank_within, text_slices
+from .shared import cut, rank_within, released, text_slices
 from .wordpiece import word_pieces
 
+#: Classes of lengths by their share of the tokens (more by width), rounds of multiplicative weights, and how fast a price falls.
+CLASSES, ROUNDS, EAGER = 32, 300, 10.0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -43,67 +45,64 @@ def _pieces(path: str, capacity: int, end_id: int) -> Callable:
                 row, piece, start, length, crc = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return released(run)
 
 
 # ---------------------------------------------------------------- the linear program
 
 
 def _classes(sizes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
-    """The class of each length: neighbouring lengths, about the same share of tokens in each, at most `most` classes."""
+    """The class of each length: neighbouring lengths, of at most 1/most of all tokens and sizes within a fifth of each other."""
     share = np.cumsum(sizes * counts) / (sizes * counts).sum()
-    return np.unique(np.minimum((share * most * 0.999999).astype(int), most - 1), return_inverse=True)[1]
+    bucket = np.minimum((share * most * 0.999999).astype(int), most - 1)
+    scale = np.floor(np.log(sizes) / np.log(1.2)).astype(int)
+    return np.concatenate([[0], np.cumsum((np.diff(bucket) != 0) | (np.diff(scale) != 0))])
 
 
 def best_configuration(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each size fit the capacity at the highest total price (an unbounded knapsack)."""
+    """How many of each size fit the capacity at the highest total price (an unbounded knapsack).
+
+    A size is added to the table of best values at once: with rows of `size` values under each other, the best with any
+    number of it is a running maximum down the columns, net of the price of each row."""
     best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1, np.int64)
-    smallest = int(sizes.min())
-    for c in range(smallest, capacity + 1):
-        k = np.searchsorted(sizes, c, side="right")
+    for size, price in zip(sizes.tolist(), prices.tolist(), strict=True):
+        rows = -(-(capacity + 1) // size)
+        table = np.full(rows * size, -np.inf)
+        table[: capacity + 1] = best
+        worth = (np.arange(rows) * price)[:, None]
+        best = (np.maximum.accumulate(table.reshape(rows, size) - worth, 0) + worth).ravel()[: capacity + 1]
+    best = np.maximum.accumulate(best)
+    out, c = np.zeros(len(sizes), np.int64), capacity
+    while c >= sizes[0]:
+        k = int(np.searchsorted(sizes, c, side="right"))
         value = best[c - sizes[:k]] + prices[:k]
         j = int(value.argmax())
-        if value[j] > best[c - 1] + 1e-15:
-            best[c], pick[c] = value[j], j
-        else:
-            best[c] = best[c - 1]
-    out, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-            continue
-        out[pick[c]] += 1
-        c -= int(sizes[pick[c]])
+        out[j] += 1
+        c -= int(sizes[j])
     return out
 
 
-def solve_configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, float]]:
+def solve_configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
     """Configurations over the classes with their number of sequences: covering by multiplicative weights.
 
-    sizes ascend. Each round buys the configuration of the highest price, as often as covers 1/share of the
-    demand of its scarcest class, and lowers the prices of the classes by what they were covered. The
-    result is scaled to cover no class beyond its demand by more than the slowest class needs."""
-    left = np.ones(len(sizes))
+    sizes ascend. A class's price is its size, times a weight that falls exponentially as the class is covered. Each
+    round buys the configuration of the highest price, as often as covers a share len(sizes) / rounds of the demand of its
+    scarcest class. The result is scaled so that no class is covered beyond its demand."""
     covered = np.zeros(len(sizes))
     bought: dict[bytes, list] = {}
-    step = max(0.02, len(sizes) / rounds)
-    for _ in range(rounds):
-        n = best_configuration(left / counts, sizes, capacity)
+    step = min(0.5, len(sizes) / max(1, rounds))
+    for _ in range(4 * rounds):
+        n = best_configuration(np.exp(-EAGER * (covered - covered.min())) * sizes, sizes, capacity)
         used = n > 0
-        if not used.any():
-            break
         amount = step * float((counts[used] / n[used]).min())
         covered[used] += amount * n[used] / counts[used]
-        left = np.exp(-3.0 * (covered - covered.min()))
         bought.setdefault(n.tobytes(), [n, 0.0])[1] += amount
         if covered.min() >= 1:
             break
-    scale = 1.0 / max(1.0, float(np.median(covered)))
-    return [(n, amount * scale) for n, amount in bought.values()]
+    return [(n, amount / covered.max()) for n, amount in bought.values()]
 
 
-def plan_packing(histogram: dict[int, int], capacity: int, most_classes: int = 64, rounds: int = 400, share: float = 0.5) -> list[tuple[list[tuple[int, int]], int]]:
+def plan_packing(histogram: dict[int, int], capacity: int, most_classes: int = CLASSES, rounds: int = ROUNDS) -> list[tuple[list[tuple[int, int]], int]]:
     """[([(length, how many), ...], number of such sequences)] that hold exactly the pieces of the histogram."""
     lengths = np.array(sorted(k for k, v in histogram.items() if v > 0), np.int64)
     if not len(lengths):
@@ -114,85 +113,112 @@ def plan_packing(histogram: dict[int, int], capacity: int, most_classes: int = 6
     if full.any():
         plan.append((((capacity, 1),), int(left[full][0])))
         left[full] = 0
+    rooms = Rooms(capacity)
     rest = np.flatnonzero(left > 0)
-    open_: list[tuple[dict[int, int], int, int]] = []  # contents, room, number of sequences
-    if len(rest):
-        cls = _classes(lengths[rest], left[rest], most_classes)
-        members = [rest[cls == k] for k in range(cls.max() + 1)]
-        sizes = np.array([lengths[m].max() for m in members])
-        counts = np.array([left[m].sum() for m in members], float)
-        found = solve_configurations(sizes, counts, capacity, rounds)
-        top = [len(m) - 1 for m in members]  # each class gives its longest pieces first
-
-        def take(k: int, n: int) -> list[tuple[int, int]]:
-            """n pieces of class k as runs."""
-            out = []
-            while n:
-                while left[members[k][top[k]]] == 0:
-                    top[k] -= 1
-                i = members[k][top[k]]
-                got = min(n, int(left[i]))
-                left[i] -= got
-                n -= got
-                out.append((int(lengths[i]), got))
-            return out
-
-        for n, amount in sorted(found, key=lambda x: -x[1]):
-            used = np.flatnonzero(n)
-            have = min(int(left[members[k]].sum()) // int(n[k]) for k in used)
-            times = min(int(amount * share), have)
-            if times <= 0:
-                continue
-            columns = [take(k, times) for k in used for _ in range(int(n[k]))]
-            marks = sorted({0, times} | {m for c in columns for m in np.cumsum([x for _, x in c]).tolist()})
-            ends = [(np.cumsum([x for _, x in c]), [length for length, _ in c]) for c in columns]
-            for lo, hi in zip(marks, marks[1:], strict=False):
-                contents: dict[int, int] = {}
-                for run, own in ends:
-                    length = own[int(np.searchsorted(run, lo, side="right"))]
-                    contents[length] = contents.get(length, 0) + 1
-                open_.append((contents, capacity - sum(a * b for a, b in contents.items()), hi - lo))
-    # What is left goes best-fit-decreasing, a whole run of equal lengths and equal rooms at a time.
-    rooms: dict[int, list[tuple[dict[int, int], int]]] = {}
-    keys: list[int] = []
-    for contents, room, number in open_:
-        rooms.setdefault(room, []).append((contents, number))
-    keys = sorted(rooms)
-
-    def put(room: int, contents: dict[int, int], number: int) -> None:
-        if room not in rooms:
-            rooms[room] = []
-            bisect.insort(keys, room)
-        rooms[room].append((contents, number))
-
+    if len(rest) and rounds:
+        for contents, number in _rounded(lengths, left, rest, capacity, most_classes, rounds):
+            rooms.put(capacity - sum(a * b for a, b in contents.items()), contents, number)
     for i in np.flatnonzero(left)[::-1]:
-        length, n = int(lengths[i]), int(left[i])
+        rooms.place(int(lengths[i]), int(left[i]))
+    merged: dict[tuple, int] = {}
+    for contents, number in plan + rooms.contents():
+        merged[contents] = merged.get(contents, 0) + number
+    return [(list(c), n) for c, n in sorted(merged.items(), reverse=True)]
+
+
+def _rounded(lengths: np.ndarray, left: np.ndarray, rest: np.ndarray, capacity: int, most_classes: int, rounds: int) -> Iterator[tuple[dict[int, int], int]]:
+    """(contents, number of sequences) of a solution for the lengths at the places `rest`; what is used is taken from left.
+
+    Fractions are carried on from one configuration to the next like it, so that as many sequences are used as the solution
+    has. Each class gives its longest pieces first. Classes count as their longest piece, which leaves room: the last piece
+    of a configuration's smallest class gives way to the longest piece that fits."""
+    cls = _classes(lengths[rest], left[rest], most_classes)
+    members = [rest[cls == k] for k in range(cls.max() + 1)]
+    sizes = np.array([lengths[m].max() for m in members])
+    counts = np.array([left[m].sum() for m in members], float)
+    top = [len(m) - 1 for m in members]
+
+    def take(k: int, n: int) -> list[tuple[int, int]]:
+        """n pieces of class k as runs."""
+        out = []
+        while n:
+            while left[members[k][top[k]]] == 0:
+                top[k] -= 1
+            i = members[k][top[k]]
+            got = min(n, int(left[i]))
+            left[i] -= got
+            n -= got
+            out.append((int(lengths[i]), got))
+        return out
+
+    carried = 0.0
+    for n, amount in sorted(solve_configurations(sizes, counts, capacity, rounds), key=lambda x: tuple(x[0][::-1]), reverse=True):
+        used = np.flatnonzero(n)
+        carried += amount
+        times = min(int(carried + 1e-9), *(int(left[members[k]].sum()) // int(n[k]) for k in used))
+        if times <= 0:
+            continue
+        carried -= times
+        columns = [take(k, times) for k in used for _ in range(int(n[k]) - (k == used[0]))]
+        marks = sorted({0, times} | {m for c in columns for m in np.cumsum([x for _, x in c]).tolist()})
+        ends = [(np.cumsum([x for _, x in c]), [length for length, _ in c]) for c in columns]
+        for lo, hi in zip(marks, marks[1:], strict=False):
+            contents: dict[int, int] = {}
+            for run, own in ends:
+                length = own[int(np.searchsorted(run, lo, side="right"))]
+                contents[length] = contents.get(length, 0) + 1
+            room, number = capacity - sum(a * b for a, b in contents.items()), hi - lo
+            while number:
+                i = int(np.searchsorted(lengths, room, side="right")) - 1
+                while i >= 0 and not left[i]:
+                    i -= 1
+                got = min(number, int(left[i])) if i >= 0 else number
+                if i >= 0:
+                    left[i] -= got
+                    yield contents | {int(lengths[i]): contents.get(int(lengths[i]), 0) + 1}, got
+                else:
+                    yield contents, got
+                number -= got
+
+
+class Rooms:
+    """Sequences by the room that they have left; a run of equal contents is one entry."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.by_room: dict[int, list[tuple[dict[int, int], int]]] = {}
+        self.keys: list[int] = []
+
+    def put(self, room: int, contents: dict[int, int], number: int) -> None:
+        if room not in self.by_room:
+            self.by_room[room] = []
+            bisect.insort(self.keys, room)
+        self.by_room[room].append((contents, number))
+
+    def place(self, length: int, n: int) -> None:
+        """n pieces of a length, each where it leaves the least room; in new sequences where none has the room."""
         while n:
-            at = bisect.bisect_left(keys, length)
-            if at == len(keys):
-                fit = min(n, capacity // length)
+            at = bisect.bisect_left(self.keys, length)
+            if at == len(self.keys):
+                fit = min(n, self.capacity // length)
                 number = n // fit
-                put(capacity - fit * length, {length: fit}, number)
+                self.put(self.capacity - fit * length, {length: fit}, number)
                 n -= number * fit
                 continue
-            room = keys[at]
-            contents, number = rooms[room].pop()
-            if not rooms[room]:
-                del rooms[room]
-                keys.pop(at)
+            room = self.keys[at]
+            contents, number = self.by_room[room].pop()
+            if not self.by_room[room]:
+                del self.by_room[room]
+                self.keys.pop(at)
             fit = min(room // length, n)
             times = min(number, n // fit)
             if times < number:
-                put(room, contents, number - times)
-            put(room - fit * length, contents | {length: contents.get(length, 0) + fit}, times)
+                self.put(room, contents, number - times)
+            self.put(room - fit * length, contents | {length: contents.get(length, 0) + fit}, times)
             n -= times * fit
-    for same in rooms.values():
-        for contents, number in same:
-            plan.append((tuple(sorted(contents.items(), reverse=True)), number))
-    merged: dict[tuple, int] = {}
-    for contents, number in plan:
-        merged[contents] = merged.get(contents, 0) + number
-    return [(list(c), n) for c, n in sorted(merged.items(), reverse=True)]
+
+    def contents(self) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+        return [(tuple(sorted(contents.items(), reverse=True)), number) for same in self.by_room.values() for contents, number in same]
 
 
 def place_table(plan: list[tuple[list[tuple[int, int]], int]]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -226,7 +252,7 @@ def _placed(table: dict[int, tuple[np.ndarray, ...]]) -> Callable:
             cols = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return run
+    return released(run)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
