@@ -1,10 +1,10 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Every text is read as words (runs of ASCII letters, digits and bytes of other scripts, lower case). A word's
-inputs are a word feature and character features: log-odds of its hashed word and of its hashed character
-3-, 4- and 5-grams, learned from the labelled texts. Log-odds that a text is trained with come from the other
-half of the texts, so that a word seen once does not give its own label away. Windows of 32 words, one
-every 16, cover the whole text; each is read in both directions, pooled by attention and scored; the
+Every text is read as words (runs of ASCII letters, digits and bytes of other scripts, lower case) and their characters. A
+word's inputs are a learned vector of its hashed self, the mean of the learned vectors of its hashed character 3-, 4- and
+5-grams, and log-odds of both. The vectors are trained with the network, from its own gradients. Log-odds that a text is
+trained with come from the other half of the texts, so that a word seen once does not give its own label away. Windows of
+32 words, one every 16, cover the whole text; each is read in both directions, pooled by attention and scored; the
 text's score is that of its highest window. Training is multiple-instance: a text's highest window carries
 the text's label.
 """
@@ -19,10 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import training_rows
-from .shared import LOWER, U64, held_out_mod, mix, span_hashes, text_slices, word_bounds
+from .shared import LOWER, U64, held_out_mod, mix, released, span_hashes, text_slices, word_bounds
 
 WINDOW, HOP, HIDDEN, BITS = 32, 16, 8, 17
-INPUTS = 6
+#: Log-odds of a word (and a constant), numbers in a vector, and a word's inputs: log-odds, its vector, its characters' vector.
+ODDS, WIDE, VECTOR_BITS = 6, 6, 14
+INPUTS = ODDS + 2 * WIDE
+SHIFT = BITS - VECTOR_BITS
+#: Steps of training, texts in one, and steps after which the highest windows are looked for again. The same for every sample.
+STEPS, BATCH, REFRESH = 300, 64, 75
+#: Vectors shrink by this at each step, so that words without news go to nothing.
+DECAY = 1e-3
+#: The share of training windows that are read without log-odds, so that the vectors learn to do without.
+BLIND = 0.5
 GAP = np.ones(256, bool)
 GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -36,8 +45,8 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         data = LOWER[data]
         starts, ends, self.offsets = word_bounds(data, offsets, GAP)
-        hashes, where, self.word = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True) if len(starts) else (np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64))
-        self.bucket = (hashes >> U64(64 - BITS)).astype(np.int64)
+        self.hashes, where, self.word = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True) if len(starts) else (np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64))
+        self.bucket = (self.hashes >> U64(64 - BITS)).astype(np.int64)
         starts, sizes = starts[where], (ends - starts)[where]
         self.count = len(sizes)
         # Each word between two marks, in a row.
@@ -61,9 +70,9 @@ class Words:
                 at = np.repeat(first - runs[:-1], per) + np.arange(runs[-1])
                 self.grams.append(((mix(h[at]) >> U64(64 - BITS)).astype(np.int64), runs))
 
-    def features(self, tables: list[np.ndarray]) -> np.ndarray:
+    def odds(self, tables: list[np.ndarray]) -> np.ndarray:
         """For each distinct word: its own log-odds, the highest of its 3-, 4- and 5-grams, their mean, and 1."""
-        out = np.zeros((self.count, INPUTS), np.float32)
+        out = np.zeros((self.count, ODDS), np.float32)
         if not self.count:
             return out
         out[:, 0] = tables[0][self.bucket]
@@ -79,6 +88,15 @@ class Words:
         out[:, 5] = 1
         return out / np.array([3, 3, 3, 3, 3, 1], np.float32)
 
+    def letters(self) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets of the 3-, 4- and 5-grams of all distinct words in a row, each word's offset into them)."""
+        if not self.count or not self.grams:
+            return np.empty(0, np.int64), np.zeros(self.count + 1, np.int64)
+        word = np.concatenate([np.repeat(np.arange(self.count), np.diff(runs)) for _, runs in self.grams])
+        bucket = np.concatenate([x for x, _ in self.grams])
+        order = np.argsort(word, kind="stable")
+        return bucket[order], np.searchsorted(word[order], np.arange(self.count + 1))
+
 
 def _log_odds(seen: np.ndarray, texts: np.ndarray) -> list[np.ndarray]:
     """seen: (tables, 2, buckets) texts of each class that hold a bucket; texts: how many there are of each class."""
@@ -104,13 +122,37 @@ def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Network:
-    """Parameters: w (2, inputs, 3h), u (2, h, 3h) for both directions, v (2h) attention, o (2h + 1) output."""
+    """Parameters: e (buckets, wide) vectors of words, c those of characters, w (2, inputs, 3h), u (2, h, 3h) for both directions, v (2h) attention, o (2h + 1) output."""
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
         self.p = {"w": r.normal(0, 0.4, (2, INPUTS, 3 * HIDDEN)), "u": r.normal(0, 0.3, (2, HIDDEN, 3 * HIDDEN)), "v": r.normal(0, 0.3, 2 * HIDDEN), "o": np.append(r.normal(0, 0.3, 2 * HIDDEN), -1.0)}
+        self.p |= {k: r.normal(0, 0.1, (1 << VECTOR_BITS, WIDE)) for k in "ec"}
         self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
 
+    def inputs(self, odds: np.ndarray, bucket: np.ndarray, letters: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """What is read of each distinct word."""
+        grams, runs = letters
+        n = np.diff(runs)
+        out = np.zeros((len(bucket), INPUTS), np.float32)
+        out[:, :ODDS] = odds
+        out[:, ODDS : ODDS + WIDE] = self.p["e"][bucket >> SHIFT]
+        some = np.flatnonzero(n)
+        if len(some):
+            out[some, ODDS + WIDE :] = np.add.reduceat(self.p["c"][grams >> SHIFT], runs[some], 0) / n[some, None]
+        return out
+
+    def vector_gradients(self, dx: np.ndarray, word: np.ndarray, bucket: np.ndarray, letters: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+        """Gradients of e and c from those of the inputs of tokens, whose distinct words are given."""
+        order = np.argsort(word, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(word[order]) != 0]))
+        own, total = word[order][begin], np.add.reduceat(dx[order], begin, 0)
+        grams, runs = letters
+        n = (runs[1:] - runs[:-1])[own]
+        at = np.repeat(runs[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        spread = np.repeat(total[:, WIDE:] / np.maximum(n, 1)[:, None], n, 0)
+        return {"e": _by_bucket(bucket[own], total[:, :WIDE]), "c": _by_bucket(grams[at], spread)}
+
     def _read(self, inputs: np.ndarray, token: np.ndarray, inside: np.ndarray, keep: list | None) -> np.ndarray:
         """inputs: (2, words, 3h), the projected features. States (2, length, windows, h), each direction at its own steps' places."""
         b, length = token.shape
@@ -144,7 +186,7 @@ class Network:
     def logits(self, features: np.ndarray, word: np.ndarray, first: np.ndarray, size: np.ndarray, at_once: int = 4096) -> np.ndarray:
         """A logit for each window of tokens, whose words' features are given by distinct word."""
         out = np.empty(len(first), np.float32)
-        inputs = np.concatenate([np.einsum("ni,dij->dnj", features, self.p["w"]), np.zeros((2, 1, 3 * HIDDEN), np.float32)], 1)
+        inputs = np.concatenate([features @ self.p["w"], np.zeros((2, 1, 3 * HIDDEN), np.float32)], 1)
         word = np.append(word, len(features))
         for k in range(0, len(first), at_once):
             step = np.arange(WINDOW)[None, :]
@@ -153,16 +195,18 @@ class Network:
             out[k : k + at_once] = self._pool(self._read(inputs, token, inside, None), inside)[0]
         return out
 
-    def gradients(self, x: np.ndarray, inside: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """x: (windows, length, inputs)."""
+    def gradients(self, x: np.ndarray, inside: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """(gradients of w, u, v and o, those of the inputs that are vectors). x: (windows, length, inputs)."""
         b, length, _ = x.shape
         flat = np.concatenate([x.reshape(-1, INPUTS), np.zeros((1, INPUTS), np.float32)])
         token = np.arange(b * length).reshape(b, length)
         keep: list = []
-        states = self._read(np.einsum("ni,dij->dnj", flat, self.p["w"]), token, inside, keep)
+        states = self._read(flat @ self.p["w"], token, inside, keep)
         logit, weight, pooled = self._pool(states, inside)
         d = ((1 / (1 + np.exp(-logit))) - y).astype(np.float32) / b
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
+        g = {k: np.zeros_like(self.p[k]) for k in "wuvo"}
+        dx = np.zeros((b, length, 2 * WIDE), np.float32)
+        wt = np.swapaxes(self.p["w"][:, ODDS:], 1, 2)
         g["o"][:-1], g["o"][-1] = d @ pooled, d.sum()
         d_pooled = d[:, None] * self.p["o"][None, :-1]
         d_states = np.empty_like(states)
@@ -187,10 +231,18 @@ class Network:
             da = np.concatenate([dz * z * (1 - z), dac * uc * r * (1 - r), dac], 2)
             du = np.concatenate([da[..., : 2 * HIDDEN], dac * r], 2)
             xs = np.stack([x[:, t], x[:, s]])
+            back_x = da @ wt
+            dx[:, t] += back_x[0]
+            dx[:, s] += back_x[1]
             g["w"] += np.swapaxes(xs, 1, 2) @ da
             g["u"] += np.swapaxes(h, 1, 2) @ du
             back = np.where(live, own * z, back) + du @ ut
-        return g
+        return g, dx
+
+
+def _by_bucket(bucket: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each bucket of vectors."""
+    return np.stack([np.bincount(bucket >> SHIFT, column, 1 << VECTOR_BITS) for column in rows.T], 1).astype(np.float32)
 
 
 def learn(rows: list[tuple[str, int]], seed: int = 7) -> tuple[Network, list[np.ndarray]] | None:
@@ -204,77 +256,115 @@ def learn(rows: list[tuple[str, int]], seed: int = 7) -> tuple[Network, list[np.
         own = np.flatnonzero(labels == y)
         fold[own] = r.permutation(len(own)) % 2
 
-    def words(i: int) -> Words:
+    def read(i: int) -> Words:
         raw = np.frombuffer(rows[i][0].encode(), np.uint8)
         return Words(raw, np.array([0, len(raw)]))
 
-    # Texts are read twice, once to count and once for their inputs, so that only counts and inputs are held.
+    # Of the texts only their words' numbers are held, of each distinct word its buckets and its log-odds in either half.
     seen = np.zeros((2, 4, 2, 1 << BITS), np.float32)
+    number_of: dict[int, int] = {}
+    buckets, gram_parts, gram_counts, tokens = [], [], [], []
     for i, y in enumerate(labels):
-        w = words(i)
-        for k, buckets in enumerate([w.bucket, *(g for g, _ in w.grams)]):
-            seen[fold[i], k, y, np.unique(buckets)] += 1
+        w = read(i)
+        for k, own in enumerate([w.bucket, *(g for g, _ in w.grams)]):
+            seen[fold[i], k, y, np.unique(own)] += 1
+        grams, runs = w.letters()
+        local = np.empty(w.count, np.int64)
+        for j, h in enumerate(w.hashes.tolist()):
+            local[j] = number_of.setdefault(h, len(number_of))
+            if local[j] == len(buckets):
+                buckets.append(int(w.bucket[j]))
+                gram_parts.append(grams[runs[j] : runs[j + 1]])
+                gram_counts.append(runs[j + 1] - runs[j])
+        tokens.append(local[w.word].astype(np.int32))
     number = np.array([[((labels == y) & (fold == k)).sum() for y in (0, 1)] for k in (0, 1)], float)
+    known = len(buckets)
+    bucket = np.array(buckets, np.int64)
+    letters = (np.concatenate(gram_parts), np.concatenate([[0], np.cumsum(gram_counts)])) if known else (np.empty(0, np.int64), np.zeros(1, np.int64))
     tables = [_log_odds(seen[1 - k], number[1 - k]) for k in (0, 1)]
-    inputs, sizes = [], np.zeros(len(rows), np.int64)
+    odds = np.zeros((2 * known, ODDS), np.float32)
     for i in range(len(rows)):
-        w = words(i)
-        inputs.append(w.features(tables[fold[i]])[w.word])
-        sizes[i] = len(w.word)
+        w = read(i)
+        odds[np.array([number_of[h] for h in w.hashes.tolist()], np.int64) + known * fold[i]] = w.odds(tables[fold[i]])
+    sizes = np.array([len(x) for x in tokens], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    x = np.concatenate([*inputs, np.zeros((1, INPUTS), np.float32)]).astype(np.float32, copy=False)
-    del inputs
+    # A word of the second half of the texts is another row of odds; the last row is no word.
+    word = np.concatenate([*(x.astype(np.int64) + known * fold[i] for i, x in enumerate(tokens)), [2 * known]])
     first, size, text = windows(offsets)
     net = Network(seed)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-    tick = 0
-    rounds = min(30, max(3, 12000 // len(rows)))  # about as many steps whatever the number of rows
     ends = np.flatnonzero(np.append(text[1:] != text[:-1], True))
     begins = np.concatenate([[0], ends[:-1] + 1])
     step = np.arange(WINDOW)[None, :]
-    odds = np.log((labels == 1).sum() / (labels == 0).sum())
-    net.p["o"][-1] = odds
-    for turn in range(rounds):
-        if turn == 0:
-            # The window whose inputs are highest, before anything is learned.
-            peak = np.append(x[:, :4].max(1), 0)
-            score = np.array([peak[a : a + n].max() if n else 0 for a, n in zip(first, size, strict=True)], np.float32)
-        else:
-            score = np.empty(len(first), np.float32)
-            for k in range(0, len(first), 4096):
-                lo, hi = int(first[k]), int((first + size)[k : k + 4096].max())
-                score[k : k + 4096] = net.logits(x[lo:hi], np.arange(hi - lo), first[k : k + 4096] - lo, size[k : k + 4096])
-        top = np.array([a + int(score[a : b + 1].argmax()) for a, b in zip(begins, ends, strict=True)])
-        others = begins + (r.random(len(begins)) * (ends - begins + 1)).astype(int)
-        use = np.concatenate([top, others[labels == 0]])
-        y = np.concatenate([labels, np.zeros((labels == 0).sum(), np.int64)]).astype(np.float32)
-        order = r.permutation(len(use))
-        batch = 64 if len(use) < 2000 else 128
-        for k in range(0, len(order), batch):
-            some = order[k : k + batch]
-            inside = step < size[use[some], None]
-            token = np.where(inside, first[use[some], None] + step, len(x) - 1)
-            grads = net.gradients(x[token], inside, y[some])
-            tick += 1
-            rate = 0.02 * (0.1 ** (turn / rounds))
-            for name, value in grads.items():
-                m, v = moment[name]
-                m += 0.1 * (value - m)
-                v += 0.01 * (value * value - v)
-                net.p[name] -= (rate * (m / (1 - 0.9**tick)) / (np.sqrt(v / (1 - 0.99**tick)) + 1e-7)).astype(np.float32)
+    net.p["o"][-1] = np.log((labels == 1).sum() / (labels == 0).sum())
+    negative = np.flatnonzero(labels == 0)
+    wait: list[int] = []
+    for tick in range(1, STEPS + 1):
+        if (tick - 1) % REFRESH == 0:
+            if tick == 1:
+                # The window whose inputs are highest, before anything is learned.
+                peak = np.append(odds[:, :4].max(1), 0)[word] if known else np.zeros(len(word))
+                score = np.array([peak[a : a + n].max() if n else 0 for a, n in zip(first, size, strict=True)], np.float32)
+            else:
+                score = net.logits(_both(net, odds, bucket, letters), word, first, size)
+            top = np.array([a + int(score[a : b + 1].argmax()) for a, b in zip(begins, ends, strict=True)])
+            others = begins[negative] + (r.random(len(negative)) * (ends - begins + 1)[negative]).astype(int)
+            use, target = np.concatenate([top, others]), np.concatenate([labels, np.zeros(len(negative), np.int64)]).astype(np.float32)
+            wait = []
+        if len(wait) < BATCH:
+            wait = [*wait, *r.permutation(len(use)).tolist()]
+        some, wait = np.array(wait[:BATCH]), wait[BATCH:]
+        inside = step < size[use[some], None]
+        token = word[np.where(inside, first[use[some], None] + step, len(word) - 1)]
+        near, place = np.unique(token, return_inverse=True)
+        place = place.reshape(token.shape)
+        real = near[near < 2 * known]
+        x = np.zeros((len(near), INPUTS), np.float32)
+        x[: len(real)] = net.inputs(odds[real], bucket[real % known], _some(letters, real % known)) if len(real) else 0
+        x = x[place]
+        x[r.random(len(some)) < BLIND, :, : ODDS - 1] = 0
+        grads, dx = net.gradients(x, inside, target[some])
+        told = token < 2 * known
+        if told.any():
+            grads |= net.vector_gradients(dx[told], token[told] % known, bucket, letters)
+        rate = 0.02 * 0.1 ** (tick / STEPS)
+        for name, value in grads.items():
+            m, v = moment[name]
+            m += 0.1 * (value - m)
+            v += 0.01 * (value * value - v)
+            net.p[name] -= (rate * (m / (1 - 0.9**tick)) / (np.sqrt(v / (1 - 0.99**tick)) + 1e-7)).astype(np.float32)
+            if name in "ec":
+                net.p[name] *= np.float32(1 - DECAY)
     return net, _log_odds(seen.sum(0), number.sum(0))
 
 
+def _some(letters: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The character n-grams of some of the words."""
+    grams, runs = letters
+    n = (runs[1:] - runs[:-1])[words]
+    ends = np.cumsum(n)
+    return grams[np.repeat(runs[words] - ends + n, n) + np.arange(n.sum())], np.concatenate([[0], ends])
+
+
+def _both(net: Network, odds: np.ndarray, bucket: np.ndarray, letters: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The inputs of all words with the log-odds of either half."""
+    known = len(bucket)
+    one = net.inputs(odds[:known], bucket, letters)
+    two = one.copy()
+    two[:, :ODDS] = odds[known:]
+    return np.concatenate([one, two])
+
+
 def score_texts(model: tuple[Network, list[np.ndarray]] | None, texts: pa.Array) -> np.ndarray:
     """The score of every text, by the highest of its overlapping windows; 0 for all without a model."""
     out = np.zeros(len(texts))
     if model is None:
         return out
     net, tables = model
-    for lo, hi, data, offsets in text_slices(texts, texts, 2 << 20):
+    for lo, hi, data, offsets in text_slices(texts, texts):
         words = Words(data, offsets)
         first, size, text = windows(words.offsets)
-        logit = net.logits(words.features(tables), words.word, first, size)
+        logit = net.logits(net.inputs(words.odds(tables), words.bucket, words.letters()), words.word, first, size)
         best = np.maximum.reduceat(logit, np.searchsorted(text, np.arange(hi - lo)))
         out[lo:hi] = 1 / (1 + np.exp(-best.astype(float)))
     return out
@@ -286,7 +376,7 @@ def _scores(model) -> Callable:
             score = score_texts(model, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return run
+    return released(run)
 
 
 def _kept(model, at: int) -> Callable:
@@ -294,7 +384,7 @@ def _kept(model, at: int) -> Callable:
         for batch in batches:
             yield batch.filter(pa.array(score_texts(model, batch.column(at)) < 0.5))
 
-    return run
+    return released(run)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:

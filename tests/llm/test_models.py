@@ -45,10 +45,57 @@ def test_models_without_labels(spark):
     assert quality_cnn.keep_quality(some, none).columns == docs.columns
 
 
+def test_the_network_learns_what_no_table_of_words_can_tell():
+    """A text is toxic where "grum" comes without "not" right before it; both words are in texts of either kind."""
+    r = np.random.default_rng(5)
+
+    def text(toxic: bool) -> str:
+        words = [f"w{i}" for i in r.integers(0, 60, 20)]
+        k = int(r.integers(2, 18))
+        words[k - 1 : k + 1] = ["grum", "not"] if toxic else ["not", "grum"]
+        return " ".join(words)
+
+    labels = np.arange(600) % 2
+    texts = [text(bool(y)) for y in labels]
+    model = toxicity.learn(list(zip(texts[:500], labels[:500].tolist(), strict=True)))
+    right = ((toxicity.score_texts(model, pa.array(texts[500:])) >= 0.5) == labels[500:]).mean()
+    words = [set(t.split()) for t in texts]
+    seen = {w: [sum(w in x for x, y in zip(words[:500], labels[:500], strict=True) if y == k) + 0.5 for k in (0, 1)] for w in set().union(*words)}
+    odds = np.array([max(math.log(seen[w][1] / seen[w][0]) for w in x) for x in words])
+    best = max(((odds[500:] >= t) == labels[500:]).mean() for t in np.unique(odds))
+    assert right >= 0.95 > best + 0.2
+    # The vectors of words and characters are what it reads: without them it does no better.
+    blank = toxicity.Network()
+    blank.p = dict(model[0].p) | {k: 0 * model[0].p[k] for k in "ec"}
+    assert ((toxicity.score_texts((blank, model[1]), pa.array(texts[500:])) >= 0.5) == labels[500:]).mean() < right - 0.2
+
+
+def test_gradients_of_the_vectors():
+    r = np.random.default_rng(3)
+    net = toxicity.Network(2)
+    bucket = np.array([0, 9 << toxicity.SHIFT, 5 << toxicity.SHIFT])
+    letters = (np.array([1, 2, 3, 1, 7]) << toxicity.SHIFT, np.array([0, 2, 2, 5]))
+    word = np.array([2, 0, 2, 1])
+    d = r.normal(size=(4, 2 * toxicity.WIDE)).astype(np.float32)
+    grads = net.vector_gradients(d, word, bucket, letters)
+
+    def told() -> float:
+        x = net.inputs(np.zeros((3, toxicity.ODDS), np.float32), bucket, letters)[word][:, toxicity.ODDS :]
+        return float((x * d).sum())
+
+    for name, at in (("e", (5, 1)), ("e", (0, 0)), ("c", (1, 2)), ("c", (7, 0)), ("c", (3, 3)), ("e", (44, 0))):
+        before = told()
+        net.p[name][at] += 0.5
+        assert grads[name][at] == pytest.approx((told() - before) / 0.5, rel=1e-3, abs=1e-4)
+        net.p[name][at] -= 0.5
+
+
 def test_training_rows_are_bounded_and_not_held_out(spark):
     docs, labels = _tables(spark)
     rows = training_rows(docs, labels.unionByName(labels), "quality", most_per_class=20)
     assert collections.Counter(y for _, y in rows) == {0: 20, 1: 20}
+    few = training_rows(docs, labels, "quality", most_bytes=20_000)
+    assert len(few) > 2 and all(sum(len(t.encode()) for t, own in few if own == y) <= 20_000 for y in (0, 1))
 
 
 def test_gradients_of_the_recurrent_network():
@@ -63,11 +110,11 @@ def test_gradients_of_the_recurrent_network():
     def loss() -> float:
         flat = np.concatenate([x.reshape(-1, toxicity.INPUTS), np.zeros((1, toxicity.INPUTS))])
         token = np.arange(3 * toxicity.WINDOW).reshape(3, -1)
-        logit = net._pool(net._read(np.einsum("ni,dij->dnj", flat, net.p["w"]), token, inside, None), inside)[0]
+        logit = net._pool(net._read(flat @ net.p["w"], token, inside, None), inside)[0]
         return float(np.mean(np.log1p(np.exp(logit)) - y * logit))
 
-    grads = net.gradients(x.astype(np.float32), inside, y.astype(np.float32))
-    for name in net.p:
+    grads, dx = net.gradients(x.astype(np.float32), inside, y.astype(np.float32))
+    for name in "wuvo":
         at = tuple(r.integers(0, n) for n in net.p[name].shape)
         step = 1e-3
         net.p[name][at] += step
