@@ -1,9 +1,11 @@
 """Main text of web pages by a minimum cut.
 
-A page becomes its blocks of text in order. A linear classifier over a block's ancestors, names, links and length gives
-it a cost of being boilerplate and one of being content: capacities to the two terminals. Blocks next to each other, and
-more so under the same parent or in the same section, are joined by smoothness edges. The minimum cut of this
-graph is the labelling of least total cost; the content side, in page order, is the text.
+A page becomes its blocks of text in order. A linear classifier over a block's own text (length, links, heading, names) gives
+it a cost of being boilerplate and one of being content: capacities to the two terminals. What surrounds a block comes in by
+edges alone: sections (articles, navigation, forms, ..) are nodes tied to their terminal, and each block has an edge to its
+section; blocks next to each other, and more so under the same parent or in the same section, are joined by smoothness
+edges. The minimum cut of this graph is the labelling of least total cost; the content side, in page order, is the text.
+A short paragraph looks like boilerplate by itself and is content by what is around it.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,27 +21,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
+# A tag that meets another "<" before its end is text: every sign is looked at a bounded number of times.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 # Element names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "button", "noembed", "noframes", "xmp"}
+RAW = {"script", "style", "textarea", "title"}
+#: Controls that HTML lets hold phrases only: a block element behind an unclosed one is outside.
+CONTROLS = {"button", "select", "option", "label"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "td", "th", "div", "section", "article", "body", "html", "nav", "aside", "form", "main", "header", "footer", "blockquote"}
 # Sections that are boilerplate by their element, role, or the words of their class and id.
-BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "address"}
+BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "address", "button", "select", "noscript", "template", "iframe", "svg", "object", "noembed", "noframes"}
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 BOILER_WORDS = {"ad", "ads", "adbox", "adslot", "banner", "promo", "promoted", "widget", "widgets", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "signup", "reply", "replies", "disqus", "respond", "nav", "menu", "menus", "masthead", "topbar", "toolbar", "share", "sharing", "social", "related", "recommended", "login", "search", "searchbox", "copyright", "legal", "disclaimer", "pagination", "pager", "header", "sidebar", "skip", "dropdown"}
 BOILER_STEMS = ("advert", "sponsor", "sidebar", "cookie", "newsletter", "subscri", "comment", "navbar", "navigation", "breadcrumb", "footer", "discuss")
 CONTENT_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text"}
 
-# What the classifier adds up: the log-odds that a block is content.
-BASE, IN_ARTICLE, IN_BOILER, LINKS, LONG, HEADING, NAMED, OPEN = -1.0, 4.0, -9.0, -4.0, 0.8, 0.8, 1.0, 1.5
+# What the classifier adds up over a block's own text: the log-odds that it is content.
+BASE, LINKS, LONG, HEADING, NAMED, RIGHTS = -1.0, -4.0, 0.8, 0.8, 1.0, -3.0
+# Capacities of the edge to the section: one that is boilerplate (for each around), an article, and text that is in
+# neither, on pages with an article and on others.
+IN_BOILER, IN_ARTICLE, BESIDE, OPEN = 9.0, 4.0, 4.0, 1.5
 # Smoothness: neighbours, more if they share a section, more if they share a parent.
-NEXT, SECTION, PARENT = 0.2, 0.4, 0.6
+NEXT, SECTION, PARENT = 0.3, 0.5, 0.8
 
 
 class Block:
@@ -83,6 +91,7 @@ def blocks(page: str) -> list[tuple[Block, str]]:
     found: list[tuple[Block, str]] = []
     now: Block | None = None
     links = number = at = 0
+    open_: dict[str, int] = defaultdict(int)
     length = len(page)
 
     def say(text: str) -> None:
@@ -108,6 +117,14 @@ def blocks(page: str) -> list[tuple[Block, str]]:
                 found.append((now, text))
             now = None
 
+    def drop(k: int) -> None:
+        """Close the elements from place k of the stack on."""
+        nonlocal links
+        for x in stack[k:]:
+            open_[x[0]] -= 1
+        links = open_["a"]
+        del stack[k:]
+
     while at < length:
         m = TOKEN.search(page, at)
         if m is None:
@@ -120,67 +137,90 @@ def blocks(page: str) -> list[tuple[Block, str]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if not k:
+            if not open_[tag]:
                 if tag == "br":
                     say(" ")
                 elif tag == "p":
                     flush()
                 continue
-            if tag in INLINE and any(x[0] not in INLINE for x in stack[k + 1 :]):
-                continue  # an inline end tag does not close the blocks inside
+            k = len(stack) - 1
+            while stack[k][0] != tag:
+                if tag in INLINE and stack[k][0] not in INLINE:
+                    k = 0
+                    break  # an inline end tag does not close the blocks inside
+                k -= 1
+            if not k:
+                continue
             if any(x[0] not in INLINE for x in stack[k:]):
                 flush()
-            links -= sum(x[0] == "a" for x in stack[k:])
-            del stack[k:]
+            drop(k)
             continue
         if tag == "br":
             say(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at) if not m[3].endswith("/") or tag not in ("svg", "math") else None
-            at = end.end() if end else (at if m[3].endswith("/") and tag in ("svg", "math") else length)
+            if tag != "title" or not open_["svg"]:
+                end = RAW_END[tag].search(page, at) or UNCLOSED.search(page, at)
+                at = length if end is None else end.end() if end[0].startswith("</") else end.start()
             continue
         if tag in VOID:
             if tag not in INLINE:
                 flush()
             continue
         if tag not in INLINE:
+            if tag not in CONTROLS:
+                for k in range(1, len(stack)) if any(open_[x] for x in CONTROLS) else ():
+                    if stack[k][0] in CONTROLS:
+                        flush()
+                        drop(k)
+                        break
             flush()
-            if tag in CLOSES_P:
-                _close(stack, {"p"})
-            if tag in SELF_CLOSING:
-                _close(stack, SELF_CLOSING[tag])
-            links = sum(x[0] == "a" for x in stack)
+            for tags in ({"p"} if tag in CLOSES_P else None, SELF_CLOSING.get(tag)):
+                k = _nearest(stack, tags) if tags and any(open_[x] for x in tags) else 0
+                if k:
+                    drop(k)
         elif tag == "a":
             links += 1
+        if m[3].endswith("/") and tag in ("svg", "math"):
+            continue
         number += 1
         zone = _zone(tag, m[3], stack[-1][1])
         section = number if zone[:2] != stack[-1][1][:2] else stack[-1][3]
+        open_[tag] += 1
         stack.append((tag, zone, number, section))
     flush()
     return found
 
 
-def _close(stack: list, tags: set[str]) -> None:
-    """Close the nearest of these elements, if no section lies between."""
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+#: Where a script, style, textarea or title ends that is never closed: at the next block element or end tag of a section.
+UNCLOSED = re.compile(rf"<(?:/?(?:head|body|html|{'|'.join(sorted(CLOSES_P))})(?=[\s/>]))", re.I)
+
+
+def _nearest(stack: list, tags: set[str]) -> int:
+    """The place of the nearest of these elements, 0 if there is none or a section lies between."""
     for i in range(len(stack) - 1, 0, -1):
         if stack[i][0] in tags:
-            del stack[i:]
-            return
+            return i
         if stack[i][0] in SCOPE:
-            return
+            return 0
+    return 0
+
 
+def content_odds(block: Block, text: str) -> float:
+    """What the block's own text says."""
+    odds = BASE + LINKS * block.linked / max(1, block.size) + LONG * math.log1p(len(text) / 40) + HEADING * block.heading
+    return odds + NAMED * (block.zone[2] and not block.zone[1]) + RIGHTS * (len(text) < 300 and "\u00a9" in text)
 
-def content_odds(block: Block, text: str, has_article: bool) -> float:
-    article, boiler, named = block.zone
-    share = block.linked / max(1, block.size)
-    odds = BASE + IN_BOILER * boiler + LINKS * share + LONG * math.log1p(len(text) / 40) + HEADING * block.heading
+
+def section_pull(zone: tuple[int, int, int], has_article: bool) -> float:
+    """The edge to the section of the block: its capacity, negative if the section is tied to the side of boilerplate."""
+    article, boiler, _ = zone
+    if boiler:
+        return -IN_BOILER * boiler
     if article:
-        odds += IN_ARTICLE
-    else:
-        odds += -IN_ARTICLE if has_article else OPEN
-    return odds + (NAMED if named and not boiler else 0)
+        return IN_ARTICLE
+    return -BESIDE if has_article else OPEN
 
 
 def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -194,13 +234,15 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
         near[a][b] = near[a].get(b, 0.0) + w
         near[b][a] = near[b].get(a, 0.0) + w
     label: list[bool | None] = [None] * n
+    held = [sum(x.values()) for x in near]
     queue = deque(range(n))
     while queue:
         i = queue.popleft()
-        if label[i] is None and abs(odds[i]) >= sum(near[i].values()):
+        if label[i] is None and abs(odds[i]) >= held[i] - 1e-9:
             label[i] = odds[i] > 0
             for j, w in near[i].items():
                 del near[j][i]
+                held[j] -= w
                 odds[j] += w if label[i] else -w
                 queue.append(j)
             near[i] = {}
@@ -242,12 +284,13 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
             j = i
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    if not found:
-        return ""
-    has_article = any(b.zone[0] for b, _ in found)
-    odds = [content_odds(b, t, has_article) for b, t in found]
+def labelled(page: str) -> list[tuple[str, bool, float]]:
+    """(text, whether it is content, the log-odds of its own text) of every block."""
+    found = blocks(page)
+    has_article = any(b.zone[0] and not b.zone[1] for b, _ in found)
+    own = [content_odds(b, t) for b, t in found]
+    # Sections are tied to a terminal, so that the edge to one adds to the block's own capacity.
+    odds = [x + section_pull(b.zone, has_article) for x, (b, _) in zip(own, found, strict=True)]
     edges = []
     last: dict[int, int] = {}
     for i, (b, _) in enumerate(found):
@@ -257,7 +300,11 @@ def main_text(page: str | None) -> str:
         if b.parent in last:
             edges.append((last[b.parent], i, PARENT))  # near in the tree, though others may lie between
         last[b.parent] = i
-    return "\n".join(t for (_, t), use in zip(found, minimum_cut(odds, edges), strict=True) if use)
+    return [(t, use, x) for (_, t), use, x in zip(found, minimum_cut(odds, edges), own, strict=True)]
+
+
+def main_text(page: str | None) -> str:
+    return "\n".join(t for t, use, _ in labelled(page or "") if use)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
