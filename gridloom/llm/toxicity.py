@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import training_rows
-from .shared import LOWER, U64, held_out_mod, mix, released, span_hashes, text_slices, word_bounds
+from .shared import LOWER, U64, held_out_mod, mix, release, released, span_hashes, text_slices, word_bounds
 
 WINDOW, HOP, HIDDEN, BITS = 32, 16, 8, 17
 #: Log-odds of a word (and a constant), numbers in a vector, and a word's inputs: log-odds, its vector, its characters' vector.
@@ -270,17 +270,21 @@ def learn(rows: list[tuple[str, int]], seed: int = 7) -> tuple[Network, list[np.
             seen[fold[i], k, y, np.unique(own)] += 1
         grams, runs = w.letters()
         local = np.empty(w.count, np.int64)
+        known = len(number_of)
         for j, h in enumerate(w.hashes.tolist()):
             local[j] = number_of.setdefault(h, len(number_of))
-            if local[j] == len(buckets):
-                buckets.append(int(w.bucket[j]))
-                gram_parts.append(grams[runs[j] : runs[j + 1]])
-                gram_counts.append(runs[j + 1] - runs[j])
+        fresh = np.flatnonzero(local >= known)
+        fresh = fresh[np.argsort(local[fresh], kind="stable")]
+        buckets.append(w.bucket[fresh].astype(np.int32))
+        own, ends = _some((grams, runs), fresh)
+        gram_parts.append(own.astype(np.int32))
+        gram_counts.append(np.diff(ends))
         tokens.append(local[w.word].astype(np.int32))
     number = np.array([[((labels == y) & (fold == k)).sum() for y in (0, 1)] for k in (0, 1)], float)
-    known = len(buckets)
-    bucket = np.array(buckets, np.int64)
-    letters = (np.concatenate(gram_parts), np.concatenate([[0], np.cumsum(gram_counts)])) if known else (np.empty(0, np.int64), np.zeros(1, np.int64))
+    known = len(number_of)
+    bucket = np.concatenate(buckets)
+    letters = (np.concatenate(gram_parts), np.concatenate([[0], np.cumsum(np.concatenate(gram_counts))]).astype(np.int64))
+    del buckets, gram_parts, gram_counts
     tables = [_log_odds(seen[1 - k], number[1 - k]) for k in (0, 1)]
     odds = np.zeros((2 * known, ODDS), np.float32)
     for i in range(len(rows)):
@@ -306,7 +310,7 @@ def learn(rows: list[tuple[str, int]], seed: int = 7) -> tuple[Network, list[np.
                 peak = np.append(odds[:, :4].max(1), 0)[word] if known else np.zeros(len(word))
                 score = np.array([peak[a : a + n].max() if n else 0 for a, n in zip(first, size, strict=True)], np.float32)
             else:
-                score = net.logits(_both(net, odds, bucket, letters), word, first, size)
+                score = _window_scores(net, odds, bucket, letters, word, first, size)
             top = np.array([a + int(score[a : b + 1].argmax()) for a, b in zip(begins, ends, strict=True)])
             others = begins[negative] + (r.random(len(negative)) * (ends - begins + 1)[negative]).astype(int)
             use, target = np.concatenate([top, others]), np.concatenate([labels, np.zeros(len(negative), np.int64)]).astype(np.float32)
@@ -335,7 +339,10 @@ def learn(rows: list[tuple[str, int]], seed: int = 7) -> tuple[Network, list[np.
             net.p[name] -= (rate * (m / (1 - 0.9**tick)) / (np.sqrt(v / (1 - 0.99**tick)) + 1e-7)).astype(np.float32)
             if name in "ec":
                 net.p[name] *= np.float32(1 - DECAY)
-    return net, _log_odds(seen.sum(0), number.sum(0))
+    out = net, _log_odds(seen.sum(0), number.sum(0))
+    del number_of, odds, letters, bucket, word, moment, seen
+    release()
+    return out
 
 
 def _some(letters: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,13 +353,16 @@ def _some(letters: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> tuple[np
     return grams[np.repeat(runs[words] - ends + n, n) + np.arange(n.sum())], np.concatenate([[0], ends])
 
 
-def _both(net: Network, odds: np.ndarray, bucket: np.ndarray, letters: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The inputs of all words with the log-odds of either half."""
+def _window_scores(net: Network, odds: np.ndarray, bucket: np.ndarray, letters: tuple[np.ndarray, np.ndarray], word: np.ndarray, first: np.ndarray, size: np.ndarray, at_once: int = 2048) -> np.ndarray:
+    """Logits of the training windows, some at a time, each time with the inputs of the words that these hold."""
+    out = np.zeros(len(first), np.float32)
     known = len(bucket)
-    one = net.inputs(odds[:known], bucket, letters)
-    two = one.copy()
-    two[:, :ODDS] = odds[known:]
-    return np.concatenate([one, two])
+    for k in range(0, len(first), at_once):
+        lo, hi = int(first[k]), int((first + size)[k : k + at_once].max())
+        near, place = np.unique(word[lo:hi], return_inverse=True)
+        inputs = net.inputs(odds[near], bucket[near % known], _some(letters, near % known)) if len(near) else np.zeros((0, INPUTS), np.float32)
+        out[k : k + at_once] = net.logits(inputs, place, first[k : k + at_once] - lo, size[k : k + at_once])
+    return out
 
 
 def score_texts(model: tuple[Network, list[np.ndarray]] | None, texts: pa.Array) -> np.ndarray:
