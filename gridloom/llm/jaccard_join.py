@@ -6,13 +6,19 @@ A document is the set of hashes of its n-grams. Equal sets are one class. The re
    prefix in that order: two sets that link share an n-gram of their prefixes.
 2. An n-gram's list is sorted by set size and cut into blocks by position. Index-level skipping: a block is
    passed over when its sizes are out of range or its positions leave too few n-grams behind them.
-3. Answer-level skipping: of every list, a leader takes the sets that follow it within its range of sizes.
-   These few pairs are verified first. Sets linked to the same leader have the answer of their component;
-   the second pass only looks at pairs of different components, and a pair whose parities
-   (at least 512 bits a set, about a bit an n-gram) differ in more places than the threshold allows is rejected without its sets. Both are exact.
-4. What is left is verified with the whole sets. Components of the links are the answer.
-
-Links inside a component that follow from others are not listed: no pair within a group of copies is expanded.
+3. Answer-level skipping. Of every list, a leader takes the sets that follow it within its range of sizes; each set keeps
+   the smallest and the largest of its leaders. These few pairs are verified first, and their exact difference is the
+   answer that is kept: a linked set stands in its leader's group, at that distance. From here on lists hold a
+   group once, with its widest distance. Groups of different components are compared by their leaders alone: what the
+   leaders' computed difference, less both distances, already puts beyond the threshold is settled for all
+   members without their sets. Before that, parities (at least 512 bits a set, about a bit an n-gram) bound the
+   difference of two leaders from below in the same way.
+4. Only members of groups whose leaders are near enough are compared themselves, where their own distances from
+   their leaders leave it open, and verified with the whole sets. Components of the links are the answer.
+
+Every skip follows from the triangle inequality of set differences, so the result is exact. Links inside a component that
+follow from others are not listed: no pair within a group of copies is expanded. A leader of many sets is sent to as many
+tasks as its sets need.
 """
 
 from __future__ import annotations
@@ -33,6 +39,9 @@ PARITY = 512
 ID_BITS = 23
 #: Rows of a list that are compared with each other at once; longer lists go block against block.
 BLOCK = 2048
+#: Sets that one task verifies against a leader; a leader of more goes to several tasks.
+FOLLOWERS = 512
+PAIR = "a long, a_fp long, b long, b_fp long"
 
 
 # ---------------------------------------------------------------- sets
@@ -285,38 +294,69 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(threshold: int) -> Callable:
-    """(leader, follower) ids of every list: a leader takes the rows behind it that its size allows."""
+    """(leader, follower) of every list, with the leader's size and whether the list has these two alone: a leader takes the rows
+    behind it that its size allows."""
+    names = ["key", "n", "doc_id", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead: tuple[int, int, int] | None = None
-        for batch in batches:
-            key, n, ids, fps = (batch.column(c).to_numpy() for c in ("key", "n", "doc_id", "fp"))
-            a = np.empty(len(key), np.int64)
-            a_fp = np.empty(len(key), np.int64)
-            i = 0
+        lead: tuple[int, int, int, int] | None = None
+        held: pa.Table | None = None  # one or two rows that may be a whole list
+        for batch in _and_none(batches):
+            now = [x for x in (held, None if batch is None else pa.Table.from_batches([batch]).select(names)) if x is not None]
+            if not now:
+                continue
+            rows = pa.concat_tables(now)
+            key = rows.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            held = None
+            if batch is not None and len(key) - last <= 2 and (lead is None or lead[0] != key[-1]):
+                held = rows.slice(last)
+                rows = rows.slice(0, last)
+                key = key[:last]
+            if not len(key):
+                continue
+            n, ids, fps = (rows.column(c).to_numpy() for c in ("n", "doc_id", "fp"))
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            count = np.diff(np.append(begin, len(key)))
+            if lead is not None and lead[0] == key[0]:
+                count[0] += 3  # goes on from rows before
+            two = np.repeat(count == 2, np.diff(np.append(begin, len(key))))
+            a, a_fp, a_n = (np.empty(len(key), np.int64) for _ in range(3))
             limit = n * threshold
+            i = 0
             while i < len(key):
                 if lead is None or lead[0] != key[i] or lead[1] * 100 < limit[i]:
-                    lead = (key[i], int(n[i]), ids[i], fps[i])
+                    lead = (int(key[i]), int(n[i]), int(ids[i]), int(fps[i]))
                 end = int(np.searchsorted(key, lead[0], side="right"))
                 stop = i + int(np.searchsorted(limit[i:end], lead[1] * 100, side="right"))
-                a[i:stop], a_fp[i:stop] = lead[2], lead[3]
+                a[i:stop], a_fp[i:stop], a_n[i:stop] = lead[2], lead[3], lead[1]
                 i = stop
-            pair = np.flatnonzero(a != ids)
+            pair = np.flatnonzero((a != ids) | (a_fp != fps))
             if len(pair):
-                rows = np.unique(np.stack([a[pair], a_fp[pair], ids[pair], fps[pair]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["a", "a_fp", "b", "b_fp"])
+                out = np.unique(np.stack([a[pair], a_fp[pair], ids[pair], fps[pair], a_n[pair], n[pair], two[pair]]), axis=1)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in out[:6]), pa.array(out[6].astype(bool))], ["a", "a_fp", "b", "b_fp", "a_n", "n", "two"])
 
     return released(run)
 
 
-def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+def _and_none(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def most_apart(n, m, threshold: int):
+    """The largest difference of linked sets of n and m (any array or column)."""
+    return (n + m) * (100 - threshold) // (100 + threshold)
+
+
+def most_apart_column(n: str, m: str, threshold: int):
+    return F.floor((F.col(n) + F.col(m)) * F.lit(100 - threshold) / F.lit(100 + threshold)).cast("long")
 
 
 def _across(threshold: int) -> Callable:
-    """Pairs of different components in a list that sizes, positions and parities do not rule out."""
-    names = ["key", "n", "pos", "fp", "doc_id", "component", "bits"]
+    """Pairs of groups of different components in a list that sizes, positions and the leaders' parities do not rule out, with
+    the difference of the leaders up to which members may link."""
+    names = ["key", "lo", "hi", "reach", "wide", "fp", "doc_id", "component", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, names):
@@ -330,28 +370,31 @@ def _across(threshold: int) -> Callable:
                 component = part["component"][s:e]
                 if (component == component[0]).all():
                     continue
-                n, pos = part["n"][s:e].astype(np.int64), part["pos"][s:e].astype(np.int64)
+                lo, hi, reach, wide = (part[x][s:e].astype(np.int64) for x in ("lo", "hi", "reach", "wide"))
                 for i0 in range(0, e - s, BLOCK):
                     i1 = min(e - s, i0 + BLOCK)
                     for j0 in range(i0, e - s, BLOCK):
                         j1 = min(e - s, j0 + BLOCK)
-                        if n[i1 - 1] * 100 < n[j0] * threshold:
-                            break  # sizes ascend: no later block can match
-                        most = min((n[i0:i1] - pos[i0:i1]).max(), (n[j0:j1] - pos[j0:j1]).max())
-                        if most < overlap_needed(n[i0], n[j0], threshold):
+                        if hi[i0:i1].max() * 100 < lo[j0] * threshold:
+                            break  # least sizes ascend: no later block can match
+                        if min(reach[i0:i1].max(), reach[j0:j1].max()) < overlap_needed(lo[i0], lo[j0], threshold):
                             continue  # the block's positions leave too few n-grams
                         ok = component[i0:i1, None] != component[None, j0:j1]
-                        ok &= n[i0:i1, None] * 100 >= n[None, j0:j1] * threshold
-                        ok &= np.minimum((n - pos)[i0:i1, None], (n - pos)[None, j0:j1]) >= overlap_needed(n[i0:i1, None], n[None, j0:j1], threshold)
+                        ok &= (hi[i0:i1, None] * 100 >= lo[None, j0:j1] * threshold) & (hi[None, j0:j1] * 100 >= lo[i0:i1, None] * threshold)
+                        ok &= np.minimum(reach[i0:i1, None], reach[None, j0:j1]) >= overlap_needed(lo[i0:i1, None], lo[None, j0:j1], threshold)
                         x, y = np.nonzero(ok)
                         late = x + i0 < y + j0
                         x, y = x[late] + i0, y[late] + j0
                         for q in range(0, len(x), 1 << 18):
                             u, v = x[q : q + (1 << 18)], y[q : q + (1 << 18)]
-                            near = _differ(bits[s + u], bits[s + v]) <= n[u] + n[v] - 2 * overlap_needed(n[u], n[v], threshold)
+                            bound = most_apart(hi[u], hi[v], threshold) + wide[u] + wide[v]
+                            near = _differ(bits[s + u], bits[s + v]) <= bound
                             if near.any():
-                                u, v = u[near] + s, v[near] + s
-                                found.append(np.stack([part["doc_id"][u], part["fp"][u], part["doc_id"][v], part["fp"][v]]))
+                                u, v, bound = u[near] + s, v[near] + s, bound[near]
+                                # One order of each pair, so that it is told once.
+                                swap = part["doc_id"][u] > part["doc_id"][v]
+                                u, v = np.where(swap, v, u), np.where(swap, u, v)
+                                found.append(np.stack([part["doc_id"][u], part["fp"][u], part["doc_id"][v], part["fp"][v], bound]))
                                 held += len(u)
                                 if held > 200_000:
                                     yield _pairs(found)
@@ -363,47 +406,79 @@ def _across(threshold: int) -> Callable:
 
 
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found, 1), axis=1)], ["a", "a_fp", "b", "b_fp"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found, 1), axis=1)], ["a", "a_fp", "b", "b_fp", "bound"])
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
 
 
 def _verify(threshold: int) -> Callable:
-    """Of a stream sorted by (a, a_fp), each leader's own row (b null) first: the pairs that link."""
+    """Of a stream sorted by (a, a_fp, part), each leader's own row (b null) first: the pairs within their bound, with the
+    exact difference of the sets and whether they link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: tuple[int, int] | None = None
+        own: tuple[int, int, int] | None = None
         base = np.empty(0, np.uint64)
         for batch in batches:
-            a, a_fp = batch.column("a").to_numpy(), batch.column("a_fp").to_numpy()
-            b = batch.column("b")
-            u, v = [], []
-            grams = batch.column("grams")
+            a, a_fp, part = (batch.column(c).to_numpy() for c in ("a", "a_fp", "part"))
+            b, grams, bound = batch.column("b"), batch.column("grams"), batch.column("bound").to_numpy(zero_copy_only=False)
+            at, apart, linked = [], [], []
             for i in range(len(batch)):
                 other = np.frombuffer(grams[i].as_buffer(), np.uint64)
+                now = (int(a[i]), int(a_fp[i]), int(part[i]))
                 if not b[i].is_valid:
-                    own, base = (int(a[i]), int(a_fp[i])), other
+                    own, base = now, other
                     continue
-                if own != (int(a[i]), int(a_fp[i])):
+                if own != now:
                     raise RuntimeError("a leader's set is missing")
                 # Both sets are ascending: places of one in the other.
                 small, large = (base, other) if len(base) <= len(other) else (other, base)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-                if 100 * both >= threshold * (len(base) + len(other) - both):
-                    u.append(int(a[i]))
-                    v.append(b[i].as_py())
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
+                place = np.searchsorted(large, small)
+                both = int((large[np.minimum(place, len(large) - 1)] == small).sum()) if len(large) else 0
+                d = len(base) + len(other) - 2 * both
+                if d <= bound[i]:
+                    at.append(i)
+                    apart.append(d)
+                    linked.append(100 * both >= threshold * (len(base) + len(other) - both))
+            if at:
+                kept = batch.select(["a", "a_fp", "b", "b_fp"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(apart, pa.int64()), pa.array(linked)], ["a", "a_fp", "b", "b_fp", "apart", "linked"])
 
     return released(run)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs that link, verified with whole sets. A follower's set moves once for each of its pairs, a leader's once. Should sets hold
-    a document twice (repeated rows), its pairs are looked at twice to the same end."""
-    follower = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("fp").alias("b_fp"), "grams"), ["b", "b_fp"]).select("a", "a_fp", "b", "grams")
-    leader = pairs.select("a", "a_fp").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("fp").alias("a_fp"), "grams"), ["a", "a_fp"]).select("a", "a_fp", F.lit(None).cast("long").alias("b"), "grams")
-    stream = follower.unionByName(leader).repartition("a", "a_fp").sortWithinPartitions("a", "a_fp", F.col("b").asc_nulls_first())
-    return stream.mapInArrow(_verify(threshold), "a long, b long")
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int, name: str) -> DataFrame:
+    """(a, a_fp, b, b_fp, apart, linked) of the pairs (with bound) whose sets differ in at most bound n-grams. A follower's set moves
+    once for each of its pairs; a leader's goes once to each task that has followers of it, of FOLLOWERS at most. Should
+    sets hold a document twice (repeated rows), its pairs are looked at twice to the same end."""
+    sets = _sets_of(pairs, texts, width)
+    # How many tasks a leader's followers need, of those that need more than one.
+    many = pairs.groupBy("a", "a_fp").agg(F.count(F.lit(1)).alias("k_")).where(F.col("k_") > FOLLOWERS).select("a", "a_fp", F.ceil(F.col("k_") / FOLLOWERS).cast("int").alias("parts_"))
+    dealt = pairs.join(many, ["a", "a_fp"], "left").withColumn("part", F.coalesce(F.pmod(F.hash("b", "b_fp"), F.col("parts_")), F.lit(0))).drop("parts_")
+    follower = dealt.join(sets.select(F.col("doc_id").alias("b"), F.col("fp").alias("b_fp"), "grams"), ["b", "b_fp"]).select("a", "a_fp", "part", "b", "b_fp", "bound", "grams")
+    own = dealt.select("a", "a_fp", "part").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("fp").alias("a_fp"), "grams"), ["a", "a_fp"])
+    leader = own.select("a", "a_fp", "part", F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("b_fp"), F.lit(0).cast("long").alias("bound"), "grams")
+    stream = follower.unionByName(leader).repartition("a", "a_fp", "part").sortWithinPartitions("a", "a_fp", "part", F.col("b").asc_nulls_first())
+    return cut(stream.mapInArrow(_verify(threshold), PAIR + ", apart long, linked boolean"), name)
+
+
+def _near_only(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs whose parities do not put them beyond their bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            apart = np.empty(len(batch), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                size = min(len(x), len(y))
+                apart[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()
+            yield batch.select(["a", "a_fp", "b", "b_fp", "bound"]).filter(pa.array(apart <= batch.column("bound").to_numpy(zero_copy_only=False)))
+
+    one = pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("fp").alias("a_fp"), F.col("bits").alias("x")), ["a", "a_fp"])
+    two = one.join(bits.select(F.col("doc_id").alias("b"), F.col("fp").alias("b_fp"), F.col("bits").alias("y")), ["b", "b_fp"])
+    return cut(two.mapInArrow(released(run), PAIR + ", bound long"), "jaccard-near")
 
 
 # ---------------------------------------------------------------- the operator
@@ -433,49 +508,48 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: int = 90, id_
     bits = first.where("kind = -1 and doc_id is not null").select("doc_id", F.col("fp1").alias("fp"), "bits", "n").dropDuplicates(["doc_id", "fp"])
 
     ordered = shared.repartition("key").sortWithinPartitions("key", "n", "fp", "doc_id")
-    stars = ordered.mapInArrow(_stars(threshold), "a long, a_fp long, b long, b_fp long").distinct()
-    stars = _near_only(stars, bits, threshold)
-    links = cut(_links(stars, _sets_of(stars, texts, width), threshold), "jaccard-links")
-    known = connected_components(links, "jaccard-components")
-
-    # Sets of one component have their answer; the others are looked at across components.
-    labelled = shared.join(known, shared["doc_id"] == known["node"], "left").select("key", shared["n"], "pos", "fp", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    stars = ordered.mapInArrow(_stars(threshold), PAIR + ", a_n long, n long, two boolean")
+    # Of the leaders in longer lists a set keeps the smallest and the largest; what these do not settle the second pass does.
+    lead = F.when(~F.col("two"), F.struct("a_n", "a_fp", "a"))
+    most = stars.groupBy("b", "b_fp").agg(F.array_compact(F.array_union(F.array(F.min(lead), F.max(lead)), F.collect_set(F.when(F.col("two"), F.struct("a_n", "a_fp", "a"))))).alias("leads"), F.first("n").alias("n"))
+    kept = most.select("b", "b_fp", "n", F.explode("leads").alias("l"))
+    kept = kept.select("l.a", "l.a_fp", "b", "b_fp", most_apart_column("l.a_n", "n", threshold).alias("bound"))
+    links = _verified(_near_only(kept, bits), texts, width, threshold, "jaccard-links").where("linked")
+    known = connected_components(links.select("a", "b"), "jaccard-components")
+
+    # The answers so far: each linked set's nearest leader and their difference. Other sets lead themselves.
+    own = links.groupBy("b", "b_fp").agg(F.min(F.struct("apart", "a", "a_fp")).alias("l")).select(F.col("b").alias("doc_id"), F.col("b_fp").alias("fp"), F.col("l.a").alias("leader"), F.col("l.a_fp").alias("leader_fp"), "l.apart")
+    listed = shared.join(own, ["doc_id", "fp"], "left").select("key", "n", "pos", "doc_id", "fp", F.coalesce("leader", "doc_id").alias("leader"), F.coalesce("leader_fp", "fp").alias("leader_fp"), F.coalesce("apart", F.lit(0)).cast("long").alias("apart"))
+    listed = listed.join(known, listed["leader"] == known["node"], "left").withColumn("component", F.coalesce("component", "leader")).drop("node")
     # Lists whose sets are all of one component have nothing left to ask, nor have lists of two: those were leader and follower.
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("key")
-    labelled = labelled.join(mixed, "key", "left_semi").join(bits.drop("n"), ["doc_id", "fp"])
-    across = labelled.repartition("key").sortWithinPartitions("key", "n", "fp", "doc_id").mapInArrow(_across(threshold), "a long, a_fp long, b long, b_fp long").distinct()
-    across = _near_only(across, bits, threshold)
-    more = cut(_links(across, _sets_of(across, texts, width), threshold), "jaccard-links")
+    mixed = listed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("key")
+    listed = cut(listed.join(mixed, "key", "left_semi"), "jaccard-listed")
+    groups = listed.groupBy("key", "leader", "leader_fp", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("reach"), F.max("apart").alias("wide"))
+    groups = groups.select("key", "lo", "hi", "reach", "wide", F.col("leader").alias("doc_id"), F.col("leader_fp").alias("fp"), "component").join(bits.drop("n"), ["doc_id", "fp"])
+    across = groups.repartition("key").sortWithinPartitions("key", "lo", "fp", "doc_id").mapInArrow(_across(threshold), PAIR + ", bound long")
+    across = across.groupBy("a", "a_fp", "b", "b_fp").agg(F.max("bound").alias("bound"))
+    met = _verified(_near_only(across, bits), texts, width, threshold, "jaccard-met")
+
+    # Members of groups that are still open: their leaders' difference, less their own distances, bounds theirs.
+    open_ = met.where("not linked").select(F.col("a").alias("la"), F.col("a_fp").alias("la_fp"), F.col("b").alias("lb"), F.col("b_fp").alias("lb_fp"), F.col("apart").alias("between"))
+    rows_of = lambda side: listed.select("key", F.col("leader").alias(f"l{side}"), F.col("leader_fp").alias(f"l{side}_fp"), F.col("doc_id").alias(side), F.col("fp").alias(f"{side}_fp"), F.col("n").cast("long").alias(f"n_{side}"), F.col("pos").cast("long").alias(f"pos_{side}"), F.col("apart").alias(f"apart_{side}"))
+    members = rows_of("a").join(open_, ["la", "la_fp"]).join(rows_of("b"), ["key", "lb", "lb_fp"]).where("apart_a + apart_b > 0")
+    bound = most_apart_column("n_a", "n_b", threshold)
+    needed = F.ceil(F.lit(threshold) * (F.col("n_a") + F.col("n_b")) / (100 + threshold))
+    members = members.where((F.col("between") - F.col("apart_a") - F.col("apart_b") <= bound) & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= needed))
+    members = members.select("a", "a_fp", "b", "b_fp", bound.alias("bound")).distinct()
+    more = _verified(_near_only(members, bits), texts, width, threshold, "jaccard-members").where("linked")
 
     # Equal sets: each row with the smallest id of its class.
     classes = rows.where("n > 0 and doc_id is not null")
     least = classes.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("least_"))
     same = classes.join(least, ["fp1", "fp2", "n"]).where("doc_id <> least_").select(F.col("doc_id").alias("a"), F.col("least_").alias("b"))
-    final = connected_components(links.union(more).union(same), "jaccard-components")
+    found = links.union(met.where("linked")).union(more).select("a", "b")
+    final = connected_components(found.union(same), "jaccard-components")
     out = rows.join(final, rows["doc_id"] == final["node"], "left")
     return out.select(rows["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("component", rows["doc_id"]).alias("component_id"))
 
 
-def _near_only(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
-    """Pairs whose parities do not rule them out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            apart = np.empty(len(batch), np.int64)
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                size = min(len(x), len(y))
-                apart[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()
-            ok = apart <= n + m - 2 * overlap_needed(n, m, threshold)
-            yield batch.select(["a", "a_fp", "b", "b_fp"]).filter(pa.array(ok))
-
-    one = pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("fp").alias("a_fp"), F.col("bits").alias("x"), "n"), ["a", "a_fp"])
-    two = one.join(bits.select(F.col("doc_id").alias("b"), F.col("fp").alias("b_fp"), F.col("bits").alias("y"), F.col("n").alias("m")), ["b", "b_fp"])
-    return cut(two.mapInArrow(released(run), "a long, a_fp long, b long, b_fp long"), "jaccard-stars")
-
-
 def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, but those whose component has a smaller id, and of rows with equal
     ids one. Rows with a null id stay."""
