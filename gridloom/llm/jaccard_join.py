@@ -13,8 +13,8 @@ A document is the set of hashes of its n-grams. Equal sets are one class. The re
    leaders' computed difference, less both distances, already puts beyond the threshold is settled for all
    members without their sets. Before that, parities (at least 512 bits a set, about a bit an n-gram) bound the
    difference of two leaders from below in the same way.
-4. Only members of groups whose leaders are near enough are compared themselves, where their own distances from
-   their leaders leave it open, and verified with the whole sets. Components of the links are the answer.
+4. Groups whose leaders' difference leaves it open are opened: their members stand in the lists themselves, are compared
+   across components in the same way, and verified with the whole sets. Components of the links are the answer.
 
 Every skip follows from the triangle inequality of set differences, so the result is exact. Links inside a component that
 follow from others are not listed: no pair within a group of copies is expanded. A leader of many sets is sent to as many
@@ -84,7 +84,7 @@ def fingerprints(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _sets_and_counts(width: int) -> Callable:
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bits", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bits", pa.binary()), ("short", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -101,11 +101,13 @@ def _sets_and_counts(width: int) -> Callable:
                 once[first] = True
                 total += np.bincount((sets[np.repeat(once, n)] >> U64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total)).astype(np.int32)
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1, np.int32)), batch.column(0).slice(lo, m), pa.array(n), pa.array(fp1), pa.array(fp2), pa.array(parities(sets, at), pa.binary()), pa.nulls(m, pa.binary())], schema=schema)
+                bits = parities(sets, at)
+                short = [folded(x, PARITY // 8).tobytes() for x in bits]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1, np.int32)), batch.column(0).slice(lo, m), pa.array(n), pa.array(fp1), pa.array(fp2), pa.array(bits, pa.binary()), pa.array(short, pa.binary()), pa.nulls(m, pa.binary())], schema=schema)
         kinds = [k for k in range(len(total) // CHUNK) if total[k * CHUNK : (k + 1) * CHUNK].any()]
         if kinds:
             m = len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), *[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.binary()), pa.array([zlib.compress(total[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1) for k in kinds], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), *[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array([zlib.compress(total[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1) for k in kinds], pa.binary())], schema=schema)
 
     return released(run)
 
@@ -356,14 +358,14 @@ def most_apart_column(n: str, m: str, threshold: int):
 def _across(threshold: int) -> Callable:
     """Pairs of groups of different components in a list that sizes, positions and the leaders' parities do not rule out, with
     the difference of the leaders up to which members may link."""
-    names = ["key", "lo", "hi", "reach", "wide", "fp", "doc_id", "component", "bits"]
+    names = ["key", "lo", "hi", "reach", "wide", "fp", "doc_id", "component", "short"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, names):
             key = part["key"]
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             end = np.append(begin[1:], len(key))
-            bits = np.stack([folded(x, PARITY // 8) for x in part["bits"].to_pylist()]).view(np.uint64)
+            bits = np.frombuffer(b"".join(part["short"].to_pylist()), np.uint64).reshape(len(key), -1)
             found: list[np.ndarray] = []
             held = 0
             for s, e in zip(begin.tolist(), end.tolist(), strict=True):
@@ -495,7 +497,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: int = 90, id_
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text_"))
-    first = cut(texts.mapInArrow(_sets_and_counts(width), "kind int, doc_id long, n long, fp1 long, fp2 long, bits binary, counts binary"), "jaccard-sets")
+    first = cut(texts.mapInArrow(_sets_and_counts(width), "kind int, doc_id long, n long, fp1 long, fp2 long, bits binary, short binary, counts binary"), "jaccard-sets")
     rows = first.where("kind = -1").select("doc_id", "n", "fp1", "fp2")
     parts = first.where("kind >= 0").select("kind", "counts").repartition(1 << BUCKET_BITS >> 16, "kind").mapInArrow(_summed, "kind int, counts binary").collect()  # 2**20 counts in all
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -505,7 +507,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: int = 90, id_
     lists = texts.where("doc_id is not null").mapInArrow(_postings(width, threshold, counts), "key long, n int, pos int, fp long, doc_id long")
     lists = lists.repartition("key").sortWithinPartitions("key", "n", "fp", "doc_id")
     shared = cut(lists.mapInArrow(released(_shared), "key long, n int, pos int, fp long, doc_id long"), "jaccard-lists")
-    bits = first.where("kind = -1 and doc_id is not null").select("doc_id", F.col("fp1").alias("fp"), "bits", "n").dropDuplicates(["doc_id", "fp"])
+    bits = first.where("kind = -1 and doc_id is not null").select("doc_id", F.col("fp1").alias("fp"), "bits", "short").dropDuplicates(["doc_id", "fp"])
 
     ordered = shared.repartition("key").sortWithinPartitions("key", "n", "fp", "doc_id")
     stars = ordered.mapInArrow(_stars(threshold), PAIR + ", a_n long, n long, two boolean")
@@ -520,25 +522,30 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: int = 90, id_
     # The answers so far: each linked set's nearest leader and their difference. Other sets lead themselves.
     own = links.groupBy("b", "b_fp").agg(F.min(F.struct("apart", "a", "a_fp")).alias("l")).select(F.col("b").alias("doc_id"), F.col("b_fp").alias("fp"), F.col("l.a").alias("leader"), F.col("l.a_fp").alias("leader_fp"), "l.apart")
     listed = shared.join(own, ["doc_id", "fp"], "left").select("key", "n", "pos", "doc_id", "fp", F.coalesce("leader", "doc_id").alias("leader"), F.coalesce("leader_fp", "fp").alias("leader_fp"), F.coalesce("apart", F.lit(0)).cast("long").alias("apart"))
-    listed = listed.join(known, listed["leader"] == known["node"], "left").withColumn("component", F.coalesce("component", "leader")).drop("node")
+    short = bits.select("doc_id", "fp", "short")
+
+    def compared(groups: DataFrame, name: str) -> DataFrame:
+        """The pairs of groups of different components whose leaders are within their bound."""
+        sorted_ = groups.join(short, ["doc_id", "fp"]).repartition("key").sortWithinPartitions("key", "lo", "fp", "doc_id")
+        across = sorted_.mapInArrow(_across(threshold), PAIR + ", bound long").groupBy("a", "a_fp", "b", "b_fp").agg(F.max("bound").alias("bound"))
+        return _verified(_near_only(across, bits), texts, width, threshold, name)
+
+    def with_component(rows: DataFrame, known: DataFrame) -> DataFrame:
+        return rows.join(known, rows["leader"] == known["node"], "left").withColumn("component", F.coalesce("component", "leader")).drop("node")
+
     # Lists whose sets are all of one component have nothing left to ask, nor have lists of two: those were leader and follower.
-    mixed = listed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("key")
-    listed = cut(listed.join(mixed, "key", "left_semi"), "jaccard-listed")
-    groups = listed.groupBy("key", "leader", "leader_fp", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("reach"), F.max("apart").alias("wide"))
-    groups = groups.select("key", "lo", "hi", "reach", "wide", F.col("leader").alias("doc_id"), F.col("leader_fp").alias("fp"), "component").join(bits.drop("n"), ["doc_id", "fp"])
-    across = groups.repartition("key").sortWithinPartitions("key", "lo", "fp", "doc_id").mapInArrow(_across(threshold), PAIR + ", bound long")
-    across = across.groupBy("a", "a_fp", "b", "b_fp").agg(F.max("bound").alias("bound"))
-    met = _verified(_near_only(across, bits), texts, width, threshold, "jaccard-met")
-
-    # Members of groups that are still open: their leaders' difference, less their own distances, bounds theirs.
-    open_ = met.where("not linked").select(F.col("a").alias("la"), F.col("a_fp").alias("la_fp"), F.col("b").alias("lb"), F.col("b_fp").alias("lb_fp"), F.col("apart").alias("between"))
-    rows_of = lambda side: listed.select("key", F.col("leader").alias(f"l{side}"), F.col("leader_fp").alias(f"l{side}_fp"), F.col("doc_id").alias(side), F.col("fp").alias(f"{side}_fp"), F.col("n").cast("long").alias(f"n_{side}"), F.col("pos").cast("long").alias(f"pos_{side}"), F.col("apart").alias(f"apart_{side}"))
-    members = rows_of("a").join(open_, ["la", "la_fp"]).join(rows_of("b"), ["key", "lb", "lb_fp"]).where("apart_a + apart_b > 0")
-    bound = most_apart_column("n_a", "n_b", threshold)
-    needed = F.ceil(F.lit(threshold) * (F.col("n_a") + F.col("n_b")) / (100 + threshold))
-    members = members.where((F.col("between") - F.col("apart_a") - F.col("apart_b") <= bound) & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= needed))
-    members = members.select("a", "a_fp", "b", "b_fp", bound.alias("bound")).distinct()
-    more = _verified(_near_only(members, bits), texts, width, threshold, "jaccard-members").where("linked")
+    listed_now = with_component(listed, known)
+    mixed = listed_now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("key")
+    listed_now = cut(listed_now.join(mixed, "key", "left_semi"), "jaccard-listed")
+    groups = listed_now.groupBy("key", "leader", "leader_fp", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("reach"), F.max("apart").alias("wide"))
+    met = compared(groups.withColumnsRenamed({"leader": "doc_id", "leader_fp": "fp"}), "jaccard-met")
+
+    # Groups that are open still: their members lead themselves.
+    known = connected_components(links.union(met.where("linked")).select("a", "b"), "jaccard-components")
+    open_ = met.where("not linked")
+    leaders = open_.select(F.col("a").alias("leader"), F.col("a_fp").alias("leader_fp")).union(open_.select("b", "b_fp")).distinct()
+    members = with_component(listed_now.drop("component").join(leaders, ["leader", "leader_fp"], "left_semi"), known)
+    more = compared(members.select("key", F.col("n").alias("lo"), F.col("n").alias("hi"), (F.col("n") - F.col("pos")).alias("reach"), F.lit(0).cast("long").alias("wide"), "doc_id", "fp", "component"), "jaccard-members").where("linked")
 
     # Equal sets: each row with the smallest id of its class.
     classes = rows.where("n > 0 and doc_id is not null")
