@@ -26,6 +26,30 @@ def cell_index(r: Column, c: Column, cols: Column | int) -> Column:
     return r * cols + c
 
 
+def cell_row_col(i: Column, cols: Column | int) -> tuple[Column, Column]:
+    """The inverse of cell_index."""
+    return F.floor(i / cols).cast("int"), (i % cols).cast("int")
+
+
+# The twelve colours of the first districts.
+PALETTE = ("4e79a7", "f28e2b", "e15759", "59a14f", "b07aa1", "edc948", "76b7b2", "ff5d8f", "9c755f", "17becf", "bcbd22", "8c564b")
+GOLDEN_ANGLE, SATURATION, LIGHTNESS = 137.508, 0.62, 0.52
+
+
+def district_rgb(district: Column) -> Column:
+    """A struct of red, green and blue: a palette of twelve, then hues a golden angle apart."""
+    fixed = F.array(*[F.struct(*[F.lit(int(x[i : i + 2], 16)).alias(k) for i, k in ((0, "red"), (2, "green"), (4, "blue"))]) for x in PALETTE])
+    hue = (district - 1) * F.lit(GOLDEN_ANGLE) % 360 / 30
+    chroma = SATURATION * min(LIGHTNESS, 1 - LIGHTNESS)
+
+    def channel(shift: int) -> Column:
+        # The channel's trapezium over the colour circle of twelve parts.
+        k = (hue + shift) % 12
+        return half_up((F.lit(LIGHTNESS) - F.lit(chroma) * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))) * 255).cast("int")
+
+    return F.when(district <= len(PALETTE), F.element_at(fixed, F.least(F.greatest(district, F.lit(1)), F.lit(len(PALETTE))).cast("int"))).otherwise(F.struct(channel(0).alias("red"), channel(8).alias("green"), channel(4).alias("blue")))
+
+
 def family_keys(r: Column, c: Column) -> Column:
     """The four cut families as (family, key): columns, rows, both diagonals."""
     return F.array(*[F.struct(F.lit(f).alias("fam"), k.cast("int").alias("k")) for f, k in ((0, c), (1, r), (2, r + c), (3, r - c))])

@@ -6,7 +6,6 @@ group always fits a task. Neighbours are looked up in a dict of cells; every cho
 from __future__ import annotations
 
 import heapq
-from collections import deque
 from collections.abc import Iterable
 
 import pandas as pd
@@ -107,293 +106,6 @@ def accrete(pop: dict[Cell, int], seeds: Iterable[Cell], seats: int) -> tuple[di
     return district, anchors, sealed
 
 
-# ---------------------------------------------------------------- repair
-
-
-class Map:
-    """An assignment that is being repaired."""
-
-    def __init__(self, pop: dict[Cell, int], district: dict[Cell, int], seats: int, ideal: float, bridges: Iterable[tuple[Cell, Cell]] = ()):
-        self.pop, self.seats, self.ideal = pop, seats, ideal
-        self.district = dict(district)
-        self.extra: dict[Cell, list[Cell]] = {}
-        for a, b in bridges:
-            self.extra.setdefault(a, []).append(b)
-            self.extra.setdefault(b, []).append(a)
-        self.cells: dict[int, set[Cell]] = {d: set() for d in range(1, seats + 1)}
-        self.total = dict.fromkeys(self.cells, 0)
-        for k, d in self.district.items():
-            self.cells[d].add(k)
-            self.total[d] += pop[k]
-        self.orphan_components = self.orphan_cells = self.moves = 0
-
-    def near(self, k: Cell) -> list[Cell]:
-        return [x for x in ((k[0] + dr, k[1] + dc) for dr, dc in STEPS) if x in self.pop] + [x for x in self.extra.get(k, ()) if x in self.pop]
-
-    def move(self, k: Cell, to: int) -> None:
-        d = self.district[k]
-        self.district[k] = to
-        self.cells[d].discard(k)
-        self.cells[to].add(k)
-        self.total[d] -= self.pop[k]
-        self.total[to] += self.pop[k]
-
-    def pieces(self, cells: set[Cell]) -> list[list[Cell]]:
-        left, out = set(cells), []
-        for start in sorted(cells):
-            if start in left:
-                left.discard(start)
-                stack, piece = [start], [start]
-                while stack:
-                    for j in self.near(stack.pop()):
-                        if j in left:
-                            left.discard(j)
-                            stack.append(j)
-                            piece.append(j)
-                out.append(piece)
-        return out
-
-    def whole_without(self, d: int, gone: set[Cell]) -> bool:
-        rest = self.cells[d] - gone
-        if not rest:
-            return False
-        start = next(iter(rest))
-        seen, stack = {start}, [start]
-        while stack:
-            for j in self.near(stack.pop()):
-                if j in rest and j not in seen:
-                    seen.add(j)
-                    stack.append(j)
-        return len(seen) == len(rest)
-
-    def touching(self, cells: Iterable[Cell], d: int) -> set[int]:
-        return {self.district[j] for i in cells for j in self.near(i) if j in self.district} - {d}
-
-    def change(self, d: int, e: int, people: int) -> float:
-        """How the sum of deviations changes when so many people go from d to e."""
-        off = lambda x: abs(x - self.ideal)
-        return off(self.total[d] - people) + off(self.total[e] + people) - off(self.total[d]) - off(self.total[e])
-
-    # -------------------------------------------------------- detached pieces
-
-    def settle(self) -> None:
-        """Each district keeps its piece of most people (then most cells, then first cell); others go to neighbours."""
-        for _ in range(self.seats + 2):
-            moved = False
-            for d in range(1, self.seats + 1):
-                pieces = self.pieces(self.cells[d])
-                if len(pieces) < 2:
-                    continue
-                people = lambda p: sum(self.pop[k] for k in p)
-                keep = max(range(len(pieces)), key=lambda i: (people(pieces[i]), len(pieces[i]), -i))
-                for piece in (p for i, p in enumerate(pieces) if i != keep):
-                    self._give(piece, d, people(piece))
-                    self.orphan_components += 1
-                    self.orphan_cells += len(piece)
-                    moved = True
-            if not moved:
-                return
-
-    def _give(self, piece: list[Cell], d: int, people: int) -> None:
-        around = sorted(self.touching(piece, d))
-        if len(around) >= 2 and people > 0.1 * self.ideal:
-            self._divide(piece, around, people)
-            return
-        if around:
-            target = min(around, key=lambda e: (self.total[e], e))
-        else:
-            r, c = min(piece)
-            target = min((max(abs(k[0] - r), abs(k[1] - c)), e) for e in self.cells if e != d for k in self.cells[e])[1]
-        for k in piece:
-            self.move(k, target)
-
-    def _divide(self, piece: list[Cell], around: list[int], people: int) -> None:
-        """Every adjacent district grows into the piece from its own border, up to a share by what it lacks."""
-        lacks = {e: max(0.0, self.ideal - self.total[e]) for e in around}
-        sum_ = sum(lacks.values())
-        share = {e: people * lacks[e] / sum_ if sum_ else people / len(around) for e in around}
-        free = set(piece)
-        waiting = {e: deque() for e in around}
-        for k in sorted(piece):
-            first = next((self.district[j] for j in self.near(k) if self.district.get(j) in waiting), None)
-            if first is not None:
-                waiting[first].append(k)
-        got = dict.fromkeys(around, 0)
-        claim: dict[Cell, int] = {}
-        budget = True
-        while free:
-            progress = False
-            for e in around:
-                q = waiting[e]
-                while q and q[0] not in free:
-                    q.popleft()
-                if not q or budget and got[e] > 0 and abs(got[e] + self.pop[q[0]] - share[e]) > abs(got[e] - share[e]):
-                    continue
-                k = q.popleft()
-                free.discard(k)
-                claim[k] = e
-                got[e] += self.pop[k]
-                progress = True
-                q.extend(j for j in sorted(self.near(k)) if j in free)
-            if not progress:
-                if not budget:
-                    break
-                budget = False
-        for k in sorted(piece):
-            self.move(k, claim.get(k, around[0]))
-
-    # -------------------------------------------------------- balance
-
-    def _single(self, anchors: dict[int, Cell]) -> bool:
-        """The best single boundary cell from a district above the ideal to one below, if it helps by 1 at least."""
-        offers = []
-        for d, cells in self.cells.items():
-            if self.total[d] > self.ideal:
-                for k in cells:
-                    for e in {self.district[j] for j in self.near(k)} - {d}:
-                        if self.total[e] < self.ideal and (gain := self.change(d, e, self.pop[k])) <= -1:
-                            offers.append((gain, k, e, d))
-        for _, k, e, d in sorted(offers):
-            if self.whole_without(d, {k}):
-                self.move(k, e)
-                self.moves += 1
-                return True
-        return False
-
-    def _corridor(self) -> bool:
-        """A way of unpeopled cells of a district above the ideal, from its border with one below to the first peopled cell."""
-        best = None
-        for d, cells in self.cells.items():
-            if self.total[d] <= self.ideal:
-                continue
-            for e in sorted(self.touching(cells, d)):
-                if self.total[e] >= self.ideal:
-                    continue
-                border = sorted(k for k in cells if any(self.district.get(j) == e for j in self.near(k)))
-                before: dict[Cell, Cell | None] = dict.fromkeys(border)
-                queue, end = deque(border), None
-                while queue:
-                    k = queue.popleft()
-                    if self.pop[k] > 0:
-                        end = k
-                        break
-                    for j in sorted(self.near(k)):
-                        if j in cells and j not in before:
-                            before[j] = k
-                            queue.append(j)
-                if end is None or (gain := self.change(d, e, self.pop[end])) > -1:
-                    continue
-                way = [end]
-                while before[way[-1]] is not None:
-                    way.append(before[way[-1]])
-                if best is None or (gain, len(way), way[-1]) < best[:3]:
-                    best = (gain, len(way), way[-1], way, d, e)
-        if best is None or not self.whole_without(best[4], set(best[3])):
-            return False
-        for k in best[3]:
-            self.move(k, best[5])
-        self.moves += len(best[3])
-        return True
-
-    def objective(self) -> float:
-        return sum(abs(t - self.ideal) for t in self.total.values())
-
-    def balance(self, anchors: dict[int, Cell] | None = None) -> None:
-        for _ in range(500 + 5 * self.orphan_cells):
-            before = self.objective()
-            if not (self._single(anchors or {}) or self._corridor()) or self.objective() >= before:
-                return
-
-    def chain(self) -> None:
-        """People flow from the district furthest above the ideal to the one furthest below, along a shortest chain of
-        districts, a connected border piece at each link. A round that makes the worst deviation no smaller is undone."""
-        for _ in range(8 * self.seats):
-            off = {d: t - self.ideal for d, t in self.total.items()}
-            if max(abs(x) for x in off.values()) <= 0.009 * self.ideal:
-                return
-            high = max(off, key=lambda d: (off[d], -d))
-            low = min(off, key=lambda d: (off[d], d))
-            banned: set[tuple[int, int]] = set()
-            for _ in range(4):
-                way = self._way(high, low, banned)
-                if way is None:
-                    return
-                saved = dict(self.district)
-                worst, total = max(abs(x) for x in off.values()), self.objective()
-                amount = min(off[high], -off[low])
-                failed = next(((a, b) for a, b in zip(way, way[1:], strict=False) if not self._transfer(a, b, amount)), None)
-                if failed is None and (max(abs(t - self.ideal) for t in self.total.values()), self.objective()) < (worst, total):
-                    break
-                for k, d in saved.items():
-                    if self.district[k] != d:
-                        self.move(k, d)
-                banned.add(failed or (way[0], way[1]))
-            else:
-                return
-
-    def _way(self, high: int, low: int, banned: set[tuple[int, int]]) -> list[int] | None:
-        before: dict[int, int | None] = {high: None}
-        queue = deque([high])
-        while queue:
-            d = queue.popleft()
-            if d == low:
-                way = [d]
-                while before[way[-1]] is not None:
-                    way.append(before[way[-1]])
-                return way[::-1]
-            for e in sorted(self.touching(self.cells[d], d)):
-                if e not in before and (d, e) not in banned:
-                    before[e] = d
-                    queue.append(e)
-        return None
-
-    def _grown(self, a: int, b: int, amount: float) -> tuple[list[Cell], int]:
-        """A piece of a of about so many people, grown from the border with b."""
-        border = sorted(k for k in self.cells[a] if any(self.district.get(j) == b for j in self.near(k)))
-        piece: list[Cell] = []
-        seen, queue, people = set(border), deque(border), 0
-        while queue:
-            k = queue.popleft()
-            if people > 0 and abs(people + self.pop[k] - amount) > abs(people - amount):
-                break
-            piece.append(k)
-            people += self.pop[k]
-            for j in sorted(self.near(k)):
-                if j in self.cells[a] and j not in seen:
-                    seen.add(j)
-                    queue.append(j)
-        return piece, people
-
-    def _transfer(self, a: int, b: int, amount: float) -> bool:
-        """Give b a piece of a that leaves a whole, of half the people each time it does not. If none does, what the first piece
-        cuts off from the peopled rest goes with it: such a fragment touches the piece, so b stays whole."""
-        asked = amount
-        while amount >= 1:
-            piece, people = self._grown(a, b, amount)
-            if people > 0 and self.whole_without(a, set(piece)):
-                break
-            amount /= 2
-        else:
-            piece, people = self._grown(a, b, asked)
-            rest = self.pieces(self.cells[a] - set(piece))
-            if not rest or not people:
-                return False
-            keep = max(range(len(rest)), key=lambda i: (sum(self.pop[k] for k in rest[i]), len(rest[i]), -i))
-            piece += [k for i, part in enumerate(rest) if i != keep for k in part]
-        for k in piece:
-            self.move(k, b)
-        self.moves += len(piece)
-        return True
-
-
-def repair(pop: dict[Cell, int], district: dict[Cell, int], seats: int, ideal: float, bridges: Iterable[tuple[Cell, Cell]] = ()) -> Map:
-    m = Map(pop, district, seats, ideal, bridges)
-    m.settle()
-    m.balance()
-    m.chain()
-    return m
-
-
 # ---------------------------------------------------------------- DataFrames
 
 
@@ -421,24 +133,17 @@ def grow(ordered: DataFrame, seats: DataFrame) -> DataFrame:
     return own.groupBy("state").applyInPandas(run, _assigned(ordered))
 
 
-def repair_all(assigned: DataFrame, seats: DataFrame, bridges: DataFrame | None = None) -> DataFrame:
-    """(state, r, c, pop, district, repair_moves) after repair, state by state. bridges: (state, ar, ac, br, bc)."""
+def sealed_log(ordered: DataFrame, seats: DataFrame) -> DataFrame:
+    """(state, n, district, pop, reason): the pockets that accretion met, in order; no rows for a state without any."""
 
-    def run(key: tuple, pdf: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pdf.assign(district=0, repair_moves=0)[["state", "r", "c", "pop", "district", "repair_moves"]]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord")
         keys = list(zip(pdf["r"].tolist(), pdf["c"].tolist(), strict=True))
-        pop = dict(zip(keys, pdf["pop"].tolist(), strict=True))
-        n = int(pdf["seats"].iloc[0])
-        pairs = [((a, b), (c, d)) for a, b, c, d in links[["ar", "ac", "br", "bc"]].itertuples(index=False)]
-        m = repair(pop, dict(zip(keys, pdf["district"].tolist(), strict=True)), n, sum(pop.values()) / n, pairs)
-        return pdf.assign(district=[m.district[k] for k in keys], repair_moves=m.moves)[["state", "r", "c", "pop", "district", "repair_moves"]]
-
-    own = assigned.join(seats, "state").select("state", "r", "c", "pop", "district", "seats")
-    if bridges is None:
-        kind = dict(own.dtypes)["state"]
-        bridges = own.sparkSession.createDataFrame([], f"state {kind}, ar int, ac int, br int, bc int")
-    return own.groupBy("state").cogroup(bridges.groupBy("state")).applyInPandas(run, _assigned(assigned) + ", repair_moves int")
+        _, _, sealed = accrete(dict(zip(keys, pdf["pop"].tolist(), strict=True)), keys, int(pdf["seats"].iloc[0]))
+        return pd.DataFrame([(pdf["state"].iloc[0], n, *x) for n, x in enumerate(sealed)], columns=["state", "n", "district", "pop", "reason"])
+
+    own = ordered.join(seats, "state").select("state", "r", "c", "pop", "ord", "seats")
+    return own.groupBy("state").applyInPandas(run, f"state {dict(ordered.dtypes)['state']}, n int, district int, pop long, reason string")
 
 
 def _assigned(df: DataFrame) -> str:

@@ -39,15 +39,38 @@ def population_verdict(state: Column, max_dev: Column) -> Column:
     return F.when(max_dev <= gate_pct(state), "pass").when(state.isin(FLAGGED_ONLY), "flag").otherwise("fail")
 
 
-def scores(stats: DataFrame, seats: DataFrame) -> DataFrame:
-    """One row per (state, arm): extremes, counts and each gate of its own. stats holds an arm column."""
+def contiguous_arms(pieces: DataFrame) -> DataFrame:
+    """(state, arm, contiguous): whether every district of an arm is in one piece. pieces: (state, arm, district, pieces)."""
+    return pieces.groupBy("state", "arm").agg((F.max("pieces") == 1).alias("contiguous"))
+
+
+def detached(labelled: DataFrame) -> DataFrame:
+    """(state, cells, whole): how many cells are outside of their district's main piece (of most people, then cells, then the first), and
+    whether there are none. labelled: cells with the components of their districts."""
+    sizes = labelled.groupBy("state", "district", "comp_r", "comp_c").agg(F.count(F.lit(1)).alias("n"), F.sum("pop").alias("p"))
+    w = Window.partitionBy("state", "district").orderBy(F.col("p").desc(), F.col("n").desc(), "comp_r", "comp_c")
+    k = sizes.withColumn("k", F.row_number().over(w))
+    return k.groupBy("state").agg(F.sum(F.when(F.col("k") > 1, F.col("n")).otherwise(0)).cast("long").alias("cells"), (F.max("k") == 1).alias("whole"))
+
+
+def scores(stats: DataFrame, seats: DataFrame, contiguous: DataFrame, moves: DataFrame) -> DataFrame:
+    """One row per (state, arm): extremes, counts, each gate of its own, and whether the arm is eligible. A deviation beyond the
+    gate is flagged and does not fail in states of FLAGGED_ONLY. An arm that contiguous or moves lacks is not contiguous, or
+    has no moves. stats: district statistics with an arm column; contiguous: (state, arm, contiguous); moves: (state, arm, repair_moves)."""
     s = stats.groupBy("state", "arm").agg(
         F.max(F.abs("deviation_pct")).alias("max_abs_dev_pct"), F.avg(F.abs("deviation_pct")).alias("mean_abs_dev_pct"),
         F.count_if("irregular").cast("int").alias("irregular_count"), F.avg("ppn").alias("mean_ppn"), F.count(F.lit(1)).cast("int").alias("districts"),
     )
-    s = s.join(F.broadcast(seats), "state").withColumn("g1_population", F.col("max_abs_dev_pct") <= gate_pct(F.col("state"))).withColumn("g4_districts", F.col("districts") == F.col("seats"))
-    failed = F.array_compact(F.array(F.when(~F.col("g1_population"), "population"), F.when(~F.col("g4_districts"), "districts")))
-    return s.withColumn("eligible", F.size(failed) == 0).withColumn("gate_failures", F.when(F.size(failed) == 0, "none").otherwise(F.array_join(failed, "+"))).drop("seats")
+    s = s.join(F.broadcast(seats), "state").join(contiguous, ["state", "arm"], "left").join(moves, ["state", "arm"], "left")
+    s = s.withColumn("g1_population", population_verdict(F.col("state"), F.col("max_abs_dev_pct")))
+    s = s.withColumn("g2_contiguity", F.coalesce("contiguous", F.lit(False))).withColumn("g4_coverage", F.col("districts") == F.col("seats"))
+    s = s.withColumn("eligible", (F.col("g1_population") != "fail") & F.col("g2_contiguity") & F.col("g4_coverage"))
+    said = F.array_compact(F.array(
+        F.when(F.col("g1_population") == "fail", "G1-population").when(F.col("g1_population") == "flag", "G1-flagged-not-failed"),
+        F.when(~F.col("g2_contiguity"), "G2-contiguity"), F.when(~F.col("g4_coverage"), "G4-coverage"),
+    ))
+    s = s.withColumn("gate_failures", F.when(F.size(said) == 0, "none").otherwise(F.array_join(said, "+")))
+    return s.withColumn("repair_moves", F.coalesce("repair_moves", F.lit(0)).cast("long")).drop("seats", "contiguous")
 
 
 def rank_arms(scored: DataFrame) -> DataFrame:

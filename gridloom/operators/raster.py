@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import CELL_M, round_to, to_lonlat
+
 Point = tuple[int, int]
 
 
@@ -112,6 +116,40 @@ def dissolve(assigned: DataFrame) -> DataFrame:
     return assigned.select("state", "district", "r", "c").groupBy("state", "district").applyInPandas(run, f"state {kinds['state']}, district int, ring int, hole boolean, rows array<int>, cols array<int>")
 
 
+def shapes(rings: DataFrame, extents: DataFrame, cell: float = CELL_M, digits: int = 6) -> DataFrame:
+    """(state, district, shapes): each district as polygons, a polygon as its outer ring and its holes, a ring as [lon, lat] pairs.
+
+    rings: as from dissolve; extents: (state, origin_x, origin_y_top). A hole belongs to the smallest outer ring whose box
+    holds its box. Corners of the lattice become metres, then degrees rounded half up."""
+    t = rings.join(F.broadcast(extents.select("state", "origin_x", "origin_y_top")), "state")
+    t = t.select("state", "district", "ring", "hole", F.array_min("rows").alias("r0"), F.array_max("rows").alias("r1"), F.array_min("cols").alias("c0"), F.array_max("cols").alias("c1"),
+                 F.transform(F.arrays_zip("rows", "cols"), lambda p: _degrees(F.col("origin_x") + p["cols"] * F.lit(cell), F.col("origin_y_top") - p["rows"] * F.lit(cell), digits)).alias("points"))
+    outer = t.where("not hole").select("state", "district", F.col("ring").alias("outer"), *[F.col(c).alias(f"o_{c}") for c in ("r0", "r1", "c0", "c1")])
+    # Rings of one district only meet each other: an equi-join on the district.
+    held = t.where("hole").join(outer, ["state", "district"]).where("o_r0 <= r0 and r1 <= o_r1 and o_c0 <= c0 and c1 <= o_c1")
+    area = (F.col("o_r1") - F.col("o_r0")) * (F.col("o_c1") - F.col("o_c0"))
+    holes = held.groupBy("state", "district", "ring").agg(F.min_by("outer", F.struct(area, F.col("outer"))).alias("outer"), F.first("points").alias("points"))
+    parts = t.where("not hole").select("state", "district", F.col("ring").alias("outer"), F.lit(-1).alias("ring"), "points").unionByName(holes.select("state", "district", "outer", "ring", "points"))
+    whole = parts.groupBy("state", "district", "outer").agg(F.array_sort(F.collect_list(F.struct("ring", "points"))).alias("p"))
+    return whole.groupBy("state", "district").agg(F.array_sort(F.collect_list(F.struct("outer", F.col("p.points").alias("p")))).alias("s")).select("state", "district", F.col("s.p").alias("shapes"))
+
+
+def _degrees(x: Column, y: Column, digits: int) -> Column:
+    return F.array(*[round_to(v, digits) for v in to_lonlat(x, y)])
+
+
+def simplified(rings: DataFrame, tolerance: float) -> DataFrame:
+    """rings (state, ring_id, xs, ys) with fewer points; the first and the last stay."""
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lines = [simplify(list(zip(x, y, strict=True)), tolerance) for x, y in zip(pdf["xs"], pdf["ys"], strict=True)]
+            yield pdf.assign(xs=[[p[0] for p in line] for line in lines], ys=[[p[1] for p in line] for line in lines])
+
+    own = rings.select("state", "ring_id", "xs", "ys")
+    return own.mapInPandas(thin, own.schema)
+
+
 def simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
     """The points of a line of which none that is left out is further than tolerance from it (farthest point first)."""
     if len(points) < 3:

@@ -15,6 +15,13 @@ def population(assigned: DataFrame, districts: DataFrame, resident: DataFrame) -
     return out.select("state", "csv_pop", "district_pop", "resident_pop", "max_abs_dev_pct", (-F.col("w.col2")).cast("int").alias("worst_district"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
+def verdicts(checked: DataFrame, gate_pct: float = 2.0, flag_only: list[str] | None = None) -> DataFrame:
+    """population()'s rows with verdict: fail where totals differ; beyond the gate, flag in the states of flag_only and fail elsewhere."""
+    over = F.coalesce(F.col("max_abs_dev_pct") > F.lit(gate_pct), F.lit(True))
+    flagged = F.col("state").cast("string").isin(flag_only or [])
+    return checked.withColumn("verdict", F.when(~F.col("ok"), "fail").when(over & flagged, "flag").when(over, "fail").otherwise("pass"))
+
+
 def missing_cells(expected: DataFrame, assigned: DataFrame) -> DataFrame:
     return expected.select("state", "r", "c").join(assigned.select("state", "r", "c"), ["state", "r", "c"], "left_anti")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import ballots, demography, graph, grid, kernels, metrics, orders, raster, splitline, verify
+from ..operators import ballots, demography, graph, grid, kernels, metrics, orders, raster, repair, splitline, verify
 from ..storage import cut
 from .census import SQL, Census
 
@@ -186,34 +186,48 @@ def _(v: Census) -> DataFrame:
     return metrics.district_stats(v.bands(), v.ideal())
 
 
-def _both_arms(v: Census) -> DataFrame:
-    a = metrics.district_stats(districts(v), v.ideal()).withColumn("arm", F.lit("splitline"))
-    b = metrics.district_stats(v.bands(), v.ideal()).withColumn("arm", F.lit("bands"))
-    return a.unionByName(b).withColumn("state", F.when(F.col("state") == 0, "CO").when(F.col("state") == 1, "NY").otherwise(F.concat(F.lit("S"), F.col("state").cast("string"))))
-
-
 ARMS = DISTRICTS + _stats_sql("district") + _stats_sql("bands", "bstats") + """, arms AS (SELECT 'splitline' AS arm, * FROM stats UNION ALL SELECT 'bands', * FROM bstats),
 named AS (SELECT * REPLACE (CASE state WHEN 0 THEN 'CO' WHEN 1 THEN 'NY' ELSE 'S' || state END AS state), state AS n FROM arms),
-score0 AS (SELECT state, arm, max(abs(deviation_pct)) AS max_abs_dev_pct, avg(abs(deviation_pct)) AS mean_abs_dev_pct, CAST(count_if(irregular) AS INTEGER) AS irregular_count,
-    avg(ppn) AS mean_ppn, CAST(count(*) AS INTEGER) AS districts, 3 + 2 * any_value(n) AS seats FROM named GROUP BY state, arm),
-score AS (SELECT * EXCLUDE (seats), max_abs_dev_pct <= CASE state WHEN 'CO' THEN 1.0 ELSE 2.0 END AS g1_population, districts = seats AS g4_districts FROM score0)"""
-_scores = ["state", "arm", "irregular_count", "districts", "g1_population", "g4_districts"]
+cellarm AS (SELECT 'splitline' AS arm, * FROM district UNION ALL SELECT 'bands', state, r, c, pop, district FROM bands),
+reach AS (SELECT arm, state, district, r, c, r AS r0, c AS c0 FROM cellarm UNION SELECT b.arm, b.state, b.district, b.r, b.c, a.r0, a.c0 FROM reach a JOIN cellarm b ON a.arm = b.arm AND a.state = b.state AND a.district = b.district AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+lab AS (SELECT arm, state, district, r, c, min(r0 * 1000 + c0) AS k FROM reach GROUP BY ALL),
+piece AS (SELECT arm, state, district, k, count(*) AS n, sum(pop) AS p FROM lab JOIN cellarm USING (arm, state, district, r, c) GROUP BY ALL),
+loose AS (SELECT arm, state, max(q) = 1 AS contiguous, CAST(sum(CASE WHEN q > 1 THEN n ELSE 0 END) AS BIGINT) AS repair_moves FROM (SELECT *, row_number() OVER (PARTITION BY arm, state, district ORDER BY p DESC, n DESC, k) AS q FROM piece) GROUP BY ALL),
+score0 AS (SELECT named.state, named.arm, max(abs(deviation_pct)) AS max_abs_dev_pct, avg(abs(deviation_pct)) AS mean_abs_dev_pct, CAST(count_if(irregular) AS INTEGER) AS irregular_count,
+    avg(ppn) AS mean_ppn, CAST(count(*) AS INTEGER) AS districts, 3 + 2 * any_value(n) AS seats, any_value(contiguous) AS g2_contiguity, any_value(repair_moves) AS repair_moves FROM named JOIN loose ON loose.state = n AND loose.arm = named.arm GROUP BY named.state, named.arm),
+score1 AS (SELECT * EXCLUDE (seats), CASE WHEN max_abs_dev_pct <= CASE state WHEN 'CO' THEN 1.0 ELSE 2.0 END THEN 'pass' WHEN state IN ('NY', 'CA', 'IL', 'NJ') THEN 'flag' ELSE 'fail' END AS g1_population, districts = seats AS g4_coverage FROM score0),
+score AS (SELECT *, g1_population <> 'fail' AND g2_contiguity AND g4_coverage AS eligible, concat_ws('+', CASE g1_population WHEN 'fail' THEN 'G1-population' WHEN 'flag' THEN 'G1-flagged-not-failed' END, CASE WHEN NOT g2_contiguity THEN 'G2-contiguity' END, CASE WHEN NOT g4_coverage THEN 'G4-coverage' END) AS said FROM score1)"""
+_scores = ["state", "arm", "irregular_count", "districts", "repair_moves", "g1_population", "g2_contiguity", "g4_coverage", "eligible"]
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumn("state", F.when(F.col("state") == 0, "CO").when(F.col("state") == 1, "NY").otherwise(F.concat(F.lit("S"), F.col("state").cast("string"))))
 
 
 def _scored(v: Census) -> DataFrame:
-    named = v.seats().withColumn("state", F.when(F.col("state") == 0, "CO").when(F.col("state") == 1, "NY").otherwise(F.concat(F.lit("S"), F.col("state").cast("string"))))
-    return metrics.scores(_both_arms(v), named)
+    """Both arms from one census: grid, districts and ideals are made once."""
+    cells = cut(v.grid(), "grid")
+    ideal = F.broadcast(cells.groupBy("state").agg(F.sum("pop").alias("p")).join(v.seats(), "state").select("state", (F.col("p") / F.col("seats")).alias("ideal")))
+    cut_up = splitline.splitline(cells, v.seats(), 11, cut)[0]
+    both = cut_up.withColumn("arm", F.lit("splitline")).unionByName(v.bands(cells).withColumn("arm", F.lit("bands")))
+    both = cut(both.withColumn("state", F.concat_ws("|", "state", "arm")).drop("arm"), "arms")
+    parts = lambda df: df.withColumn("arm", F.element_at(F.split("state", "[|]"), 2)).withColumn("state", F.element_at(F.split("state", "[|]"), 1).cast("int"))
+    each = ideal.crossJoin(F.broadcast(v.spark.createDataFrame([("splitline",), ("bands",)], "arm string"))).select(F.concat_ws("|", "state", "arm").alias("state"), "ideal")
+    stats = parts(metrics.district_stats(both, each))
+    loose = parts(metrics.detached(graph.components(both, "district")))
+    whole = loose.select("state", "arm", F.col("whole").alias("contiguous"))
+    return metrics.scores(_named(stats), _named(v.seats()), _named(whole), _named(loose.select("state", "arm", F.col("cells").alias("repair_moves"))))
 
 
 @query("scores", ARMS + f""" SELECT {", ".join(_scores)}, round(max_abs_dev_pct, 6) AS max_abs_dev_pct, round(mean_abs_dev_pct, 6) AS mean_abs_dev_pct, round(mean_ppn, 6) AS mean_ppn,
-g1_population AND g4_districts AS eligible, CASE WHEN g1_population AND g4_districts THEN 'none' ELSE concat_ws('+', CASE WHEN NOT g1_population THEN 'population' END, CASE WHEN NOT g4_districts THEN 'districts' END) END AS gate_failures FROM score""")
+CASE said WHEN '' THEN 'none' ELSE said END AS gate_failures FROM score""", recursive=True)
 def _(v: Census) -> DataFrame:
-    return _scored(v).select(*_scores, *[F.round(c, 6).alias(c) for c in ("max_abs_dev_pct", "mean_abs_dev_pct", "mean_ppn")], "eligible", "gate_failures")
+    return _scored(v).select(*_scores, *[F.round(c, 6).alias(c) for c in ("max_abs_dev_pct", "mean_abs_dev_pct", "mean_ppn")], "gate_failures")
 
 
-@query("arm_rank", ARMS + " SELECT state, arm, row_number() OVER (PARTITION BY state ORDER BY (g1_population AND g4_districts) DESC, irregular_count, mean_ppn DESC, max_abs_dev_pct, arm) AS arm_rank FROM score")
+@query("arm_rank", ARMS + " SELECT state, arm, row_number() OVER (PARTITION BY state ORDER BY eligible DESC, irregular_count, mean_ppn DESC, repair_moves, max_abs_dev_pct, arm) AS arm_rank FROM score", recursive=True)
 def _(v: Census) -> DataFrame:
-    return metrics.rank_arms(_scored(v).withColumn("repair_moves", F.lit(0))).select("state", "arm", "arm_rank")
+    return metrics.rank_arms(_scored(v)).select("state", "arm", "arm_rank")
 
 
 @query("gate_policy", """, x AS (SELECT n_name AS name, CASE n_nationkey % 5 WHEN 0 THEN 'CO' WHEN 1 THEN 'NY' WHEN 2 THEN 'CA' WHEN 3 THEN 'RI' ELSE 'TX' END AS state, (n_nationkey % 7) * 0.5 AS dev FROM nation)
@@ -404,12 +418,12 @@ def _(v: Census) -> DataFrame:
 def _(v: Census) -> DataFrame:
     island = v.island()
     links = graph.bridges(graph.components(island)).drop("d2")
-    return kernels.repair_all(kernels.cut_along_order(orders.hilbert_order(island, SIDE), v.seats()), v.seats(), links)
+    return repair.repair_all(kernels.cut_along_order(orders.hilbert_order(island, SIDE), v.seats()), v.seats(), links)
 
 
 @query("repair_splitline")
 def _(v: Census) -> DataFrame:
-    return kernels.repair_all(districts(v), v.seats())
+    return repair.repair_all(districts(v), v.seats())
 
 
 # ---------------------------------------------------------------- demography
@@ -564,7 +578,7 @@ def _(v: Census) -> DataFrame:
 TRIANGLES = ", tri AS (SELECT n_nationkey AS poly, n_nationkey * 3.0 AS x, n_nationkey % 7 * 4.0 AS y FROM nation), seg AS (SELECT poly, x AS x1, y AS y1, x + 20 AS x2, y + 5 AS y2 FROM tri UNION ALL SELECT poly, x + 20, y + 5, x + 7, y + 23 FROM tri UNION ALL SELECT poly, x + 7, y + 23, x, y FROM tri)".replace("3.0", "3.0::DOUBLE").replace("4.0", "4.0::DOUBLE")
 
 
-def _triangles(v: Census) -> DataFrame:
+def triangles(v: Census) -> DataFrame:
     t = v.table("nation").select(F.col("n_nationkey").alias("poly"), (F.col("n_nationkey") * 3.0).alias("x"), (F.col("n_nationkey") % 7 * 4.0).alias("y"))
     corner = [(F.col("x"), F.col("y")), (F.col("x") + 20, F.col("y") + 5), (F.col("x") + 7, F.col("y") + 23)]
     sides = F.array(*[F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"), F.lit(i).alias("seq")) for i, (a, b) in enumerate(zip(corner, corner[1:] + corner[:1], strict=True))])
@@ -576,22 +590,22 @@ def _(v: Census) -> DataFrame:
     cells = v.grid().select("r", "c").distinct()
     ids = v.table("nation").select(F.col("n_nationkey").alias("state"))
     points = cells.crossJoin(F.broadcast(ids)).select("state", "r", "c", (F.col("c") + 0.41).alias("x"), (F.col("r") + 0.37).alias("y"))  # 25 test polygons
-    return grid.points_in_polygons(points, _triangles(v).withColumnRenamed("poly", "state"), 4.0)
+    return grid.points_in_polygons(points, triangles(v).withColumnRenamed("poly", "state"), 4.0)
 
 
 @query("scanline", TRIANGLES + ", x AS (SELECT poly, y, x1 + (y + 0.001 - y1) * (x2 - x1) / (y2 - y1) AS x FROM (SELECT *, unnest(range(CAST(floor(least(y1, y2)) AS BIGINT), CAST(ceil(greatest(y1, y2)) AS BIGINT) + 1)) AS y FROM seg) WHERE (y1 > y + 0.001) <> (y2 > y + 0.001)), k AS (SELECT *, floor((row_number() OVER (PARTITION BY poly, y ORDER BY x) - 1) / 2) AS p FROM x) SELECT poly, y, min(x) AS x_from, max(x) AS x_to FROM k GROUP BY poly, y, p".replace("0.001", "0.001::DOUBLE"))
 def _(v: Census) -> DataFrame:
-    return raster.scanline(_triangles(v))
+    return raster.scanline(triangles(v))
 
 
 @query("ring_area", TRIANGLES + " SELECT poly AS state, 0 AS ring_id, sum(x1 * y2 - x2 * y1) / 2 AS area FROM seg GROUP BY poly")
 def _(v: Census) -> DataFrame:
-    return grid.ring_area(_triangles(v).select(F.col("poly").alias("state"), F.lit(0).alias("ring_id"), "seq", F.col("x1").alias("x"), F.col("y1").alias("y")))
+    return grid.ring_area(triangles(v).select(F.col("poly").alias("state"), F.lit(0).alias("ring_id"), "seq", F.col("x1").alias("x"), F.col("y1").alias("y")))
 
 
 @query("fit_rect", TRIANGLES + ", b AS (SELECT poly, min(x1) AS x0, max(x1) AS x9, min(y1) AS y0, max(y1) AS y9 FROM seg GROUP BY poly), s AS (SELECT *, least(96 / (x9 - x0), 60 / (y9 - y0)) AS scale FROM b) SELECT poly, scale, (96 - scale * (x9 + x0)) / 2 AS dx, (60 - scale * (y9 + y0)) / 2 AS dy FROM s")
 def _(v: Census) -> DataFrame:
-    return raster.fit_rect(_triangles(v).select("poly", F.col("x1").alias("x"), F.col("y1").alias("y")), 96.0, 60.0)
+    return raster.fit_rect(triangles(v).select("poly", F.col("x1").alias("x"), F.col("y1").alias("y")), 96.0, 60.0)
 
 
 @query("albers_roundtrip")

@@ -40,6 +40,62 @@ def read_grid_json(spark: SparkSession, path: str) -> DataFrame:
     return cells.select(F.floor(F.col("i") / F.col("cols")).cast("int").alias("r"), (F.col("i") % F.col("cols")).alias("c"), F.col("x.pop").cast("long").alias("pop"))
 
 
+def read_meta(spark: SparkSession, path: str) -> DataFrame:
+    """One row of a state's facts: state, seats, ideal, resident population, extent."""
+    return spark.read.schema("state STRING, seats INT, idealTarget DOUBLE, residentPop BIGINT, rows INT, cols INT, originX DOUBLE, originYTop DOUBLE").option("multiLine", True).json(path)
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    """A row a district of an arm's statistics file."""
+    kind = "arm STRING, sha256 STRING, repair STRUCT<orphanCellsMoved: INT, rebalanceMoves: INT>, districts ARRAY<STRUCT<district: INT, pop: BIGINT, cells: INT, deviationPct: DOUBLE, ppn: DOUBLE, irregular: BOOLEAN>>"
+    return spark.read.schema(kind).option("multiLine", True).json(path).select("arm", "sha256", (F.col("repair.orphanCellsMoved") + F.col("repair.rebalanceMoves")).alias("repair_moves"), F.explode("districts").alias("d")).select("arm", "sha256", "repair_moves", "d.*")
+
+
+def read_display_grid(spark: SparkSession, path: str) -> DataFrame:
+    """(state, seats, ideal, r, c, district) of a published map: run lengths as pairs of value and length, row by row, 0 outside."""
+    g = spark.read.schema("abbr STRING, seats INT, ideal DOUBLE, h INT, w INT, rle ARRAY<INT>").option("multiLine", True).json(path)
+    runs = g.select("abbr", "seats", "ideal", "w", "rle", F.posexplode(F.expr("filter(rle, (x, i) -> i % 2 = 1)")).alias("k", "n"))
+    start = F.aggregate(F.slice(F.expr("filter(rle, (x, i) -> i % 2 = 1)"), F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + x)
+    cells = runs.select("abbr", "seats", "ideal", "w", F.element_at("rle", (2 * F.col("k") + 1).cast("int")).alias("district"), start.alias("at"), "n").where("district <> 0")
+    i = cells.select("abbr", "seats", "ideal", "w", "district", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("i"))
+    return i.select(F.col("abbr").alias("state"), "seats", "ideal", F.floor(F.col("i") / F.col("w")).cast("int").alias("r"), (F.col("i") % F.col("w")).cast("int").alias("c"), "district")
+
+
+def read_boundary(spark: SparkSession, path: str, statefp: str) -> DataFrame:
+    """(state, ring_id, seq, x, y): the corners of the first polygon of a .shp file whose .dbf row beside it has this STATEFP.
+    Files of outlines hold a record a state, so the one record is found by its offset and the file is not scanned."""
+    with open(path[:-4] + ".dbf", "rb") as f:
+        head = f.read(32)
+        records, size, fields = parse_header(head, f)
+        at, width = next((at, w) for name, at, w in fields if name == "STATEFP")
+        first = struct.unpack("<H", head[8:10])[0]
+        for k in range(records):
+            f.seek(first + k * size + at)
+            if f.read(width).decode("latin-1").strip() == statefp:
+                break
+        else:
+            raise ValueError(f"no polygon of state {statefp} in {path}")
+    rows = [(statefp, i, j, x, y) for i, ring in enumerate(shape_rings(path, k)) for j, (x, y) in enumerate(ring)]
+    return spark.createDataFrame(rows, "state string, ring_id int, seq int, x double, y double")
+
+
+def shape_rings(path: str, record: int) -> list[list[tuple[float, float]]]:
+    """The rings of one polygon record (from 0) of a shapefile."""
+    with open(path, "rb") as f:
+        f.seek(100)
+        for _ in range(record):
+            words = struct.unpack(">II", f.read(8))[1]
+            f.seek(2 * words, 1)
+        words = struct.unpack(">II", f.read(8))[1]
+        body = f.read(2 * words)
+    if struct.unpack("<I", body[:4])[0] != 5:
+        raise ValueError("not a polygon")
+    parts, points = struct.unpack("<II", body[36:44])
+    starts = [*struct.unpack(f"<{parts}I", body[44 : 44 + 4 * parts]), points]
+    flat = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
+    return [[(flat[2 * i], flat[2 * i + 1]) for i in range(a, b)] for a, b in zip(starts, starts[1:], strict=False)]
+
+
 class DbfSource(DataSource):
     """spark.read.format("dbf").load(path): every field as text. Option columns (comma-separated) prunes the scan; option
     partitions cuts the records into that many ranges, read apart. The path must be readable on the executors."""

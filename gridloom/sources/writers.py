@@ -4,6 +4,7 @@ An artifact is one state's map, so it is gathered on the driver one state at a t
 
 from __future__ import annotations
 
+import colorsys
 import hashlib
 import json
 import struct
@@ -14,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import GOLDEN_ANGLE, LIGHTNESS, PALETTE, SATURATION
+
 
 def write_assignment(assigned: DataFrame, state, path: str) -> str:
     """row,col,district,pop of one state, by row and column; gives the SHA-256 of the bytes."""
@@ -59,11 +62,31 @@ def png(width: int, height: int, rgb: bytes) -> bytes:
 
 
 def colour(district: int) -> tuple[int, int, int]:
-    """Neighbouring numbers far apart on the colour circle, by the golden angle."""
-    import colorsys
+    """The palette of twelve, then hues a golden angle apart; the same as functions.scalars.district_rgb."""
+    if district <= len(PALETTE):
+        return tuple(bytes.fromhex(PALETTE[max(district, 1) - 1]))
+    r, g, b = colorsys.hls_to_rgb((district - 1) * GOLDEN_ANGLE % 360 / 360, LIGHTNESS, SATURATION)
+    return tuple(int(x * 255 + 0.5) for x in (r, g, b))
+
+
+def write_stats(stats: DataFrame, state, arm: str, repair: dict[str, int], sha256: str, path: str) -> None:
+    """One arm's statistics: how it was repaired, the hash of its assignment, and a row a district."""
+    rows = stats.where(F.col("state") == state).orderBy("district").toLocalIterator()
+    districts = [{"district": r["district"], "pop": r["pop"], "cells": r["cells"], "deviationPct": r["deviation_pct"], "ppn": r["ppn"], "aspect": r["aspect"], "fill": r["fill"], "irregular": r["irregular"]} for r in rows]
+    Path(path).write_text(json.dumps({"arm": arm, "sha256": sha256, "repair": repair, "districts": districts}, indent=1) + "\n")
+
+
+def write_sealed(sealed: DataFrame, state, path: str) -> None:
+    """The pockets that an arm met, in order; an empty list where it met none."""
+    rows = [{"district": r["district"], "pop": r["pop"], "reason": r["reason"]} for r in sealed.where(F.col("state") == state).orderBy("n").toLocalIterator()]
+    Path(path).write_text(json.dumps(rows, indent=1) + "\n")
+
 
-    r, g, b = colorsys.hls_to_rgb((district * 0.381966) % 1.0, 0.55, 0.6)
-    return round(r * 255), round(g * 255), round(b * 255)
+def write_geojson(stats: DataFrame, shapes: DataFrame, state, path: str) -> None:
+    """One state's districts as GeoJSON, their shapes from raster.shapes."""
+    both = stats.join(shapes, ["state", "district"]).where(F.col("state") == state).orderBy("district")
+    districts = [{"district": r["district"], "pop": r["pop"], "deviationPct": r["deviation_pct"], "cells": r["cells"], "ppn": r["ppn"], "irregular": r["irregular"], "shapes": r["shapes"]} for r in both.toLocalIterator()]
+    Path(path).write_text(feature_collection(districts) + "\n")
 
 
 def svg(cells: Iterable[tuple[int, int, int]], stats: Iterable[dict], size: int = 6) -> str:
