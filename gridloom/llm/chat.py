@@ -21,11 +21,12 @@ END = "\n</turn>\n"
 
 
 def escape_text(c: Column) -> Column:
-    return F.regexp_replace(c, r"(\\*)(###|</turn>)", r"\\$1$2")
+    # Only the first of a run of backslashes begins a match, and a run is never tried in part: long runs take linear time.
+    return F.regexp_replace(c, r"(?<!\\)(\\*+)(###|</turn>)", r"\\$1$2")
 
 
 def unescape_text(c: Column) -> Column:
-    return F.regexp_replace(c, r"\\(\\*)(###|</turn>)", "$1$2")
+    return F.regexp_replace(c, r"(?<!\\)\\(\\*+)(###|</turn>)", "$1$2")
 
 
 def escape_role(c: Column) -> Column:

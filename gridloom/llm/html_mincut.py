@@ -160,7 +160,7 @@ def blocks(page: str) -> list[tuple[Block, str]]:
             continue
         if tag in RAW:
             if tag != "title" or not open_["svg"]:
-                end = RAW_END[tag].search(page, at) or UNCLOSED.search(page, at)
+                end = RAW_END[tag].search(page, at) or (UNCLOSED_CODE if tag in ("script", "style") else UNCLOSED).search(page, at)
                 at = length if end is None else end.end() if end[0].startswith("</") else end.start()
             continue
         if tag in VOID:
@@ -193,8 +193,10 @@ def blocks(page: str) -> list[tuple[Block, str]]:
 
 
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
-#: Where a script, style, textarea or title ends that is never closed: at the next block element or end tag of a section.
+#: Where a textarea or title ends that is never closed: at the next block element or end tag of one. In a script or style only
+#: where white space or another tag is before it: others are parts of its own strings.
 UNCLOSED = re.compile(rf"<(?:/?(?:head|body|html|{'|'.join(sorted(CLOSES_P))})(?=[\s/>]))", re.I)
+UNCLOSED_CODE = re.compile(rf"(?<=[\s>]){UNCLOSED.pattern}", re.I)
 
 
 def _nearest(stack: list, tags: set[str]) -> int:

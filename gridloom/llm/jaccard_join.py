@@ -558,9 +558,19 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: int = 90, id_
 
 
 def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, but those whose component has a smaller id, and of rows with equal
-    ids one. Rows with a null id stay."""
-    found = jaccard_components(docs, width, threshold, id_column, text_column)
-    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.where(F.col(id_column).isNotNull()).join(gone.withColumnRenamed("doc_id", "gone_"), F.col(id_column) == F.col("gone_"), "left_anti").dropDuplicates([id_column])
-    return kept.unionByName(docs.where(F.col(id_column).isNull()))
+    """The rows of docs, with all their columns, but those whose component has a smaller id.
+
+    Of rows with equal ids one stays: that of the first text (null before all), then of the first hash of the row. Rows with a
+    null id stay, as do null and empty texts, which link with nothing. Texts of any length are taken whole. An empty table gives
+    no rows. Other columns may have any names.
+    """
+    found = jaccard_components(docs, width, threshold, id_column, text_column).where("doc_id is not null")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
+    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k_")).where("k_ > 1").select(F.col("doc_id").alias("twice_"))
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row_"), F.col(id_column).cast("long").alias("id_"))
+    kept = packed.where("id_ is not null").join(gone, F.col("id_") == F.col("gone_"), "left_anti")
+    marked = kept.join(twice, F.col("id_") == F.col("twice_"), "left")
+    first = F.min_by("row_", F.struct(F.col("row_")[text_column].cast("string"), F.xxhash64("row_")))
+    again = marked.where("twice_ is not null").groupBy("id_").agg(first.alias("row_")).select("row_")
+    out = marked.where("twice_ is null").select("row_").union(again).union(packed.where("id_ is null").select("row_"))
+    return out.select(*[F.col("row_")[c].alias(c) for c in docs.columns])

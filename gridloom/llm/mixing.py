@@ -109,36 +109,47 @@ def phases(blocks: dict[str | None, int], weights: dict[str | None, int]) -> lis
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = 64, source_column: str = "source", id_column: str = "doc_id") -> DataFrame:
-    """docs with block_ (of its source), slot_ (of the whole mix) and place_ (in its block), all from 0.
+RESULTS = ("block_", "slot_", "place_")
 
-    weights: a positive number for each source; sources that it doesn't name, or all if it is None, have weight
-    1. A null source is a source of its own. Inside a source rows go by md5 of the id, then the id; rows with
-    equal ids stay apart, a null id counts as an id. A source's last block may be short. An empty table gives no rows.
-    Rows are never dropped or repeated. Only row counts by source come to the driver: the sources, and with
-    them the phases, are taken to be few (a row each of the schedule is broadcast, places of at most
-    RESOLUTION slots a phase).
-    """
+
+def _slotted(docs: DataFrame, weights: dict[str | None, float] | None, block_rows: int, source_column: str, id_column: str) -> DataFrame:
+    """(row_, id_, block_, slot_, place_): every row of docs as one struct, so that no name of its columns matters."""
     spark = docs.sparkSession
-    counts = {r[0]: r[1] for r in docs.groupBy(source_column).count().collect()}
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row_"), F.col(source_column).cast("string").alias("source_"), F.col(id_column).alias("id_"))
+    counts = {r[0]: r[1] for r in packed.groupBy("source_").count().collect()}
     given = {k: (weights or {}).get(k, 1.0) for k in counts}
     plan = phases({k: -(-n // block_rows) for k, n in counts.items()}, whole_weights(given, max(RESOLUTION, len(given)))) if counts else []
-    schedule = spark.createDataFrame([(i, *row) for i, row in enumerate(plan)], "part_ int, source_ string, from_ long, to_ long, slot0_ long, period_ long, places_ array<long>")
-    ranges = schedule.groupBy("source_").agg(F.array_sort(F.collect_list(F.struct("from_", "slot0_", "period_", "places_"))).alias("parts_"))
-    ranked = rank_within(docs, source_column, [id_column])
-    ranked = ranked.withColumn("block_", F.floor(F.col("rank_") / block_rows)).withColumn("place_", F.col("rank_") % block_rows).drop("rank_")
-    joined = ranked.join(F.broadcast(ranges), ranked[source_column].cast("string").eqNullSafe(ranges["source_"]))
+    schedule = spark.createDataFrame([(i, *row) for i, row in enumerate(plan)], "part_ int, named_ string, from_ long, to_ long, slot0_ long, period_ long, places_ array<long>")
+    ranges = schedule.groupBy("named_").agg(F.array_sort(F.collect_list(F.struct("from_", "slot0_", "period_", "places_"))).alias("parts_"))
+    ranked = rank_within(packed, "source_", ["id_"]).withColumn("block_", F.floor(F.col("rank_") / block_rows)).withColumn("place_", F.col("rank_") % block_rows)
+    joined = ranked.join(F.broadcast(ranges), F.col("source_").eqNullSafe(F.col("named_")))
     # The last part that begins no later than the block.
-    part = F.element_at(F.filter("parts_", lambda p: p["from_"] <= F.col("block_")), -1)
-    joined = joined.withColumn("part_", part)
+    joined = joined.withColumn("part_", F.element_at(F.filter("parts_", lambda p: p["from_"] <= F.col("block_")), -1))
     k = F.col("block_") - F.col("part_.from_")
     n = F.size("part_.places_")
     slot = F.col("part_.slot0_") + F.floor(k / n) * F.col("part_.period_") + F.element_at("part_.places_", (k % n + 1).cast("int"))
-    return joined.withColumn("slot_", slot).drop("source_", "parts_", "part_")
+    return joined.select("row_", "id_", "block_", slot.alias("slot_"), "place_")
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = 64, source_column: str = "source", id_column: str = "doc_id") -> DataFrame:
+    """docs with block_ (of its source), slot_ (of the whole mix) and place_ (in its block), all from 0.
+
+    weights: a positive number for each source; sources that it doesn't name, or all if it is None, have weight
+    1. A null source is a source of its own. Inside a source rows go by md5 of the id, then the id; rows with
+    equal ids stay apart, a null id counts as an id. A source's last block may be short. An empty table gives no rows.
+    Rows are never dropped or repeated, texts of any length or null are not looked at. Other columns of docs may have any
+    names; its own block_, slot_ or place_ give way to the results. Only row counts by source come to the driver: the sources,
+    and with them the phases, are taken to be few (a row each of the schedule is broadcast, places of at most
+    RESOLUTION slots a phase).
+    """
+    slotted = _slotted(docs, weights, block_rows, source_column, id_column)
+    return slotted.select(*[F.col("row_")[c].alias(c) for c in docs.columns if c not in RESULTS], *RESULTS)
 
 
 def mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = 64, source_column: str = "source", id_column: str = "doc_id") -> DataFrame:
-    """docs with their own columns, in the order of the mix: range partitions of slots, each sorted."""
-    mixed = mix(docs, weights, block_rows, source_column, id_column)
-    tag = F.md5(F.concat_ws("\u0001", F.coalesce(F.col(id_column).cast("string"), F.lit("\u0000"))))
-    return mixed.repartitionByRange("slot_", "place_").sortWithinPartitions("slot_", "place_", tag).select(*docs.columns)
+    """docs with their own columns, whatever their names, in the order of the mix: range partitions of slots, each sorted. Nulls,
+    ties, repeated rows and empty tables are as for mix: every row comes once."""
+    slotted = _slotted(docs, weights, block_rows, source_column, id_column)
+    tag = F.md5(F.concat_ws("\u0001", F.coalesce(F.col("id_").cast("string"), F.lit("\u0000"))))
+    ordered = slotted.repartitionByRange("slot_", "place_").sortWithinPartitions("slot_", "place_", tag)
+    return ordered.select(*[F.col("row_")[c].alias(c) for c in docs.columns])

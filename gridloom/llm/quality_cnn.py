@@ -202,6 +202,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    """The rows of docs, with all their columns, whose score reaches the threshold. Nulls, empty and long texts, repeats, ids and absent
+    labels are as for score_quality, so without labels of both classes all rows stay. Columns may have any names."""
     net = learn(training_rows(docs, labels, label_column, id_column, text_column))
     return docs.mapInArrow(_kept(net, docs.columns.index(text_column), threshold), docs.schema)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import attach
+from .oracles import OP3_SQL, OP4_SQL, OP9_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,24 +78,6 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_branches(threads(turns.unionByName(extra))))
 
 
-OP9_SQL = r"""
-WITH turns AS (
-    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-), sized AS (
-    SELECT *, 4 + length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + 1
-        + length(regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g')) + 9 AS size FROM turns
-)
-SELECT conv_id, count(*) AS n_turns,
-    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-    CAST(sum(size) AS BIGINT) AS formatted_chars
-FROM sized GROUP BY conv_id
-"""
-
-
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_mincut import extract_main_text
 
@@ -107,5 +90,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Of the others, models and the vocabulary file are not said in SQL: their tests have brute-force versions."""
-    return {"op9_chat_formatting": OP9_SQL}
+    """Of the others, models, schedules and the vocabulary file are not said in SQL: their tests have brute-force versions."""
+    return {"op3_embedding_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op9_chat_formatting": OP9_SQL}

@@ -414,6 +414,7 @@ def training_model(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
-    """The rows of docs, with all their columns, that are not predicted toxic."""
+    """The rows of docs, with all their columns, that are not predicted toxic: score below 0.5. Nulls, empty and long texts, repeats,
+    ids and absent labels are as for score_toxicity, so without labels of both classes all rows stay. Columns may have any names."""
     model = training_model(docs, labels, id_column, text_column, label_column)
     return docs.mapInArrow(_kept(model, docs.columns.index(text_column)), docs.schema)

@@ -50,10 +50,12 @@ def test_phases_place_every_block_once():
 
 
 def test_mix_keeps_rows_with_nulls_and_clashes(spark):
-    rows = [(i, None if i % 11 == 0 else f"s{i % 3}", "x") for i in range(300)] + [(None, "s0", "n"), (7, "s1", "again"), (7, "s1", "again")]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, rank_ string")
-    got = mixing.mix(docs.drop("rank_"), {"s0": 5, "s1": 1}, block_rows=4).collect()
-    assert len(got) == 303
+    rows = [(i, None if i % 11 == 0 else f"s{i % 3}", "x", 5, "y", i) for i in range(300)] + [(None, "s0", "n", 5, "y", 1), (7, "s1", "again", 5, "y", 1), (7, "s1", "again", 5, "y", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, rank_ string, slot_ int, source_ string, row_ long")
+    got = mixing.mix(docs, {"s0": 5, "s1": 1}, block_rows=4)
+    assert got.columns == ["doc_id", "source", "rank_", "source_", "row_", "block_", "slot_", "place_"]
+    got = got.collect()
+    assert len(got) == 303 and sum(r.rank_ == "again" for r in got) == 2
     by_slot = collections.defaultdict(list)
     for r in got:
         by_slot[r.slot_].append(r)
@@ -61,12 +63,47 @@ def test_mix_keeps_rows_with_nulls_and_clashes(spark):
     for rs in by_slot.values():
         assert len({(r.source, r.block_) for r in rs}) == 1
         assert sorted(r.place_ for r in rs) == list(range(len(rs)))
-    ordered = mixing.mixed_order(docs.drop("rank_"), block_rows=4)
-    assert ordered.columns == ["doc_id", "source"]
-    assert ordered.count() == 303
-    assert mixing.mix(docs.drop("rank_").limit(0)).collect() == []
+    ordered = mixing.mixed_order(docs, block_rows=4)
+    assert ordered.columns == docs.columns
+    assert sorted(map(str, ordered.collect())) == sorted(map(str, docs.collect()))
+    assert mixing.mix(docs.limit(0)).collect() == []
+    assert mixing.mixed_order(docs.limit(0)).collect() == []
     with pytest.raises(ValueError):
-        mixing.mix(docs.drop("rank_"), {"s0": 0.0})
+        mixing.mix(docs, {"s0": 0.0})
+
+
+def slot_by_slot(blocks):
+    """The source of every slot: earliest deadline first among the released blocks, equal weights, one slot after the other; when
+    a source is used up the others begin anew."""
+    left, out = dict(blocks), []
+    while left:
+        done, t, n = dict.fromkeys(left, 0), 0, len(left)
+        while all(left.values()):
+            ready = [(n * (done[k] + 1), k is not None, k or "", k) for k in left if n * done[k] <= t]
+            k = min(ready)[3]
+            out.append(k)
+            done[k] += 1
+            left[k] -= 1
+            t += 1
+        left = {k: x for k, x in left.items() if x}
+    return out
+
+
+def test_the_query_equals_a_schedule_made_slot_by_slot(spark):
+    from gridloom.llm import queries
+
+    got = queries.op2_mixing(spark, "/root/testdata/sf0.001").toPandas()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source").toPandas()
+    own = {}
+    for i, s in zip(docs["doc_id"], docs["source"], strict=True):
+        own.setdefault(s, []).append((hashlib.md5(str(i).encode()).hexdigest(), i))
+    slots = slot_by_slot({s: -(-len(x) // 64) for s, x in own.items()})
+    want, used = {}, collections.Counter()
+    for slot, s in enumerate(slots):
+        for place, (_, i) in enumerate(sorted(own[s])[64 * used[s] : 64 * used[s] + 64]):
+            want[i] = (used[s], slot, place)
+        used[s] += 1
+    assert {r.doc_id: (r.block_, r.slot_, r.place_) for r in got.itertuples()} == want
 
 
 @pytest.mark.parametrize("weights", [dict.fromkeys([f"s{i}" for i in range(21)], 1.0), {"a": 0.1, "b": 0.2, "c": 0.7}, {"a": 1.0, "b": 1 / 3}, {"a": 3.0, "b": 1e-3 * 7}])
@@ -260,3 +297,83 @@ def test_pages(spark):
     assert sorted(r.n_chars for r in got)[0] == 0
     assert all(r.n_chars == len(r.text) for r in got)
     assert next(r for r in got if r.page_id is None).n_chars == 5 * 50_000 - 1
+
+
+# ---------------------------------------------------------------- what the cut decides
+
+PLAIN = """<html><head><title>t</title></head><body><div><a href=1>Home</a> <a href=2>News</a></div>
+<div><h1>A short title</h1><p>%s</p><p>No.</p><p>%s</p><p>He left.</p><p>%s</p></div>
+<div>&copy; 2024 Somebody</div></body></html>""" % tuple("the long words of a paragraph that says something in full sentences " * k for k in (6, 4, 5))
+
+
+def test_short_paragraphs_are_kept_by_their_neighbours():
+    told = html_mincut.labelled(PLAIN)
+    kept = [t for t, use, _ in told if use]
+    assert [t[:8] for t in kept] == ["A short ", "the long", "No.", "the long", "He left.", "the long"]
+    by_themselves = [t for t, _, odds in told if odds > 0]
+    assert "No." not in by_themselves and "He left." not in by_themselves
+
+
+def test_the_cut_is_of_least_cost():
+    r = np.random.default_rng(7)
+    for _ in range(60):
+        n = int(r.integers(1, 9))
+        odds = (r.normal(0, 2, n)).tolist()
+        edges = [(int(a), int(b), float(r.random() * 2)) for a, b in r.integers(0, n, (12, 2)) if a != b]
+
+        def cost(label, odds=odds, edges=edges):
+            return sum(abs(x) for x, use in zip(odds, label, strict=True) if (x > 0) != use) + sum(w for a, b, w in edges if label[a] != label[b])
+
+        best = min(cost(x) for x in itertools.product([False, True], repeat=n))
+        assert cost(html_mincut.minimum_cut(odds, edges)) == pytest.approx(best, abs=1e-9)
+
+
+def test_the_cut_changes_labels_for_the_better(spark):
+    """Pages whose articles have lost their element: the text is as before with the cut, and seldom without."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    with_cut = without = changed = 0
+    for page in pages:
+        want = html_mincut.main_text(page)
+        told = html_mincut.labelled(page.replace("<article", "<div").replace("</article", "</div"))
+        with_cut += "\n".join(t for t, use, _ in told if use) == want
+        without += "\n".join(t for t, _, odds in told if odds > 0) == want
+        changed += sum((odds > 0) != use for _, use, odds in told)
+    assert with_cut >= 0.95 * len(pages) > 2 * without
+    assert changed > len(pages)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>Real text here.</p><button>x<p>More article text, a whole sentence.</article>", "Real text here.\nMore article text, a whole sentence."),
+        ("<title>abc<body><article><p>Real text here.</p></article>", "Real text here."),
+        ("<article><p>One two three.</p><script>var x = '<p>no</p>'", "One two three."),
+        ("<article><p>One two three.</p><script>var x = 1\n<p>Four five six.</p></article>", "One two three.\nFour five six."),
+        ("<article><p>One two three.</p><noscript>Enable it</noscript><p>Four five six.</p></article>", "One two three.\nFour five six."),
+        ("<article><p>a &lt; b &amp; c <b>bold</b>\n text</p></article>", "a < b & c bold text"),
+        ("", ""),
+        (None, ""),
+    ],
+)
+def test_broken_pages(page, want):
+    assert html_mincut.main_text(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a <b ", "<div>", "<p>x", "</b>", "<!-- ", "<! ", "<a '", "&amp", "<b><p>"])
+def test_long_broken_pages_take_linear_time(piece):
+    import time
+
+    times = []
+    for k in (20_000, 80_000):
+        began = time.perf_counter()
+        html_mincut.main_text(piece * k)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 12 * times[0] + 0.5
+
+
+def test_runs_of_backslashes(spark):
+    texts = ["\\" * 40_000 + "x", "\\" * 40_000 + "###", "\\###", "\\\\###\\</turn>\\", "######</turn></turn>", "\\ ### \\\\</turn>"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape_text(F.col("t")).alias("e"), chat.unescape_text(chat.escape_text(F.col("t"))).alias("u")).collect()
+    for r in got:
+        assert r.u == r.t
+        assert "\n</turn>" not in "\n" + r.e and not r.e.startswith("###")

@@ -54,6 +54,12 @@ def test_jaccard_edges(spark):
     kept = keep_one(one.withColumn("extra", F.lit(1)), 3, 90)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [5, None]
     assert kept.columns == ["doc_id", "text", "extra"]
+    # Equal ids with different texts, names that clash with the operator's own, nulls and empty texts.
+    odd = spark.createDataFrame([(5, "b x y z", 1, 1), (5, "a x y z", 2, 1), (6, None, 3, 1), (7, "", 4, 1), (8, "", 5, 1), (None, "b x y z", 6, 1), (9, "B X Y Z", 7, 1), (10, "c d e f", 8, 1)], "doc_id long, text string, gone_ int, row_ int")
+    kept = keep_one(odd, 3, 90)
+    assert kept.columns == odd.columns
+    assert sorted(((r.doc_id, r.text, r.gone_) for r in kept.collect()), key=str) == sorted([(5, "a x y z", 2), (6, None, 3), (7, "", 4), (8, "", 5), (None, "b x y z", 6), (10, "c d e f", 8)], key=str)
+    assert keep_one(odd.limit(0), 3, 90).collect() == []
 
 
 def test_vectors_equal_brute_force(spark):
