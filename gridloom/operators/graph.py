@@ -38,13 +38,13 @@ def components(grid: DataFrame, *keys: str, bridges: DataFrame | None = None, mo
     b = run.select(*on, F.col("r").alias("nr"), F.col("c").alias("nc"), F.struct("r", F.col("run_c").alias("c")).alias("y"))
     links = cut(edges.join(a, [*on, "r", "c"]).join(b, [*on, "nr", "nc"]).where("x <> y").select(*on, "x", "y").distinct(), "run-edges")
     labels = run.select(*on, F.struct("r", F.col("run_c").alias("c")).alias("x")).distinct().withColumn("label", F.col("x"))
-    labels = cut(labels, "labels")
+    labels = now = cut(labels, "labels")
     for _ in range(most_rounds):
         other = labels.select(*on, F.col("x").alias("y"), F.col("label").alias("theirs"))
         near = links.join(other, [*on, "y"]).groupBy(*on, "x").agg(F.min("theirs").alias("near"))
         stepped = labels.join(near, [*on, "x"], "left").select(*on, "x", "label", F.coalesce(F.least("label", "near"), F.col("label")).alias("step"))
         above = labels.select(*on, F.col("x").alias("step"), F.col("label").alias("above"))
-        now = cut(stepped.join(above, [*on, "step"]).select(*on, "x", F.least("step", "above").alias("label"), (F.least("step", "above") < F.col("label")).alias("moved")), "labels")
+        now = cut(stepped.join(above, [*on, "step"]).select(*on, "x", F.least("step", "above").alias("label"), (F.least("step", "above") < F.col("label")).alias("moved")), "labels", instead_of=now)
         labels = now.drop("moved")
         if now.where("moved").isEmpty():
             break

@@ -2,7 +2,9 @@
 
 A region is (state, seat_lo, s): its cells will be districts seat_lo+1 .. seat_lo+s. Numbering regions by seat_lo gives the
 numbers of a depth-first traversal without doing one, so a nation of any number of states takes as many rounds as
-the largest has halvings."""
+the largest has halvings. Cells carry whether their east and south neighbours are of their region, so after the first
+look no level joins cells with cells: people and parted neighbours are added up by key before the one shuffle of a
+level, and a table of at most a row a seat goes back to the cells, which stay where they are."""
 
 from __future__ import annotations
 
@@ -11,73 +13,101 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import family_keys
+from ..storage import cut
+
+REGION = ["state", "seat_lo", "s"]
+CELL = ["state", "r", "c", "pop", "seat_lo", "s", "east", "south"]
 
 
 def start(grid: DataFrame, seats: DataFrame) -> DataFrame:
     """Cells as one region a state. seats: (state, seats), a row a state."""
-    return grid.join(F.broadcast(seats), "state").select("state", "r", "c", "pop", F.lit(0).alias("seat_lo"), F.col("seats").cast("int").alias("s"))
+    beside = lambda line, along: F.count(F.lit(1)).over(Window.partitionBy("state", line).orderBy(along).rangeBetween(1, 1)) > 0
+    marked = grid.withColumn("east", beside("r", "c")).withColumn("south", beside("c", "r"))
+    return marked.join(F.broadcast(seats), "state").withColumn("seat_lo", F.lit(0)).withColumn("s", F.col("seats").cast("int")).select(*CELL)
+
+
+def by_key(regions: DataFrame) -> DataFrame:
+    """(state, seat_lo, s, fam, k, pop, cells, cut_len): people and cells of each key, and neighbours parted by a cut behind it.
+
+    The four families are columns, rows and both diagonals. A pair of neighbours is parted behind the lower of its keys."""
+    r, c, pop, east, south = (F.col(x) for x in ("r", "c", "pop", "east", "south"))
+    one = lambda x: x.cast("long")
+    key = lambda fam, k, people, n, parted: F.struct(F.lit(fam).alias("fam"), k.cast("int").alias("k"), people.alias("pop"), F.lit(n).alias("cells"), parted.alias("cut_len"))
+    keys = F.array(
+        key(0, c, pop, 1, one(east)), key(1, r, pop, 1, one(south)), key(2, r + c, pop, 1, one(east) + one(south)), key(3, r - c, pop, 1, one(south)),
+        key(3, r - c - 1, F.lit(0).cast("long"), 0, one(east)),
+    )
+    rows = regions.where("s >= 2").withColumn("pop", pop.cast("long")).select(*REGION, F.explode(keys).alias("x")).select(*REGION, "x.*")
+    summed = rows.groupBy(*REGION, "fam", "k").agg(F.sum("pop").cast("long").alias("pop"), F.sum("cells").alias("cells"), F.sum("cut_len").cast("long").alias("cut_len"))
+    return summed.where("cells > 0")
 
 
 def cut_candidates(regions: DataFrame) -> DataFrame:
     """(state, seat_lo, s, fam, t, err, cut_len) for every threshold that leaves cells on both sides.
 
     err: |population up to the threshold - share of the first half|; cut_len: neighbouring cells that it parts."""
-    region = ["state", "seat_lo", "s"]
-    open_ = regions.where("s >= 2")
-    keyed = open_.select(*region, "r", "c", "pop", F.explode(family_keys(F.col("r"), F.col("c"))).alias("f")).select(*region, "r", "c", "pop", "f.fam", "f.k")
-    by_key = keyed.groupBy(*region, "fam", "k").agg(F.sum("pop").cast("long").alias("pop"))
-    # East and south neighbours: each edge once. A cell's own keys give its neighbour's, so cells need no lookup of keys.
-    step = F.explode(F.array(F.struct(F.lit(0).alias("dr"), F.lit(1).alias("dc")), F.struct(F.lit(1).alias("dr"), F.lit(0).alias("dc")))).alias("d")
-    ask = open_.select(*region, "r", "c", step).select(*region, F.col("r").alias("r0"), F.col("c").alias("c0"), (F.col("r") + F.col("d.dr")).alias("r"), (F.col("c") + F.col("d.dc")).alias("c"))
-    edge = ask.join(open_.select(*region, "r", "c"), [*region, "r", "c"])
-    both = F.arrays_zip(family_keys(F.col("r0"), F.col("c0")).alias("a"), family_keys(F.col("r"), F.col("c")).alias("b"))
-    severed = edge.select(*region, F.explode(both).alias("z")).where("z.a.k <> z.b.k").groupBy(*region, F.col("z.a.fam").alias("fam"), F.least("z.a.k", "z.b.k").alias("k")).agg(F.count(F.lit(1)).alias("cut_len"))
-    family = Window.partitionBy(*region, "fam")
+    return _candidates(by_key(regions))
+
+
+def _candidates(keys: DataFrame) -> DataFrame:
+    family = Window.partitionBy(*REGION, "fam")
     upto = family.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    prefix = by_key.withColumn("prefix", F.sum("pop").over(upto)).withColumn("last", F.max("k").over(family)).withColumn("all", F.sum("pop").over(family))
-    half = F.floor(F.col("s") / 2)
-    want = (half / F.col("s")) * F.col("all")
-    inner = prefix.where("k < last").select(*region, "fam", "k", F.abs(F.col("prefix") - want).alias("err"))
-    return inner.join(severed, [*region, "fam", "k"], "left").select(*region, "fam", F.col("k").alias("t"), "err", F.coalesce("cut_len", F.lit(0)).cast("long").alias("cut_len"))
+    prefix = keys.withColumn("prefix", F.sum("pop").over(upto)).withColumn("last", F.max("k").over(family)).withColumn("all", F.sum("pop").over(family))
+    want = (F.floor(F.col("s") / 2) / F.col("s")) * F.col("all")
+    return prefix.where("k < last").select(*REGION, "fam", F.col("k").alias("t"), F.abs(F.col("prefix") - want).alias("err"), "cut_len")
 
 
 def best_cuts(candidates: DataFrame) -> DataFrame:
     """The least (err, cut_len, fam, t) of every region."""
-    best = candidates.groupBy("state", "seat_lo", "s").agg(F.min(F.struct("err", "cut_len", "fam", "t")).alias("b"))
-    return best.select("state", "seat_lo", "s", "b.*")
+    best = candidates.groupBy(*REGION).agg(F.min(F.struct("err", "cut_len", "fam", "t")).alias("b"))
+    return best.select(*REGION, "b.*")
 
 
-def _key(fam: Column, r: Column, c: Column) -> Column:
-    return F.when(fam == 0, c).when(fam == 1, r).when(fam == 2, r + c).otherwise(r - c)
+def _low(r: Column, c: Column) -> Column:
+    """Whether a cell is on the first side of its region's cut."""
+    fam = F.col("fam")
+    return F.when(fam == 0, c).when(fam == 1, r).when(fam == 2, r + c).otherwise(r - c) <= F.col("t")
 
 
 def level(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(regions one level down, the cuts made). Regions of one seat stay. A region of no more cells than seats gives one
-    cell to each seat in the order of cells. One with a single key in every family is parted in the order of
-    cells, where the running population first reaches the share (its last cell aside)."""
-    size = Window.partitionBy("state", "seat_lo", "s")
-    sized = regions.withColumn("n", F.count(F.lit(1)).over(size))
-    large = sized.where("s >= 2 and n > s").drop("n")
-    cuts = best_cuts(cut_candidates(large))
+    cell to each seat in the order of cells. One whose rows are all of one cell is parted in their order
+    (split_in_order)."""
+    keys = by_key(regions)
+    size = keys.where("fam = 0").groupBy(*REGION).agg(F.sum("cells").alias("n"))
+    # At most a row a seat of all states.
+    plan = cut(size.join(best_cuts(_candidates(keys)), REGION, "left").withColumn("few", F.col("n") <= F.col("s")), "splitline-cuts")
+    told = regions.join(F.broadcast(plan), REGION, "left")
     half = F.floor(F.col("s") / 2).cast("int")
-    first = lambda side: large_cut.select(
+    r, c = F.col("r"), F.col("c")
+    stays = F.col("s") < 2
+    low = _low(r, c)
+    moved = told.where(stays | (~F.col("few") & F.col("t").isNotNull())).select(
         "state", "r", "c", "pop",
-        F.when(side, F.col("seat_lo")).otherwise(F.col("seat_lo") + half).cast("int").alias("seat_lo"),
-        F.when(side, half).otherwise(F.col("s") - half).cast("int").alias("s"),
+        F.when(stays | low, F.col("seat_lo")).otherwise(F.col("seat_lo") + half).cast("int").alias("seat_lo"),
+        F.when(stays, F.col("s")).when(low, half).otherwise(F.col("s") - half).cast("int").alias("s"),
+        F.when(stays, F.col("east")).otherwise(F.col("east") & (low == _low(r, c + 1))).alias("east"),
+        F.when(stays, F.col("south")).otherwise(F.col("south") & (low == _low(r + 1, c))).alias("south"),
+    )
+    order = Window.partitionBy(*REGION).orderBy("r", "c", "pop")
+    alone = F.lit(False)
+    few = told.where("few").withColumn("k", F.row_number().over(order) - 1).select("state", "r", "c", "pop", (F.col("seat_lo") + F.col("k")).cast("int").alias("seat_lo"), F.lit(1).alias("s"), alone.alias("east"), alone.alias("south"))
+    rest = split_in_order(told.where("not few and t is null"))
+    return moved.unionByName(few).unionByName(rest), plan.where("not few and t is not null").select(*REGION, "err", "cut_len", "fam", "t")
+
+
+def split_in_order(regions: DataFrame) -> DataFrame:
+    """Cells of regions parted where the running population first reaches the first half's share; both sides get a cell."""
+    region = Window.partitionBy(*REGION)
+    order = region.orderBy("r", "c", "pop")
+    half = F.floor(F.col("s") / 2).cast("int")
+    before = F.coalesce(F.sum("pop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = (F.row_number().over(order) == 1) | ((before < (half / F.col("s")) * F.sum("pop").over(region)) & (F.row_number().over(order) < F.count(F.lit(1)).over(region)))
+    parted = regions.withColumn("first", first)
+    return parted.select(
+        "state", "r", "c", "pop", F.when(F.col("first"), F.col("seat_lo")).otherwise(F.col("seat_lo") + half).cast("int").alias("seat_lo"),
+        F.when(F.col("first"), half).otherwise(F.col("s") - half).cast("int").alias("s"), F.lit(False).alias("east"), F.lit(False).alias("south"),
     )
-    # At most one row a region; not broadcast by hand, the optimizer knows its size.
-    large_cut = large.join(cuts, ["state", "seat_lo", "s"], "left")
-    order = size.orderBy("r", "c")
-    running = F.sum("pop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    want = (half / F.col("s")) * F.sum("pop").over(size)
-    plain = (F.coalesce(running, F.lit(0)) < want) & ((F.row_number().over(order) < F.count(F.lit(1)).over(size)) | (F.row_number().over(order) == 1)) | (F.row_number().over(order) == 1)
-    large_cut = large_cut.withColumn("plain", plain)
-    parted = first(F.when(F.col("t").isNotNull(), _key(F.col("fam"), F.col("r"), F.col("c")) <= F.col("t")).otherwise(F.col("plain")))
-    few = sized.where("s >= 2 and n <= s")
-    single = few.select("state", "r", "c", "pop", (F.col("seat_lo") + F.row_number().over(order) - 1).cast("int").alias("seat_lo"), F.lit(1).alias("s"))
-    done = sized.where("s < 2").select("state", "r", "c", "pop", "seat_lo", "s")
-    return done.unionByName(parted).unionByName(single), cuts
 
 
 def splitline(grid: DataFrame, seats: DataFrame, most_seats: int, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> tuple[DataFrame, list[DataFrame]]:

@@ -130,7 +130,7 @@ def _levels(v: Census, n: int) -> DataFrame:
     g = splitline.start(v.grid(), v.seats())
     for _ in range(n):
         g = cut(splitline.level(g)[0], "splitline")
-    return g
+    return g.select("state", "r", "c", "pop", "seat_lo", "s")
 
 
 for _n in (1, 2, 3):

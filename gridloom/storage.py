@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where none is set (as in tests), a folder of this machine, removed at the end."""
+    """spark.checkpoint.dir; where none is set and Spark runs on this machine alone (as in tests), a folder of it, removed at the end."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="gridloom-checkpoint-")
         root = f"file://{path}"
         spark.conf.set("spark.checkpoint.dir", root)
@@ -38,10 +41,22 @@ def attach(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write df as Parquet into the shared checkpoint folder and read it back: its lineage ends there, and
-    what it holds no longer depends on any executor."""
+    what it holds no longer depends on any executor. instead_of: the round before, itself from cut and not needed any more; its
+    files are deleted once df is written."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    old = _paths.get(id(instead_of)) if instead_of is not None else None
+    if old:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
+
+
+#: Where the tables of this session that come from cut were written.
+_paths: dict[int, str] = {}
