@@ -74,7 +74,7 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
         low = small.groupBy("u").agg(F.min("v").alias("m"))
         joined = small.join(low, "u")
         e = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(e, name)
+        e = cut(e, name, instead_of=e)
         now = mark(e)
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
