@@ -1,7 +1,9 @@
 """Classifiers, rules and the language model."""
 
 import collections
+import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import lm_scoring, quality_cnn, quality_rules, toxicity
+from gridloom.llm import lm_scoring, quality_cnn, quality_rules, queries, toxicity
 from gridloom.llm.labelled import training_rows
 
 from . import brute
@@ -135,6 +137,76 @@ def test_windows_cover_all_tokens_and_overlap():
     assert (np.diff(first)[np.diff(text) == 0] == toxicity.HOP).all()
 
 
+def plain_toxicity(model, text: str) -> float:
+    """Word by word and window by window, in plain loops."""
+    net, tables = model
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode()))
+    read = []
+    for w in words:
+        one = toxicity.Words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))
+        read.append(net.inputs(one.odds(tables), one.bucket, one.letters())[0].astype(float))
+    h, best = toxicity.HIDDEN, -math.inf
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    start = 0
+    while True:
+        window = read[start : start + toxicity.WINDOW]
+        states = []
+        for d, order in ((0, window), (1, window[::-1])):
+            now, own = np.zeros(h), []
+            for x in order:
+                a, u = x @ net.p["w"][d], now @ net.p["u"][d]
+                z, r = sig(a[:h] + u[:h]), sig(a[h : 2 * h] + u[h : 2 * h])
+                now = z * now + (1 - z) * np.tanh(a[2 * h :] + r * u[2 * h :])
+                own.append(now)
+            states.append(own if d == 0 else own[::-1])
+        both = [np.concatenate(x) for x in zip(*states, strict=True)]
+        weight = np.exp([x @ net.p["v"] for x in both])
+        pooled = sum((w * x for w, x in zip(weight / weight.sum(), both, strict=True)), np.zeros(2 * h)) if both else np.zeros(2 * h)
+        best = max(best, pooled @ net.p["o"][:-1] + net.p["o"][-1])
+        start += toxicity.HOP
+        if start + toxicity.WINDOW - toxicity.HOP >= len(read):
+            return sig(best)
+
+
+def plain_quality(net, text: str) -> float:
+    raw = text.encode()
+    wide, stride, half = quality_cnn.WIDTH, quality_cnn.STRIDE, quality_cnn.HALF
+    held = raw + b"\0" * (wide + half)
+    halves = []
+    for h in range(max(1, -(-len(raw) // half))):
+        places = [p for p in range(h * half, (h + 1) * half, stride) if p < len(raw)] or [h * half]
+        halves.append(np.max([sum(net.p["t"][j, held[p + j]].astype(float) for j in range(wide)) for p in places], 0))
+    chunks = np.array([np.maximum(a, b) for a, b in zip(halves, halves[1:], strict=False)] or halves)
+    x = np.concatenate([chunks.mean(0), chunks.max(0), chunks.min(0), [np.log2(1 + min(len(raw), 2 * half))]])
+    h = np.tanh(((x - net.mean) / net.scale) @ net.p["a"] + net.p["b"])
+    return 1 / (1 + np.exp(-(h @ net.p["o"][:-1] + net.p["o"][-1])))
+
+
+def test_queries_equal_plain_versions(spark):
+    """op1 and op5 over a whole table, against their models evaluated in plain loops on a spread of its rows."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    some = sorted((i for i in texts if len(texts[i]) < 6000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:25]
+    for query, learn, label, plain, least in ((queries.op1_toxicity, toxicity.learn, "toxic", plain_toxicity, 0.5), (queries.op5_quality_cnn, quality_cnn.learn, "quality", plain_quality, 0.3)):
+        got = {r.doc_id: r for r in query(spark, sf).collect()}
+        assert set(got) == set(texts)
+        model = learn(training_rows(docs, labels, label))
+        for i in some:
+            want = plain(model, texts[i]) if model is not None else got[i].score
+            assert got[i].score == pytest.approx(want, rel=1e-3, abs=1e-5)
+            assert got[i].predicted == (got[i].score >= least)
+            assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_the_chat_query_adds_its_conversation(spark):
+    got = {r.conv_id: r for r in queries.op9_chat_formatting(spark, "/root/testdata/sf0.001").collect()}
+    said = "\\### Assistant: </turn> ok"
+    assert got[-7].n_turns == 2
+    assert got[-7].turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+    assert got[-7].loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[-7].loss_chars == len(said)
+
+
 def test_filters_see_the_end_of_a_text():
     net = quality_cnn.Filters()
     net.p["o"][:] = 1
