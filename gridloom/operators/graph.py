@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +19,52 @@ def bridge_edges(bridges: DataFrame) -> DataFrame:
     return there.union(there.select("state", "nr", "nc", "r", "c"))
 
 
+def _contracted(on: list[str], most: int = 1_000_000) -> Callable:
+    """Of a task's links the same components with one link a node: to the first node that the task's own links reach. At most `most`
+    rows are held at once; what they leave apart meets in the rounds."""
+
+    def flush(held: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(held, ignore_index=True)
+        ends = pd.concat([pdf[[*on, f"{k}r", f"{k}c"]].set_axis([*on, "r", "c"], axis=1) for k in "xy"], ignore_index=True)
+        number = ends.groupby([*on, "r", "c"], sort=True).ngroup().to_numpy()
+        x, y = number[: len(pdf)], number[len(pdf) :]
+        first = np.arange(number.max() + 1)
+        while True:
+            low = np.minimum(first[x], first[y])
+            new = first.copy()
+            np.minimum.at(new, first[x], low)
+            np.minimum.at(new, first[y], low)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == first).all():
+                break
+            first = new
+        nodes = ends.assign(n=number).drop_duplicates("n").sort_values("n").reset_index(drop=True)
+        moved = np.flatnonzero(first != np.arange(len(first)))
+        to = nodes.loc[first[moved], ["r", "c"]].to_numpy()
+        return nodes.loc[moved, [*on, "r", "c"]].rename(columns={"r": "xr", "c": "xc"}).assign(yr=to[:, 0], yc=to[:, 1])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for pdf in batches:
+            if len(pdf):
+                held.append(pdf)
+                rows += len(pdf)
+            if rows > most:
+                yield flush(held)
+                held, rows = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
 def components(grid: DataFrame, *keys: str, bridges: DataFrame | None = None, most_rounds: int = 64) -> DataFrame:
     """(state, keys.., r, c, pop, comp_r, comp_c): the first cell of each cell's component; with keys, components of
     cells of equal keys (a district, say).
 
-    Horizontal runs of cells are found first by one window, so that labels move by runs and not by cells; then each
+    Horizontal runs of cells are found first by one window, so that labels move by runs and not by cells; each task then
+    contracts the links between runs that it holds, so that few rounds are left. Each
     round takes the least label of the neighbouring runs and of the label's own label. Rounds are
     written to the shared folder; they end when no label changes."""
     on = ["state", *keys]
@@ -36,7 +81,10 @@ def components(grid: DataFrame, *keys: str, bridges: DataFrame | None = None, mo
         edges = edges.unionByName(own.join(both, ["state", "r", "c"]).join(far, [*on, "nr", "nc"], "left_semi"))
     a = run.select(*on, "r", "c", F.struct("r", F.col("run_c").alias("c")).alias("x"))
     b = run.select(*on, F.col("r").alias("nr"), F.col("c").alias("nc"), F.struct("r", F.col("run_c").alias("c")).alias("y"))
-    links = cut(edges.join(a, [*on, "r", "c"]).join(b, [*on, "nr", "nc"]).where("x <> y").select(*on, "x", "y").distinct(), "run-edges")
+    pairs = edges.join(a, [*on, "r", "c"]).join(b, [*on, "nr", "nc"]).where("x < y").select(*on, F.col("x.r").alias("xr"), F.col("x.c").alias("xc"), F.col("y.r").alias("yr"), F.col("y.c").alias("yc"))
+    short = pairs.mapInPandas(_contracted(on), pairs.schema).distinct()
+    there = short.select(*on, F.struct(F.col("xr").alias("r"), F.col("xc").alias("c")).alias("x"), F.struct(F.col("yr").alias("r"), F.col("yc").alias("c")).alias("y"))
+    links = cut(there.union(there.select(*on, F.col("y").alias("x"), F.col("x").alias("y"))), "run-links")
     labels = run.select(*on, F.struct("r", F.col("run_c").alias("c")).alias("x")).distinct().withColumn("label", F.col("x"))
     labels = now = cut(labels, "labels")
     for _ in range(most_rounds):

@@ -1,11 +1,4 @@
 """Schemas of the contracts between stages. Codes such as FIPS and GEOID are text: they keep leading zeros."""
 
-BLOCK = "state STRING, geoid STRING, pop INT, lon DOUBLE, lat DOUBLE"
-CELL = "state STRING, r INT, c INT, pop BIGINT"
 ASSIGN_CSV = "row INT, col INT, district INT, pop INT"
-BRIDGE = "state STRING, ar INT, ac INT, br INT, bc INT"
 SCORES_CSV = "arm STRING, eligible BOOLEAN, gateFailures STRING, maxAbsDevPct DOUBLE, meanAbsDevPct DOUBLE, irregularCount INT, meanPpn DOUBLE, repairMoves INT, sha256 STRING"
-STATE_DIM = "state STRING, fips STRING, seats INT, resident_pop BIGINT, at_large BOOLEAN"
-COUNTY_POP = "fips STRING, vintage STRING, pop BIGINT"
-APPORTIONMENT = "decade STRING, state STRING, seats INT"
-LEDGER = "key STRING, status STRING, seats INT, at_large BOOLEAN, coverage DOUBLE, ms BIGINT, error STRING, at TIMESTAMP"
