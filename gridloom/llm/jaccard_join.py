@@ -531,7 +531,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: int = 90, id_
         return _verified(_near_only(across, bits), texts, width, threshold, name)
 
     def with_component(rows: DataFrame, known: DataFrame) -> DataFrame:
-        return rows.join(known, rows["leader"] == known["node"], "left").withColumn("component", F.coalesce("component", "leader")).drop("node")
+        # By the set itself, for a leader may stand for any share of all rows; a set without links leads itself.
+        return rows.join(known, rows["doc_id"] == known["node"], "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
 
     # Lists whose sets are all of one component have nothing left to ask, nor have lists of two: those were leader and follower.
     listed_now = with_component(listed, known)
@@ -544,7 +545,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: int = 90, id_
     known = connected_components(links.union(met.where("linked")).select("a", "b"), "jaccard-components")
     open_ = met.where("not linked")
     leaders = open_.select(F.col("a").alias("leader"), F.col("a_fp").alias("leader_fp")).union(open_.select("b", "b_fp")).distinct()
-    members = with_component(listed_now.drop("component").join(leaders, ["leader", "leader_fp"], "left_semi"), known)
+    sets = own.join(leaders, ["leader", "leader_fp"], "left_semi").select("doc_id", "fp").union(leaders).distinct()
+    members = with_component(listed_now.drop("component").join(sets, ["doc_id", "fp"], "left_semi"), known)
     more = compared(members.select("key", F.col("n").alias("lo"), F.col("n").alias("hi"), (F.col("n") - F.col("pos")).alias("reach"), F.lit(0).cast("long").alias("wide"), "doc_id", "fp", "component"), "jaccard-members").where("linked")
 
     # Equal sets: each row with the smallest id of its class.
