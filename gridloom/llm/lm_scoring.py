@@ -18,12 +18,13 @@ the state before every token is looked up, then arcs are taken and failures foll
 from __future__ import annotations
 
 import os
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,13 +74,17 @@ def _one(values: pa.Array, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
 
 
+_packer = cache(lambda: zstandard.ZstdCompressor(level=1))
+_unpacker = cache(zstandard.ZstdDecompressor)
+
+
 def _squeeze(tokens: np.ndarray) -> bytes:
     """The bytes of equal weight together: those of high weight are mostly zero."""
-    return zlib.compress(np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return _packer().compress(np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _unsqueeze(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_unpacker().decompress(raw), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
@@ -121,9 +126,9 @@ def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Grams:
-    """The distinct n-grams of a block, each order sorted by hash, and where they stand."""
+    """The distinct n-grams of a block, each order sorted by hash, and where they stand; trigrams only where asked for."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, trigrams: bool = True):
         self.sizes, held = np.asarray(row["sizes"], np.int64), np.asarray(row["held"], bool)
         hashes = np.concatenate([MARKS, np.asarray(row["words"], np.int64).view(U64)])
         self.k = len(hashes)
@@ -147,6 +152,8 @@ class Grams:
         at[begins] = 0
         self.a, self.b = np.where(begins, np.int32(BEGIN), self.one[at]), np.where(begins, np.int32(BEGIN), self.last[at])
         inv2, start = inv2[:-1], inv2[-1]
+        if not trigrams:
+            return
         self.n2 = np.bincount(inv2[train], minlength=len(self.keys2))
         self.n2[start] += texts
         before = np.concatenate([inv2[-1:], inv2[:-1]])
@@ -181,12 +188,12 @@ def _numbers(columns: list[np.ndarray]) -> bytes:
     """Columns of numbers from 0, mostly small, of one length."""
     table = np.stack(columns).astype("<u8")
     width = max(1, (int(table.max()).bit_length() + 7) // 8)
-    return bytes([width, len(columns)]) + zlib.compress(np.ascontiguousarray(table.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
+    return bytes([width, len(columns)]) + _packer().compress(np.ascontiguousarray(table.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
 
 
 def _columns(raw: bytes) -> np.ndarray:
     width, columns = raw[0], raw[1]
-    planes = np.frombuffer(zlib.decompress(raw[2:]), np.uint8).reshape(width, -1)
+    planes = np.frombuffer(_unpacker().decompress(raw[2:]), np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.view("<u8").ravel().astype(np.int64).reshape(columns, -1)
@@ -216,7 +223,7 @@ def _summed(order: int) -> Callable:
         blocks = sent.column("block").to_pylist()
         keys = [_unpack(x) for x in sent.column("keys").to_pylist()]
         numbers = np.concatenate([_columns(x) for x in sent.column("numbers").to_pylist()], 1)
-        found, at, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        found, at, inverse = _distinct(np.concatenate(keys))
         total = [np.bincount(inverse, x, len(found)).astype(np.int64) for x in numbers]
         tokens, distinct = int(total[0].sum()), int((total[0] > 0).sum())
         if order > 1:
@@ -273,7 +280,7 @@ def _send_bigrams(shards: int) -> Callable:
 def _send_words(shards: int) -> Callable:
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         row = next(_rows(block))
-        g = Grams(row)
+        g = Grams(row, trigrams=False)
         two = _of_order(answers, 2)
         two[0][g.b == BEGIN] = 0  # a history only
         behind = _kept_behind(g.a, two, g.k)
