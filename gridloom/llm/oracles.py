@@ -50,3 +50,49 @@ SELECT conv_id, count(*) AS n_turns,
     CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+OP11_SQL = r"""
+WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+rest AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
+cut_ AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM rest),
+u AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM cut_),
+fit AS (
+    SELECT DISTINCT u.host, u.path, r.host || r.path AS rule, r.verdict FROM (SELECT DISTINCT host, path FROM u) u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+), best AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM fit GROUP BY ALL)
+SELECT page_id, u.host, u.path, best.rule, coalesce(best.verdict, 'allow') AS verdict FROM u LEFT JOIN best ON best.host = u.host AND best.path = u.path
+"""
+
+OP12_SQL = r"""
+WITH doc AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+tok AS (SELECT k, lang, source, unnest(ts) AS term FROM doc),
+per AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs FROM tok GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM per GROUP BY ALL HAVING sum(docs) >= 3),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+cnt AS (SELECT g.lang, g.source, t.term, coalesce(p.n, 0)::HUGEINT AS n FROM grp g JOIN kept t ON t.lang = g.lang LEFT JOIN per p ON p.lang = g.lang AND p.source = g.source AND p.term = t.term),
+tot AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM cnt GROUP BY ALL),
+p AS (SELECT c.lang, c.source, c.term, c.n, 1 + (1000000000::HUGEINT * (c.n + 1)) // (t.total + v.v) AS p FROM cnt c JOIN tot t ON t.lang = c.lang AND t.source = c.source JOIN v ON v.lang = c.lang),
+q AS (SELECT t.lang, t.term, 1 + (1000000000::HUGEINT * (t.n + 1)) // (v.total::HUGEINT + v.v) AS q FROM kept t JOIN v ON v.lang = t.lang),
+pair AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+        ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), term AS (SELECT p.lang, p.source, p.term AS item, ((p.p - q.q) * (p.p - q.q)) // q.q AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q),
+told AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term),
+ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM told)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, list_transform(regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), lambda x: length(x)) AS sizes FROM d),
+n AS (
+    SELECT *, len(sizes) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(sizes) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(sizes) + 1) AS y,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+            WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u
+), o AS (SELECT *, CAST(coalesce(list_sum(sizes[1:least(x, y)]), 0) AS BIGINT) AS a, CAST(coalesce(list_sum(sizes[1:greatest(x, y)]), 0) AS BIGINT) AS b FROM n),
+c AS (SELECT *, substr(text, 1, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1) AS s FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c
+"""

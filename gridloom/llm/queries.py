@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import attach
-from .oracles import OP3_SQL, OP4_SQL, OP9_SQL
+from .oracles import OP3_SQL, OP4_SQL, OP9_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,28 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+#: (host, path, verdict) of the rules that op11 applies.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import judge
+
+    return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import digest, fill_in_middle
+
+    return digest(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op") and callable(v)]
     return {f.__name__: f for f in found}
@@ -91,4 +113,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Of the others, models, schedules and the vocabulary file are not said in SQL: their tests have brute-force versions."""
-    return {"op3_embedding_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op9_chat_formatting": OP9_SQL}
+    return {"op3_embedding_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op9_chat_formatting": OP9_SQL, "op11_url_filters": OP11_SQL, "op12_source_audit": OP12_SQL, "op13_fill_middle": OP13_SQL}
