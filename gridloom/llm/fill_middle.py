@@ -31,56 +31,56 @@ def _drawn(seed: int, group: int) -> Column:
     return F.conv(F.substring(digest, 8 * group - 7, 8), 16, 10).cast("long")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text with two hashes of both, which name a row by what it holds, so that a task run again gives the same."""
+def _with_form(docs: DataFrame, seed: int, rate: int, spm_rate: int) -> DataFrame:
+    """doc_id, text and form, and two hashes of id and text, which name a row by what it holds, so that a task run again gives the same."""
     own = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return own.withColumn("k1_", F.xxhash64("doc_id", "text")).withColumn("k2_", F.xxhash64(F.lit(1), F.col("text"), F.col("doc_id")))
-
-
-def cut_requests(docs: DataFrame, seed: int = 42, rate: int = 50, spm_rate: int = 80) -> DataFrame:
-    """A row a document: keys, n, form, first and last (units before the middle and its end; null if plain), lengths of its units."""
-    lengths = F.transform(F.regexp_extract_all("text", F.lit(UNITS), 0), lambda x: F.length(x))
     tagged = F.contains("text", F.lit(TAGS["prefix"])) | F.contains("text", F.lit(TAGS["suffix"])) | F.contains("text", F.lit(TAGS["middle"]))
     plain = (F.col("text") == "") | tagged | (_drawn(seed, 3) % 100 >= rate)
     form = F.when(plain, "plain").when(_drawn(seed, 4) % 100 < spm_rate, "spm").otherwise("psm")
-    out = _keyed(docs).select(*_KEY, lengths.alias("lengths"), form.alias("form"), _drawn(seed, 1).alias("h1"), _drawn(seed, 2).alias("h2"))
+    return own.withColumn("form", form).withColumn("k1_", F.xxhash64("doc_id", "text")).withColumn("k2_", F.xxhash64(F.lit(1), F.col("text"), F.col("doc_id")))
+
+
+def cut_requests(apart: DataFrame, seed: int = 42) -> DataFrame:
+    """A row a document that is not plain: keys, n, first and last (units before the middle and its end), lengths of its units."""
+    lengths = F.transform(F.regexp_extract_all("text", F.lit(UNITS), 0), lambda x: F.length(x))
     n = F.size("lengths").cast("long")
+    out = apart.select(*_KEY, lengths.alias("lengths"), _drawn(seed, 1).alias("h1"), _drawn(seed, 2).alias("h2"))
     out = out.withColumn("n", n).withColumn("x", F.col("h1") % (n + 1)).withColumn("y", F.col("h2") % (n + 1))
-    apart = F.col("form") != "plain"
-    return out.select(*_KEY, "n", "form", F.when(apart, F.least("x", "y")).alias("first"), F.when(apart, F.greatest("x", "y")).alias("last"), F.when(apart, F.col("lengths")).alias("lengths"))
+    return out.select(*_KEY, "n", F.least("x", "y").alias("first"), F.greatest("x", "y").alias("last"), "lengths")
 
 
 def offsets(requests: DataFrame) -> DataFrame:
-    """A row a key that is not plain: where its prefix and its middle end, in code points."""
-    apart = requests.where("form <> 'plain'")
-    units = apart.agg(F.sum("n")).first()[0] or 0
+    """A row a key: n, and where the prefix (p) and the middle (m) end, in code points."""
+    units = requests.agg(F.sum("n")).first()[0] or 0
     tasks = max(1, -(-units // UNITS_A_TASK))
-    dealt = apart.select(*_KEY, "lengths").repartition(tasks, *_KEY).dropDuplicates(_KEY)
+    dealt = requests.select(*_KEY, "lengths").repartition(tasks, *_KEY).dropDuplicates(_KEY)
     unit = dealt.select(*_KEY, F.posexplode("lengths").alias("pos", "size"))
     to_here = Window.partitionBy(*_KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ends = unit.select(*_KEY, (F.col("pos") + 1).cast("long").alias("ordinal"), F.sum("size").over(to_here).alias("end"))
     # One row a key, so that units stay where they are: both ordinals stand in it.
-    asked = apart.select(*_KEY, "first", "last").repartition(tasks, *_KEY).groupBy(*_KEY).agg(F.max("first").alias("first"), F.max("last").alias("last"))
-    met = ends.join(asked.hint("shuffle_hash"), _KEY).where("ordinal = first OR ordinal = last")
-    found = met.groupBy(*_KEY).agg(F.max(F.when(F.col("ordinal") == F.col("first"), F.col("end"))).alias("p"), F.max(F.when(F.col("ordinal") == F.col("last"), F.col("end"))).alias("m"))
-    # A cut before the first unit meets none.
-    return found.select(*_KEY, F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("m", F.lit(0)).alias("m"))
+    asked = requests.select(*_KEY, "n", "first", "last").repartition(tasks, *_KEY).groupBy(*_KEY).agg(*[F.max(c).alias(c) for c in ("n", "first", "last")])
+    # The last unit is met too, so that cuts before the first one, which meet none, leave their row.
+    met = ends.join(asked.hint("shuffle_hash"), _KEY).where("ordinal = first OR ordinal = last OR ordinal = n")
+    found = met.groupBy(*_KEY).agg(F.max("n").alias("n"), *[F.coalesce(F.max(F.when(F.col("ordinal") == F.col(c), F.col("end"))), F.lit(0)).alias(o) for c, o in (("first", "p"), ("last", "m"))])
+    return found.select(*_KEY, "n", "p", "m")
 
 
 def fill_in_middle(docs: DataFrame, seed: int = 42, rate: int = 50, spm_rate: int = 80) -> DataFrame:
-    """doc_id, n, form, prefix_chars, middle_chars (null if plain), output: a row a document."""
-    requests = cut(cut_requests(docs, seed, rate, spm_rate), "units")
-    told = requests.groupBy(*_KEY).agg(F.max("n").alias("n"), F.max("form").alias("form")).join(offsets(requests), _KEY, "left")
-    full = _keyed(docs).join(told.hint("shuffle_hash"), _KEY, "left")
-    p, m = F.coalesce("p", F.lit(0)).cast("int"), F.coalesce("m", F.lit(0)).cast("int")
+    """doc_id, n, form, prefix_chars, middle_chars (null if plain), output: a row a document. Plain texts are not moved."""
+    formed = _with_form(docs, seed, rate, spm_rate)
+    none, plain = F.lit(None).cast("long"), F.col("form") == "plain"
+    left = formed.where(plain).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(UNITS), 0)).cast("long").alias("n"), "form", none.alias("prefix_chars"), none.alias("middle_chars"), F.col("text").alias("output"))
+    apart = formed.where(~plain)
+    requests = cut(cut_requests(apart, seed), "units")
+    full = apart.join(offsets(requests).hint("shuffle_hash"), _KEY)
     # Cuts past 2^31 code points cannot be: a string is shorter.
+    p, m = F.col("p").cast("int"), F.col("m").cast("int")
     prefix, middle, suffix = F.substring("text", F.lit(1), p), F.substring("text", p + 1, m - p), F.substring("text", m + 1, F.length("text"))
     mark = {k: F.lit(v) for k, v in TAGS.items()}
     psm = F.concat(mark["prefix"], prefix, mark["suffix"], suffix, mark["middle"], middle)
     spm = F.concat(mark["suffix"], suffix, mark["prefix"], prefix, mark["middle"], middle)
-    output = F.when(F.col("form") == "psm", psm).when(F.col("form") == "spm", spm).otherwise(F.col("text"))
-    apart = F.col("form") != "plain"
-    return full.select("doc_id", "n", "form", F.when(apart, p.cast("long")).alias("prefix_chars"), F.when(apart, (m - p).cast("long")).alias("middle_chars"), output.alias("output"))
+    output = F.when(F.col("form") == "psm", psm).otherwise(spm)
+    return left.unionByName(full.select("doc_id", "n", "form", F.col("p").alias("prefix_chars"), (F.col("m") - F.col("p")).alias("middle_chars"), output.alias("output")))
 
 
 def restored(output: Column, form: Column) -> Column:
