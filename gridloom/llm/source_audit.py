@@ -32,7 +32,7 @@ from .shared import LOWER, cut, released, text_slices, word_bounds
 
 SCALE = 1_000_000_000
 #: Counts that a task's dense vectors hold at once: sources times ids of a chunk.
-CELLS = 1 << 20
+CELLS = 1 << 16
 #: Bytes of text that are coded at once.
 _SLICE = 4 << 20
 _MOST = 9 * 10**15
