@@ -68,17 +68,17 @@ def deviation_pct(pop: Column, ideal: Column) -> Column:
     return (pop - ideal) / ideal * 100
 
 
-def hilbert_index(x: Column, y: Column, side: int) -> Column:
-    """Place of (x, y) on the Hilbert curve over a side x side square, side a power of two.
+def hilbert_index(x: Column, y: Column, side: int | Column) -> Column:
+    """Place of (x, y) on the Hilbert curve over a side x side square, side a power of two: a number, or a column of at most 2^30.
 
     The bits are folded from the highest down. A fold over the levels keeps the expression small; written out, each level
     would repeat the one above it twice."""
-    levels = []
-    while side > 1:
-        side //= 2
-        levels.append(F.lit(side).cast("long"))
-    if not levels:
+    halves = [1 << k for k in range(29, -1, -1)] if isinstance(side, Column) else [1 << k for k in range(side.bit_length() - 2, -1, -1)]
+    if not halves:
         return F.lit(0).cast("long")
+    levels = F.array(*[F.lit(s).cast("long") for s in halves])
+    if isinstance(side, Column):
+        levels = F.filter(levels, lambda s: s < side)
 
     def step(acc: Column, s: Column) -> Column:
         ax, ay = acc["x"], acc["y"]
@@ -90,7 +90,7 @@ def hilbert_index(x: Column, y: Column, side: int) -> Column:
         return F.struct(fx.alias("x"), fy.alias("y"), (acc["d"] + s * s * quarter).alias("d"))
 
     start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
-    return F.aggregate(F.array(*levels), start, step, lambda acc: acc["d"])
+    return F.aggregate(levels, start, step, lambda acc: acc["d"])
 
 
 def _albers_constants() -> tuple[float, float, float, float, float]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up, round_to
+from ..storage import cut
 
 
 def apportion(pops: DataFrame, total_seats: int) -> DataFrame:
@@ -67,11 +70,37 @@ def coverage(ratios: DataFrame) -> DataFrame:
     return t.select("state", round_to(F.coalesce("hit", F.lit(0)) / F.col("all"), 4).alias("coverage"))
 
 
-def upper_median(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    """(keys.., low, median): the least value and the one at place floor(n/2) from 0, without interpolation."""
-    rows = df.where(F.col(column).isNotNull()).groupBy(*keys) if keys else df.where(F.col(column).isNotNull())
-    vals = F.array_sort(F.collect_list(column))
-    return rows.agg(F.min(column).alias("low"), F.element_at(vals, (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int")).alias("median"))
+def upper_median(df: DataFrame, column: str, *keys: str, bins: int = 4096, most_rounds: int = 2_000) -> DataFrame:
+    """(keys.., low, median): the least value of a numeric column and the one at place floor(n/2) from 0, without interpolation.
+
+    Values are selected, not gathered: a round counts each key's values in bins between the bounds that it has left, and keeps the bin in
+    which the place falls; the bin's own least and largest values are the next bounds, until they are one. A task holds at most
+    bins counts of a key. Not-a-number comes last; a key without values gives no row, no keys and no values a row of nulls."""
+    own = df.where(F.col(column).isNotNull()).select(*keys, F.lit(0).alias("all_"), F.col(column).alias("x"))
+    own = cut(own, "median-values")
+    by = [*keys, "all_"]
+    same = lambda a, b: reduce(lambda p, q: p & q, [a[k].eqNullSafe(b[k]) for k in by])
+    facts = cut(own.groupBy(*by).agg(F.min("x").alias("low"), F.max("x").alias("hi"), F.floor(F.count(F.lit(1)) / 2).cast("long").alias("place")), "median")
+    state = facts.select(*[F.col(k).alias(k) for k in by], F.col("low").alias("lo"), "hi", "place")
+    for _ in range(most_rounds):
+        open_ = state.where("lo < hi")
+        if open_.isEmpty():
+            break
+        # Halves first, so that a difference cannot overflow; infinite bounds leave the middle as one bin.
+        x, lo, hi = (F.col(c).cast("double") / 2 for c in ("x", "lo", "hi"))
+        share = (x - lo) / (hi - lo)
+        inner = F.when(F.isnan(share) | (share < 0) | (share > 1) | F.isnan(hi), F.lit(1)).otherwise(1 + F.least(F.lit(bins - 1), F.floor(share * bins))).cast("int")
+        binned = own.join(open_, same(own, open_)).select(*[own[k] for k in by], "x", "lo", "hi", "place").where("x >= lo AND x <= hi")
+        binned = binned.withColumn("bin", F.when(F.col("x") == F.col("lo"), 0).when(F.col("x") == F.col("hi"), bins + 1).otherwise(inner))
+        counts = binned.groupBy(*by, "place", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy(*by).orderBy("bin"))
+        hit = counts.withColumn("upto", upto).where("place < upto AND place >= upto - n").select(*by, "lo", "hi", (F.col("place") - F.col("upto") + F.col("n")).alias("place"))
+        state = cut(state.where("NOT (lo < hi)").unionByName(hit), "median", instead_of=state)
+    else:
+        raise RuntimeError("the selection did not end")
+    if not keys:
+        return state.agg(F.min("lo").alias("median"), F.lit(0).alias("all_")).join(facts.agg(F.min("low").alias("low"), F.lit(0).alias("all_")), "all_").select("low", "median")
+    return facts.join(state, same(facts, state)).select(*[facts[k] for k in keys], "low", F.col("lo").alias("median"))
 
 
 def unpivot_vintages(wide: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:

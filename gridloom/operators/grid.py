@@ -63,6 +63,15 @@ def conservation(grid: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(total, "state", "left").select("state", F.coalesce("pop", F.lit(0)).cast("long").alias("pop"), "resident_pop", F.coalesce(F.col("pop") == F.col("resident_pop"), F.lit(False)).alias("ok"))
 
 
+def conserved(grid: DataFrame, expected: DataFrame) -> DataFrame:
+    """grid, raising before a row is given where a state's people do not add up to resident_pop, or none are known. expected: (state,
+    resident_pop), a row a state."""
+    checked = conservation(grid, grid.select("state").distinct().join(F.broadcast(expected), "state", "left"))
+    said = F.concat(F.lit("people of the cells of "), F.col("state").cast("string"), F.lit(": "), F.col("pop").cast("string"), F.lit(", published: "), F.coalesce(F.col("resident_pop").cast("string"), F.lit("none")))
+    passed = checked.select("state", F.when(F.col("ok"), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")).alias("passed"))
+    return grid.join(F.broadcast(passed), "state").where("passed").drop("passed")
+
+
 def require(ok: DataFrame, column: str, message: str) -> DataFrame:
     """ok, but raising where the column is not true."""
     return ok.withColumn(column, F.when(F.col(column), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))

@@ -6,15 +6,43 @@ group always fits a task. Neighbours are looked up in a dict of cells; every cho
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+import time
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Cell = tuple[int, int]
 STEPS = ((-1, 0), (1, 0), (0, -1), (0, 1))
 
 
+class Budget:
+    """Seconds that one group may take; None is no limit. check() raises once they are over, and is cheap enough for inner loops."""
+
+    def __init__(self, seconds: float | None = None):
+        self.end = None if seconds is None else time.monotonic() + seconds
+        self.calls = -1
+
+    def check(self) -> None:
+        self.calls += 1
+        if self.end is not None and self.calls % 256 == 0 and time.monotonic() > self.end:
+            raise TimeoutError("over the budget of a state")
+
+
+def checked_state(pops: Iterable[int], seats: int | None) -> int:
+    """The number of seats, if a state of these people can be cut at all."""
+    if seats is None or pd.isna(seats) or int(seats) < 1:
+        raise ValueError("no seats")
+    if any(p < 0 for p in pops):
+        raise ValueError("negative population of a cell")
+    return int(seats)
+
+
+def failure(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
 def closer(total: int, more: int, target: float) -> bool:
     """Whether a district takes the next cell: always while it is empty of people, else if that brings it no further from its target."""
     return total == 0 or abs(total + more - target) <= abs(total - target)
@@ -36,7 +64,7 @@ def greedy_cut(pops: list[int], seats: int) -> list[int]:
     return out
 
 
-def accrete(pop: dict[Cell, int], seeds: Iterable[Cell], seats: int) -> tuple[dict[Cell, int], list[Cell], list[tuple[int, int, str]]]:
+def accrete(pop: dict[Cell, int], seeds: Iterable[Cell], seats: int, budget: Budget | None = None) -> tuple[dict[Cell, int], list[Cell], list[tuple[int, int, str]]]:
     """(district of each cell, first cell of each district, sealed pockets as (district, population, reason)).
 
     A district grows from the next free seed by the free neighbour that keeps its box smallest, then is nearest to the
@@ -45,6 +73,7 @@ def accrete(pop: dict[Cell, int], seeds: Iterable[Cell], seats: int) -> tuple[di
     district: dict[Cell, int] = {}
     anchors: list[Cell] = []
     sealed: list[tuple[int, int, str]] = []
+    budget = budget or Budget()
     order = iter(seeds)
     left = sum(pop.values())
 
@@ -79,6 +108,7 @@ def accrete(pop: dict[Cell, int], seeds: Iterable[Cell], seats: int) -> tuple[di
         total += pop[seed]
         take(seed, seed)
         while True:
+            budget.check()
             if not heap:
                 again = next_seed()
                 sealed.append((d, total, "sealed-reseeded" if again else "sealed-exhausted"))
@@ -109,43 +139,55 @@ def accrete(pop: dict[Cell, int], seeds: Iterable[Cell], seats: int) -> tuple[di
 # ---------------------------------------------------------------- DataFrames
 
 
-def cut_along_order(ordered: DataFrame, seats: DataFrame) -> DataFrame:
-    """(state, r, c, pop, district) of cells with ord, cut greedily. seats: (state, seats)."""
+def _by_state(ordered: DataFrame, seats: DataFrame, make: Callable[[pd.DataFrame, int], list[pd.DataFrame]], errors: bool, more: dict[str, str]) -> DataFrame:
+    """make over each state's cells in their order. With errors, a state that fails is one row: its name and why."""
+    kinds = dict(ordered.dtypes) | more
+    names = ["state", "r", "c", "pop", "district", *more, *["error"] * errors]
+    schema = ", ".join(f"{k} {'string' if k == 'error' else 'int' if k == 'district' else kinds[k]}" for k in names)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
-        return pdf.assign(district=greedy_cut(pdf["pop"].tolist(), int(pdf["seats"].iloc[0])))[["state", "r", "c", "pop", "district"]]
+        try:
+            parts = make(pdf, checked_state(pdf["pop"].tolist(), pdf["seats"].iloc[0]))
+        except Exception as e:
+            if not errors:
+                raise
+            parts = [pd.DataFrame([(pdf["state"].iloc[0], failure(e))], columns=["state", "error"])]
+        return pd.concat([x.reindex(columns=names).astype(object) for x in parts]).astype(object).where(lambda x: x.notna(), None)
 
     own = ordered.join(seats, "state").select("state", "r", "c", "pop", "ord", "seats")
-    return own.groupBy("state").applyInPandas(run, _assigned(ordered))
+    return own.groupBy("state").applyInPandas(run, schema)
 
 
-def grow(ordered: DataFrame, seats: DataFrame) -> DataFrame:
-    """(state, r, c, pop, district) by accretion from seeds in the order ord."""
+def cut_along_order(ordered: DataFrame, seats: DataFrame, errors: bool = False) -> DataFrame:
+    """(state, r, c, pop, district) of cells with ord, cut greedily. seats: (state, seats). With errors there is a column error, and
+    a state that fails is one row with it."""
+    return _by_state(ordered, seats, lambda pdf, n: [pdf.assign(district=greedy_cut(pdf["pop"].tolist(), n))], errors, {})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
+
+def grow_logged(ordered: DataFrame, seats: DataFrame, errors: bool = False, budget: float | None = None) -> DataFrame:
+    """Accretion from seeds in the order ord, in one pass: a row a cell (state, r, c, pop, district), a row a sealed pocket
+    (state, district, n, pocket_pop, reason; see sealed_of), and, with errors, a row a state that fails (state, error). budget: seconds a state."""
+
+    def make(pdf: pd.DataFrame, n: int) -> list[pd.DataFrame]:
         keys = list(zip(pdf["r"].tolist(), pdf["c"].tolist(), strict=True))
-        district, _, _ = accrete(dict(zip(keys, pdf["pop"].tolist(), strict=True)), keys, int(pdf["seats"].iloc[0]))
-        return pdf.assign(district=[district[k] for k in keys])[["state", "r", "c", "pop", "district"]]
+        district, _, sealed = accrete(dict(zip(keys, pdf["pop"].tolist(), strict=True)), keys, n, Budget(budget))
+        pockets = pd.DataFrame([(pdf["state"].iloc[0], k, *x) for k, x in enumerate(sealed)], columns=["state", "n", "district", "pocket_pop", "reason"])
+        return [pdf.assign(district=[district[k] for k in keys]), *[pockets] * bool(sealed)]
 
-    own = ordered.join(seats, "state").select("state", "r", "c", "pop", "ord", "seats")
-    return own.groupBy("state").applyInPandas(run, _assigned(ordered))
+    return _by_state(ordered, seats, make, errors, {"n": "int", "pocket_pop": "long", "reason": "string"})
 
 
-def sealed_log(ordered: DataFrame, seats: DataFrame) -> DataFrame:
-    """(state, n, district, pop, reason): the pockets that accretion met, in order; no rows for a state without any."""
+def grown_of(logged: DataFrame) -> DataFrame:
+    """The cells of grow_logged."""
+    return logged.where("r is not null").select("state", "r", "c", "pop", "district")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        keys = list(zip(pdf["r"].tolist(), pdf["c"].tolist(), strict=True))
-        _, _, sealed = accrete(dict(zip(keys, pdf["pop"].tolist(), strict=True)), keys, int(pdf["seats"].iloc[0]))
-        return pd.DataFrame([(pdf["state"].iloc[0], n, *x) for n, x in enumerate(sealed)], columns=["state", "n", "district", "pop", "reason"])
 
-    own = ordered.join(seats, "state").select("state", "r", "c", "pop", "ord", "seats")
-    return own.groupBy("state").applyInPandas(run, f"state {dict(ordered.dtypes)['state']}, n int, district int, pop long, reason string")
+def sealed_of(logged: DataFrame) -> DataFrame:
+    """(state, n, district, pop, reason): the pockets of grow_logged, in order; no rows for a state without any."""
+    return logged.where("reason is not null").select("state", "n", "district", F.col("pocket_pop").alias("pop"), "reason")
 
 
-def _assigned(df: DataFrame) -> str:
-    kinds = dict(df.dtypes)
-    return f"state {kinds['state']}, r {kinds['r']}, c {kinds['c']}, pop {kinds['pop']}, district int"
+def grow(ordered: DataFrame, seats: DataFrame) -> DataFrame:
+    """(state, r, c, pop, district) by accretion from seeds in the order ord."""
+    return grown_of(grow_logged(ordered, seats))

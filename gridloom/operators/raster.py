@@ -14,14 +14,36 @@ Point = tuple[int, int]
 
 
 def rle_encode(cells: DataFrame) -> DataFrame:
-    """(state, run, v, len) over each state's box of cells, row by row, 0 where there is no cell. cells: (state, r, c, v)."""
-    box = cells.groupBy("state").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    full = box.select("state", "c0", "c1", "r0", F.explode(F.sequence("r0", "r1")).alias("r")).select("state", "c0", "c1", "r0", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    v = full.join(cells.select("state", "r", "c", "v"), ["state", "r", "c"], "left").select("state", ((F.col("r") - F.col("r0")) * (F.col("c1") - F.col("c0") + 1) + F.col("c") - F.col("c0")).alias("i"), F.coalesce("v", F.lit(0)).alias("v"))
-    w = Window.partitionBy("state").orderBy("i")
-    before = F.lag("v").over(w)
-    runs = v.withColumn("new", F.when(before.isNull() | (before != F.col("v")), 1).otherwise(0)).withColumn("run", F.sum("new").over(w))
-    return runs.groupBy("state", "run").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("len"))
+    """(state, run, v, len) over each state's box of cells, row by row, 0 where there is no cell. cells: (state, r, c, v).
+
+    Cells make runs inside their rows, gaps between runs are filled with runs of 0, and runs that go on over row ends are merged. No cell of
+    the box is made that is not there; rows of a state are worked on apart, and what is scanned along a whole state is one summary a row."""
+    box = cells.groupBy("state").agg(F.min("r").alias("r0"), F.min("c").alias("c0"), (F.max("c") - F.min("c") + 1).cast("long").alias("w"))
+    line = Window.partitionBy("state", "r").orderBy("c")
+    fresh = F.when((F.col("c") - F.lag("c").over(line) == 1) & (F.col("v") == F.lag("v").over(line)), 0).otherwise(1)
+    marked = cells.where("v <> 0").select("state", "r", "c", "v", fresh.alias("fresh")).withColumn("k", F.sum("fresh").over(line))
+    runs = marked.groupBy("state", "r", "k").agg(F.first("v").alias("v"), F.min("c").alias("c"), F.count(F.lit(1)).alias("len"))
+    runs = runs.join(F.broadcast(box), "state").withColumn("at", (F.col("r") - F.col("r0")) * F.col("w") + F.col("c") - F.col("c0"))
+    # A summary a row: its first and last run. What is before a row's first run is the last run of the nearest row above with one.
+    summary = runs.groupBy("state", "r").agg(F.max(F.struct("at", "len", "v")).alias("last"))
+    above = summary.select("state", "r", F.lag("last").over(Window.partitionBy("state").orderBy("r")).alias("above"))
+    by_row = Window.partitionBy("state", "r").orderBy("at")
+    held = runs.join(above, ["state", "r"]).withColumn("before", F.coalesce(F.lag(F.struct("at", "len", "v")).over(by_row), F.col("above")))
+    ends = F.coalesce(F.col("before.at") + F.col("before.len"), F.lit(0))
+    held = held.withColumn("gap", F.col("at") - ends).withColumn("joins", (F.col("at") == ends) & F.coalesce(F.col("before.v") == F.col("v"), F.lit(False)))
+    # Pieces: a gap of 0 before a run where there is one, and the run; a run that joins the one before it starts nothing.
+    parts = F.array_compact(F.array(F.when(F.col("gap") > 0, F.struct((F.col("at") - F.col("gap")).alias("at"), F.lit(0).alias("v"), F.col("gap").alias("len"), F.lit(1).alias("starts"))), F.struct("at", "v", "len", F.when(F.col("joins"), 0).otherwise(1).alias("starts"))))
+    pieces = held.select("state", "r", F.explode(parts).alias("p")).select("state", "r", "p.*")
+    tail = cells.groupBy("state").agg(F.max("r").alias("r1")).join(box, "state").join(summary.groupBy("state").agg(F.max(F.struct("r", "last")).alias("m")), "state", "left")
+    size = (F.col("r1") - F.col("r0") + 1) * F.col("w")
+    end = F.coalesce(F.col("m.last.at") + F.col("m.last.len"), F.lit(0))
+    rest = tail.where(size > end).select("state", F.col("r1").alias("r"), end.alias("at"), F.lit(0).alias("v"), (size - end).alias("len"), F.lit(1).alias("starts"))
+    pieces = pieces.unionByName(rest)
+    # Numbers of runs: starts within a row, behind the starts of the rows above.
+    starts = pieces.groupBy("state", "r").agg(F.sum("starts").alias("n"))
+    higher = starts.select("state", "r", F.coalesce(F.sum("n").over(Window.partitionBy("state").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("higher"))
+    numbered = pieces.join(higher, ["state", "r"]).withColumn("run", F.col("higher") + F.sum("starts").over(by_row))
+    return numbered.groupBy("state", "run").agg(F.first("v").alias("v"), F.sum("len").alias("len"))
 
 
 def rle_decode(runs: DataFrame) -> DataFrame:

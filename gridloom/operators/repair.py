@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .kernels import Budget, checked_state, failure
+
 Cell = tuple[int, int]
 #: A detached piece of more than this share of the ideal is divided among its neighbours; chains run while a district
 #: is further off than this; at most so many ways are tried in a round of chains.
@@ -19,7 +21,8 @@ LARGE, NEAR_ENOUGH, WAYS = 0.1, 0.009, 4
 
 
 class Board:
-    def __init__(self, pop: dict[Cell, int], district: dict[Cell, int], seats: int, ideal: float, bridges: Iterable[tuple[Cell, Cell]] = ()):
+    def __init__(self, pop: dict[Cell, int], district: dict[Cell, int], seats: int, ideal: float, bridges: Iterable[tuple[Cell, Cell]] = (), budget: Budget | None = None):
+        self.budget = budget or Budget()
         self.cells = sorted(pop)
         number = {k: i for i, k in enumerate(self.cells)}
         near = [[number[x] for x in ((r - 1, c), (r, c - 1), (r, c + 1), (r + 1, c)) if x in number] for r, c in self.cells]
@@ -80,6 +83,7 @@ class Board:
 
     def give(self, cells: Iterable[int], to: int) -> None:
         for i in cells:
+            self.budget.check()
             self.log.append((i, self.of[i]))
             self._put(i, to)
 
@@ -96,6 +100,7 @@ class Board:
         waiting = {tag: [(0, i, -1) for i in sorted(cells)] for tag, cells in seeds.items()}
         taken: set[int] = set()
         while True:
+            self.budget.check()
             for heap in waiting.values():
                 while heap and heap[0][1] in taken:
                     heapq.heappop(heap)
@@ -328,19 +333,21 @@ class Board:
         return True
 
 
-def repair(pop: dict[Cell, int], district: dict[Cell, int], seats: int, ideal: float, bridges: Iterable[tuple[Cell, Cell]] = ()) -> Board:
-    board = Board(pop, district, seats, ideal, bridges)
+def repair(pop: dict[Cell, int], district: dict[Cell, int], seats: int, ideal: float, bridges: Iterable[tuple[Cell, Cell]] = (), budget: Budget | None = None) -> Board:
+    board = Board(pop, district, seats, ideal, bridges, budget)
     board.settle()
     board.balance()
     board.chains()
     return board
 
 
-def repair_all(assigned: DataFrame, seats: DataFrame, bridges: DataFrame | None = None, errors: bool = False) -> DataFrame:
-    """(state, r, c, pop, district, repair_moves) after repair, state by state. bridges: (state, ar, ac, br, bc).
-    repair_moves: detached cells that found a district, and cells moved for balance. With errors there is a column error: a state
-    whose repair fails is one row with it, and the others go on; without, a failure ends the job."""
-    names = ["state", "r", "c", "pop", "district", "repair_moves", *["error"] * errors]
+def repair_all(assigned: DataFrame, seats: DataFrame, bridges: DataFrame | None = None, errors: bool = False, budget: float | None = None) -> DataFrame:
+    """(state, r, c, pop, district, orphan_pieces, orphan_cells, rebalance_moves, repair_moves) after repair, state by state. bridges:
+    (state, ar, ac, br, bc). orphan_pieces and orphan_cells: detached parts that found a district; rebalance_moves: cells moved for
+    balance; repair_moves: both cells. With errors there is a column error: a state whose repair fails is one row with it, and the others go
+    on; without, a failure ends the job. budget: seconds a state."""
+    counts = ["orphan_pieces", "orphan_cells", "rebalance_moves", "repair_moves"]
+    names = ["state", "r", "c", "pop", "district", *counts, *["error"] * errors]
 
     def run(key: tuple, pdf: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
@@ -349,20 +356,21 @@ def repair_all(assigned: DataFrame, seats: DataFrame, bridges: DataFrame | None
             pdf = pdf.sort_values(["r", "c"])
             keys = list(zip(pdf["r"].tolist(), pdf["c"].tolist(), strict=True))
             pop = dict(zip(keys, pdf["pop"].tolist(), strict=True))
-            n = int(pdf["seats"].iloc[0])
+            n = checked_state(pop.values(), pdf["seats"].iloc[0])
             if not pdf["district"].between(1, n).all():
                 raise ValueError(f"districts outside 1 to {n}")
             pairs = [((a, b), (c, d)) for a, b, c, d in links[["ar", "ac", "br", "bc"]].itertuples(index=False)]
-            board = repair(pop, dict(zip(keys, pdf["district"].tolist(), strict=True)), n, sum(pop.values()) / n, pairs)
-            return pdf.assign(district=board.of, repair_moves=board.orphan_cells + board.moves, error=None)[names]
+            board = repair(pop, dict(zip(keys, pdf["district"].tolist(), strict=True)), n, sum(pop.values()) / n, pairs, Budget(budget))
+            told = dict(zip(counts, (board.orphan_pieces, board.orphan_cells, board.moves, board.orphan_cells + board.moves), strict=True))
+            return pdf.assign(district=board.of, error=None, **told)[names]
         except Exception as e:
             if not errors:
                 raise
-            return pd.DataFrame([(key[0], None, None, None, None, None, f"{type(e).__name__}: {e}")], columns=names)
+            return pd.DataFrame([(key[0], *[None] * (len(names) - 2), failure(e))], columns=names)
 
     own = assigned.join(seats, "state").select("state", "r", "c", "pop", "district", "seats")
     kinds = dict(own.dtypes)
     if bridges is None:
         bridges = own.sparkSession.createDataFrame([], f"state {kinds['state']}, ar int, ac int, br int, bc int")
-    schema = f"state {kinds['state']}, r {kinds['r']}, c {kinds['c']}, pop {kinds['pop']}, district int, repair_moves int" + ", error string" * errors
+    schema = f"state {kinds['state']}, r {kinds['r']}, c {kinds['c']}, pop {kinds['pop']}, district int, " + ", ".join(f"{c} int" for c in counts) + ", error string" * errors
     return own.groupBy("state").cogroup(bridges.groupBy("state")).applyInPandas(run, schema)

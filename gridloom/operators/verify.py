@@ -1,7 +1,13 @@
-"""Checks of finished assignments. They import no engine module: only schemas and built-in functions."""
+"""Checks of finished assignments. They import no engine module."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +82,50 @@ def fingerprint(assigned: DataFrame) -> DataFrame:
     return rows.select("state", F.sha2(text, 256).alias("sha256"))
 
 
+def fingerprint_stream(assigned: DataFrame, header: str = "row,col,district,pop") -> DataFrame:
+    """fingerprint() in constant memory: a state's lines stream through one hash in order, and only the hash is kept. States are
+    dealt over tasks and sorted there; a hash is sequential, so a state is one stream of one task, however long."""
+    kind = dict(assigned.dtypes)["state"]
+    lines = assigned.select("state", "r", "c", F.concat_ws(",", "r", "c", "district", "pop").alias("line"))
+    sorted_ = lines.repartition("state").sortWithinPartitions("state", "r", "c", "line").select("state", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, digest = None, None
+        for b in batches:
+            names = b.column("state")
+            # The first row of each run of a state in the batch.
+            turns = [0, *(np.flatnonzero(pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), b.num_rows] if b.num_rows else [0, 0]
+            for lo, hi in zip(turns, turns[1:], strict=False):
+                if hi == lo:
+                    continue
+                own = names[lo].as_py()
+                if digest is None or own != state:
+                    if digest is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([state], names.type), pa.array([digest.hexdigest()])], names=["state", "sha256"])
+                    state, digest = own, hashlib.sha256(f"{header}\n".encode())
+                digest.update(("\n".join(b.column("line")[lo:hi].to_pylist()) + "\n").encode())
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([state], names.type), pa.array([digest.hexdigest()])], names=["state", "sha256"])
+
+    return sorted_.mapInArrow(run, f"state {kind}, sha256 string")
+
+
+def against_frozen(hashes: DataFrame, frozen: DataFrame) -> DataFrame:
+    """(key, input_sha256, sha256, verdict): each run's hash against the frozen one of the same key and input: same, differs, or new where
+    none is frozen. hashes and frozen: (key, input_sha256, sha256)."""
+    known = frozen.select("key", "input_sha256", F.col("sha256").alias("was"))
+    both = hashes.join(known, ["key", "input_sha256"], "left")
+    verdict = F.when(F.col("was").isNull(), "new").when(F.col("was") == F.col("sha256"), "same").otherwise("differs")
+    return both.select("key", "input_sha256", "sha256", verdict.alias("verdict"))
+
+
+def changed_arms(hashes: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The rows (state, arm, sha256) of hashes whose latest entry in the ledger (state, arm, sha256, at) is another hash, or that have none: what has
+    to be verified again."""
+    last = ledger.groupBy("state", "arm").agg(F.max_by("sha256", "at").alias("sha256"))
+    return hashes.join(last, ["state", "arm", "sha256"], "left_anti")
+
+
 def first_offenders(offenders: DataFrame, n: int = 5) -> DataFrame:
     """(state, total, sample): how many rows there are and the first n cells, for messages."""
     w = Window.partitionBy("state").orderBy("r", "c")

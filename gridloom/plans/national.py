@@ -287,5 +287,5 @@ def _(v: Census) -> DataFrame:
     both = base.where(F.col("county").cast("int") % 13 != 0).withColumn("decade", F.explode(F.array(F.lit("1990"), F.lit("2000"))))
     past = both.select("state", "decade", "county", (F.col("pop") + F.floor(F.col("pop") * (F.floor(F.col("decade").cast("int") / 10) % 5) / 10)).cast("long").alias("pop"))
     jobs = v.seats().select(F.col("state").cast("string").alias("state"), "seats", F.explode(F.array(F.lit("1990"), F.lit("2000"))).alias("decade")).withColumn("kind", F.lit("map")).withColumn("key", F.concat_ws(":", "state", "decade"))
-    maps, _ = engine.vintage_runs(cells, past, jobs, 11)
+    maps = engine.vintage_runs(cells, past, jobs, 11).maps
     return maps.groupBy("state", "decade").agg(F.count(F.lit(1)).alias("cells"), F.sum("pop").cast("long").alias("pop"), F.count_distinct("district").cast("int").alias("districts"))

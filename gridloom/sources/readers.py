@@ -1,16 +1,12 @@
-"""Readers of the contract files, and a DBF data source."""
+"""Readers of the contract files."""
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schemas import ASSIGN_CSV, SCORES_CSV
+from .binary import enable
 
 
 def read_assignment(spark: SparkSession, path: str) -> DataFrame:
@@ -61,111 +57,21 @@ def read_display_grid(spark: SparkSession, path: str) -> DataFrame:
     return i.select(F.col("abbr").alias("state"), "seats", "ideal", F.floor(F.col("i") / F.col("w")).cast("int").alias("r"), (F.col("i") % F.col("w")).cast("int").alias("c"), "district")
 
 
-def read_boundary(spark: SparkSession, path: str, statefp: str) -> DataFrame:
-    """(state, ring_id, seq, x, y): the corners of the first polygon of a .shp file whose .dbf row beside it has this STATEFP.
-    Files of outlines hold a record a state, so the one record is found by its offset and the file is not scanned."""
-    with open(path[:-4] + ".dbf", "rb") as f:
-        head = f.read(32)
-        records, size, fields = parse_header(head, f)
-        at, width = next((at, w) for name, at, w in fields if name == "STATEFP")
-        first = struct.unpack("<H", head[8:10])[0]
-        for k in range(records):
-            f.seek(first + k * size + at)
-            if f.read(width).decode("latin-1").strip() == statefp:
-                break
-        else:
-            raise ValueError(f"no polygon of state {statefp} in {path}")
-    rows = [(statefp, i, j, x, y) for i, ring in enumerate(shape_rings(path, k)) for j, (x, y) in enumerate(ring)]
-    return spark.createDataFrame(rows, "state string, ring_id int, seq int, x double, y double")
-
-
-def shape_rings(path: str, record: int) -> list[list[tuple[float, float]]]:
-    """The rings of one polygon record (from 0) of a shapefile."""
-    with open(path, "rb") as f:
-        f.seek(100)
-        for _ in range(record):
-            words = struct.unpack(">II", f.read(8))[1]
-            f.seek(2 * words, 1)
-        words = struct.unpack(">II", f.read(8))[1]
-        body = f.read(2 * words)
-    if struct.unpack("<I", body[:4])[0] != 5:
-        raise ValueError("not a polygon")
-    parts, points = struct.unpack("<II", body[36:44])
-    starts = [*struct.unpack(f"<{parts}I", body[44 : 44 + 4 * parts]), points]
-    flat = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
-    return [[(flat[2 * i], flat[2 * i + 1]) for i in range(a, b)] for a, b in zip(starts, starts[1:], strict=False)]
-
-
-class DbfSource(DataSource):
-    """spark.read.format("dbf").load(path): every field as text. Option columns (comma-separated) prunes the scan; option
-    partitions cuts the records into that many ranges, read apart. The path must be readable on the executors."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "dbf"
-
-    def _fields(self) -> list[tuple[str, int, int]]:
-        with open(self.options["path"], "rb") as f:
-            return parse_header(f.read(32), f)[2]
-
-    def _wanted(self) -> list[tuple[str, int, int]]:
-        fields = self._fields()
-        names = [x.strip() for x in self.options.get("columns", "").split(",") if x.strip()]
-        known = {x[0]: x for x in fields}
-        if missing := [x for x in names if x not in known]:
-            raise ValueError(f"no such DBF fields: {missing}")
-        return [known[x] for x in names] if names else fields
-
-    def schema(self) -> StructType:
-        return StructType([StructField(x[0], StringType()) for x in self._wanted()])
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return DbfReader(self.options["path"], self._wanted(), int(self.options.get("partitions", "4")))
-
-
-class Range(InputPartition):
-    def __init__(self, start: int, end: int):
-        super().__init__((start, end))
-        self.start, self.end = start, end
-
-
-class DbfReader(DataSourceReader):
-    def __init__(self, path: str, fields: list[tuple[str, int, int]], parts: int):
-        self.path, self.fields, self.parts = path, fields, max(1, parts)
-
-    def partitions(self) -> list[Range]:
-        with open(self.path, "rb") as f:
-            n = struct.unpack("<I", f.read(32)[4:8])[0]
-        step = max(1, -(-n // self.parts))
-        return [Range(k, min(n, k + step)) for k in range(0, n, step)] or [Range(0, 0)]
-
-    def read(self, partition: Range) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
-            head = f.read(32)
-            first, size = struct.unpack("<HH", head[8:12])
-            f.seek(first + partition.start * size)
-            for _ in range(partition.start, partition.end):
-                row = f.read(size)
-                if len(row) < size:
-                    return
-                if row[:1] != b"*":  # deleted
-                    yield tuple(row[at : at + width].decode("latin-1").strip() for _, at, width in self.fields)
-
-
-def parse_header(head: bytes, f) -> tuple[int, int, list[tuple[str, int, int]]]:
-    """(records, record size, fields as (name, offset, width)) of a DBF file positioned behind its first 32 bytes."""
-    records, first, size = struct.unpack("<IHH", head[4:12])
-    fields, at = [], 1
-    for _ in range((first - 33) // 32):
-        x = f.read(32)
-        fields.append((x[:11].split(b"\0")[0].decode("ascii"), at, x[16]))
-        at += x[16]
-    return records, size, fields
+def read_boundary(spark: SparkSession, path: str, *statefp: str) -> DataFrame:
+    """(state, ring_id, seq, x, y): the corners of the polygons of a .shp file with these STATEFP, of each its first record. Records of other states
+    are left out by the scan."""
+    own = enable(spark).read.format("shp").load(path).where(F.col("STATEFP").isin(*statefp))
+    own = own.select(F.col("STATEFP").alias("state"), F.monotonically_increasing_id().alias("k"), "rings")
+    first = own.groupBy("state").agg(F.min_by("rings", "k").alias("rings"))
+    found = {r[0] for r in first.select("state").collect()}
+    if missing := sorted(set(statefp) - found):
+        raise ValueError(f"no polygon of state {', '.join(missing)} in {path}")
+    rings = first.select("state", F.posexplode("rings").alias("ring_id", "ring"))
+    return rings.select("state", "ring_id", F.posexplode("ring").alias("seq", "p")).select("state", "ring_id", "seq", "p.x", "p.y")
 
 
 def read_blocks(spark: SparkSession, path: str, state: str) -> DataFrame:
     """Block rows (state, geoid, pop, lon, lat) of a DBF of census blocks: only four fields are read."""
-    spark.dataSource.register(DbfSource)
-    raw = spark.read.format("dbf").option("columns", "GEOID20,POP20,INTPTLON20,INTPTLAT20").load(path)
+    raw = enable(spark).read.format("dbf").option("columns", "GEOID20,POP20,INTPTLON20,INTPTLAT20").load(path)
     number = lambda c: F.trim(c).cast("double")
     return raw.select(F.lit(state).alias("state"), F.col("GEOID20").alias("geoid"), F.trim("POP20").cast("int").alias("pop"), number("INTPTLON20").alias("lon"), number("INTPTLAT20").alias("lat"))

@@ -12,6 +12,8 @@ import zlib
 from collections.abc import Iterable
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,16 +51,17 @@ def feature_collection(districts: Iterable[dict]) -> str:
     return json.dumps({"type": "FeatureCollection", "features": features}, separators=(",", ":"))
 
 
+def _chunk(kind: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
 def png(width: int, height: int, rgb: bytes) -> bytes:
     """A PNG of 8-bit colours."""
     if len(rgb) != width * height * 3:
         raise ValueError("rgb does not fit the size")
 
-    def chunk(kind: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-
     lines = b"".join(b"\0" + rgb[k * width * 3 : (k + 1) * width * 3] for k in range(height))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines, 9)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines, 9)) + _chunk(b"IEND", b"")
 
 
 def colour(district: int) -> tuple[int, int, int]:
@@ -82,11 +85,63 @@ def write_sealed(sealed: DataFrame, state, path: str) -> None:
     Path(path).write_text(json.dumps(rows, indent=1) + "\n")
 
 
-def write_geojson(stats: DataFrame, shapes: DataFrame, state, path: str) -> None:
+def geojson(stats: DataFrame, shapes: DataFrame, state) -> str:
     """One state's districts as GeoJSON, their shapes from raster.shapes."""
     both = stats.join(shapes, ["state", "district"]).where(F.col("state") == state).orderBy("district")
     districts = [{"district": r["district"], "pop": r["pop"], "deviationPct": r["deviation_pct"], "cells": r["cells"], "ppn": r["ppn"], "irregular": r["irregular"], "shapes": r["shapes"]} for r in both.toLocalIterator()]
-    Path(path).write_text(feature_collection(districts) + "\n")
+    return feature_collection(districts)
+
+
+def write_geojson(stats: DataFrame, shapes: DataFrame, state, path: str) -> None:
+    Path(path).write_text(geojson(stats, shapes, state) + "\n")
+
+
+#: Rows of cells that a task codes as one strip of a PNG.
+STRIP_ROWS = 64
+#: Adler-32 is of sums modulo this.
+_ADLER = 65521
+
+
+def png_strips(cells: DataFrame, pixel: int = 1) -> DataFrame:
+    """(strip, body, adler, size, width, height): coded strips of the picture of cells (r, c, v), each cell pixel x pixel in the colour of v, white
+    elsewhere. A strip ends with a full flush, so that strips put behind each other are one stream; adler is of its own bytes."""
+    box = cells.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    strips = F.explode(F.sequence(F.lit(0), F.floor((F.col("r1") - F.col("r0")) / STRIP_ROWS).cast("int"))).alias("strip")
+    frame = box.where("r0 IS NOT NULL").select(strips, (F.col("r1") - F.col("r0") + 1).alias("rows"), (F.col("c1") - F.col("c0") + 1).alias("cols"))
+    placed = cells.crossJoin(F.broadcast(box)).select((F.col("r") - F.col("r0")).alias("r"), (F.col("c") - F.col("c0")).alias("c"), "v")  # one row
+
+    def code(key: tuple, own: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
+        strip, rows, cols = int(key[0]), int(whole["rows"].iloc[0]), int(whole["cols"].iloc[0])
+        n = min(STRIP_ROWS, rows - strip * STRIP_ROWS)
+        rgb = np.full((n, cols, 3), 255, np.uint8)
+        if len(own):
+            colours = {v: colour(int(v)) for v in own["v"].unique()}
+            rgb[own["r"].to_numpy() - strip * STRIP_ROWS, own["c"].to_numpy()] = np.array([colours[v] for v in own["v"]], np.uint8)
+        lines = np.repeat(np.repeat(rgb, pixel, 0), pixel, 1).reshape(n * pixel, -1)
+        raw = np.concatenate([np.zeros((len(lines), 1), np.uint8), lines], 1).tobytes()
+        last = (strip + 1) * STRIP_ROWS >= rows
+        pack = zlib.compressobj(9, zlib.DEFLATED, -15)
+        body = pack.compress(raw) + pack.flush(zlib.Z_FINISH if last else zlib.Z_FULL_FLUSH)
+        return pd.DataFrame([(strip, body, zlib.adler32(raw), len(raw), cols * pixel, rows * pixel)], columns=["strip", "body", "adler", "size", "width", "height"])
+
+    own = placed.withColumn("strip", F.floor(F.col("r") / STRIP_ROWS).cast("int"))
+    return own.groupBy("strip").cogroup(frame.groupBy("strip")).applyInPandas(code, "strip int, body binary, adler long, size long, width int, height int")
+
+
+def joined_adler(first: int, second: int, size: int) -> int:
+    """Adler-32 of two texts behind each other from theirs and the second's size."""
+    a1, b1, a2, b2 = first & 0xFFFF, first >> 16, second & 0xFFFF, second >> 16
+    return (b1 + b2 + size * (a1 - 1)) % _ADLER << 16 | (a1 + a2 - 1) % _ADLER
+
+
+def png_of(cells: DataFrame, pixel: int = 1) -> bytes:
+    """A PNG of one map; only its coded strips come here."""
+    adler, body, size = 1, [], (0, 0)
+    for s in png_strips(cells, pixel).orderBy("strip").toLocalIterator():
+        adler, size = joined_adler(adler, s["adler"], s["size"]), (s["width"], s["height"])
+        body.append(bytes(s["body"]))
+    stream = b"\x78\xda" + b"".join(body) + struct.pack(">I", adler)
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", *size, 8, 2, 0, 0, 0)) + _chunk(b"IDAT", stream) + _chunk(b"IEND", b"")
 
 
 def svg(cells: Iterable[tuple[int, int, int]], stats: Iterable[dict], size: int = 6) -> str:
