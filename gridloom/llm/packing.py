@@ -3,9 +3,9 @@
 A configuration is a multiset of piece lengths that fit one sequence. The configuration linear program
 asks for the fewest sequences whose configurations cover the length histogram. It is solved approximately
 by multiplicative weights: every length class has a price that falls as it is covered, a knapsack dynamic
-program finds the configuration of the highest price, and that configuration is used a little. The whole
-averaged solution is rounded to whole sequences of real lengths; the few pieces that it leaves go best-fit-decreasing
-into the room that is left and into new sequences. All this works on runs (length, count), whose number is bounded by
+program, bounded by what is left of each class, finds the configuration of the highest price, and that configuration is used a little. The
+solution is rounded to whole sequences of real lengths, the program is solved again for what rounding left, and the last tenth of the
+pieces at most goes best-fit-decreasing into the room that is left and into new sequences. All this works on runs (length, count), whose number is bounded by
 the capacity and not by the corpus. Each piece then gets its place from its rank within its length.
 """
 
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from .shared import cut, rank_within, released, text_slices
 from .wordpiece import word_pieces
 
-#: Classes of lengths by their share of the tokens (more by width), rounds of multiplicative weights, and how fast a price falls.
-CLASSES, ROUNDS, EAGER = 32, 300, 10.0
+#: Classes of lengths by their share of the tokens, the ratio of sizes within one, rounds of multiplicative weights, and how fast a price falls.
+CLASSES, WIDTH, ROUNDS, EAGER = 128, 1.05, 600, 3.0
+#: How often the program is solved for what rounding left, and the share of the pieces at which that ends.
+PASSES, LEFT_OVER = 3, 0.1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -52,33 +54,39 @@ def _pieces(path: str, capacity: int, end_id: int) -> Callable:
 
 
 def _classes(sizes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
-    """The class of each length: neighbouring lengths, of at most 1/most of all tokens and sizes within a fifth of each other."""
+    """The class of each length: neighbouring lengths, of at most 1/most of all tokens and sizes within WIDTH of each other."""
     share = np.cumsum(sizes * counts) / (sizes * counts).sum()
     bucket = np.minimum((share * most * 0.999999).astype(int), most - 1)
-    scale = np.floor(np.log(sizes) / np.log(1.2)).astype(int)
+    scale = np.floor(np.log(sizes) / np.log(WIDTH)).astype(int)
     return np.concatenate([[0], np.cumsum((np.diff(bucket) != 0) | (np.diff(scale) != 0))])
 
 
-def best_configuration(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each size fit the capacity at the highest total price (an unbounded knapsack).
+def best_configuration(prices: np.ndarray, sizes: np.ndarray, capacity: int, most: np.ndarray | None = None) -> np.ndarray:
+    """How many of each size fit the capacity at the highest total price, at most most of each: a bounded knapsack.
 
-    A size is added to the table of best values at once: with rows of `size` values under each other, the best with any
-    number of it is a running maximum down the columns, net of the price of each row."""
+    The bound of a size is split into 1, 2, 4, ... pieces and a rest, each taken or not, so that a size costs as many steps over the table of
+    best values as its bound has bits."""
+    items: list[tuple[int, int]] = []
+    for k, size in enumerate(sizes.tolist()):
+        left, chunk = capacity // size if most is None else min(capacity // size, int(most[k])), 1
+        while left > 0:
+            items.append((k, min(chunk, left)))
+            left -= chunk
+            chunk *= 2
     best = np.zeros(capacity + 1)
-    for size, price in zip(sizes.tolist(), prices.tolist(), strict=True):
-        rows = -(-(capacity + 1) // size)
-        table = np.full(rows * size, -np.inf)
-        table[: capacity + 1] = best
-        worth = (np.arange(rows) * price)[:, None]
-        best = (np.maximum.accumulate(table.reshape(rows, size) - worth, 0) + worth).ravel()[: capacity + 1]
-    best = np.maximum.accumulate(best)
-    out, c = np.zeros(len(sizes), np.int64), capacity
-    while c >= sizes[0]:
-        k = int(np.searchsorted(sizes, c, side="right"))
-        value = best[c - sizes[:k]] + prices[:k]
-        j = int(value.argmax())
-        out[j] += 1
-        c -= int(sizes[j])
+    taken = np.zeros((len(items), capacity + 1), bool)
+    for j, (k, times) in enumerate(items):
+        size = int(sizes[k]) * times
+        value = best[: capacity + 1 - size] + prices[k] * times
+        better = value > best[size:]
+        taken[j, size:] = better
+        best[size:] = np.where(better, value, best[size:])
+    out, c = np.zeros(len(sizes), np.int64), int(best.argmax())
+    for j in range(len(items) - 1, -1, -1):
+        if taken[j, c]:
+            k, times = items[j]
+            out[k] += times
+            c -= int(sizes[k]) * times
     return out
 
 
@@ -87,19 +95,22 @@ def solve_configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, r
 
     sizes ascend. A class's price is its size, times a weight that falls exponentially as the class is covered. Each
     round buys the configuration of the highest price, as often as covers a share len(sizes) / rounds of the demand of its
-    scarcest class. The result is scaled so that no class is covered beyond its demand."""
-    covered = np.zeros(len(sizes))
+    scarcest class, once at least. A configuration holds no more of a class than its demand that is not covered yet, so no class is covered
+    beyond its demand; a class of less than a piece left is done."""
+    left = counts.astype(float)
     bought: dict[bytes, list] = {}
     step = min(0.5, len(sizes) / max(1, rounds))
-    for _ in range(4 * rounds):
-        n = best_configuration(np.exp(-EAGER * (covered - covered.min())) * sizes, sizes, capacity)
+    while (left >= 1).any():
+        covered = 1 - left / counts
+        open_ = left >= 1
+        weights = np.exp(-EAGER * (covered - covered[open_].min())) * sizes
+        n = best_configuration(weights, sizes, capacity, np.floor(left))
         used = n > 0
-        amount = step * float((counts[used] / n[used]).min())
-        covered[used] += amount * n[used] / counts[used]
+        amount = max(1.0, step * float((counts[used] / n[used]).min()))
+        amount = min(amount, float((left[used] / n[used]).min()))
+        left[used] -= amount * n[used]
         bought.setdefault(n.tobytes(), [n, 0.0])[1] += amount
-        if covered.min() >= 1:
-            break
-    return [(n, amount / covered.max()) for n, amount in bought.values()]
+    return [(n, amount) for n, amount in bought.values()]
 
 
 def plan_packing(histogram: dict[int, int], capacity: int, most_classes: int = CLASSES, rounds: int = ROUNDS) -> list[tuple[list[tuple[int, int]], int]]:
@@ -114,8 +125,12 @@ def plan_packing(histogram: dict[int, int], capacity: int, most_classes: int = C
         plan.append((((capacity, 1),), int(left[full][0])))
         left[full] = 0
     rooms = Rooms(capacity)
-    rest = np.flatnonzero(left > 0)
-    if len(rest) and rounds:
+    whole = int(left.sum())
+    # What rounding leaves is a smaller histogram, for which the program is solved anew.
+    for _ in range(PASSES if rounds else 0):
+        rest = np.flatnonzero(left > 0)
+        if left.sum() <= LEFT_OVER * whole:
+            break
         for contents, number in _rounded(lengths, left, rest, capacity, most_classes, rounds):
             rooms.put(capacity - sum(a * b for a, b in contents.items()), contents, number)
     for i in np.flatnonzero(left)[::-1]:
