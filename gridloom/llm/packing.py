@@ -25,8 +25,8 @@ from .wordpiece import word_pieces
 
 #: Classes of lengths by their share of the tokens, the ratio of sizes within one, rounds of multiplicative weights, and how fast a price falls.
 CLASSES, WIDTH, ROUNDS, EAGER = 128, 1.05, 600, 3.0
-#: How often the program is solved for what rounding left, and the share of the pieces at which that ends.
-PASSES, LEFT_OVER = 3, 0.1
+#: How often the program is solved for what rounding left, the share of the pieces at which that ends, and of the room that a sequence may keep.
+PASSES, LEFT_OVER, LOOSE = 3, 0.1, 1 / 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -125,14 +125,22 @@ def plan_packing(histogram: dict[int, int], capacity: int, most_classes: int = C
         plan.append((((capacity, 1),), int(left[full][0])))
         left[full] = 0
     rooms = Rooms(capacity)
-    whole = int(left.sum())
+    whole, loose = int(left.sum()), None
     # What rounding leaves is a smaller histogram, for which the program is solved anew.
     for _ in range(PASSES if rounds else 0):
         rest = np.flatnonzero(left > 0)
         if left.sum() <= LEFT_OVER * whole:
             break
-        for contents, number in _rounded(lengths, left, rest, capacity, most_classes, rounds):
-            rooms.put(capacity - sum(a * b for a, b in contents.items()), contents, number)
+        made = [(capacity - sum(a * b for a, b in contents.items()), contents, number) for contents, number in _rounded(lengths, left, rest, capacity, most_classes, rounds)]
+        if loose is None:
+            # Sequences with more room than usual, and more than a share LOOSE, are given up for the next pass or for best fit.
+            loose = max(LOOSE * capacity, sum(r * n for r, _, n in made) / max(1, sum(n for _, _, n in made)))
+        for room, contents, number in made:
+            if room <= loose:
+                rooms.put(room, contents, number)
+                continue
+            for length, times in contents.items():
+                left[int(np.searchsorted(lengths, length))] += times * number
     for i in np.flatnonzero(left)[::-1]:
         rooms.place(int(lengths[i]), int(left[i]))
     merged: dict[tuple, int] = {}

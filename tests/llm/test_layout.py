@@ -196,16 +196,10 @@ def test_the_program_places_the_pieces_of_documents(spark, monkeypatch):
     """On the documents' own lengths, many of which one or two pieces have, the sequences are the program's, and are as few as can be."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text AS text_")
     histogram = {r[0]: r[1] for r in docs.mapInArrow(packing._pieces(VOCABULARY, 4096, 1), packing.PIECES).groupBy("length").count().collect()}
-    placed, rounded = [], packing._rounded
-
-    def spy(*args):
-        for contents, n in rounded(*args):
-            placed.append(n * sum(contents.values()))
-            yield contents, n
-
-    monkeypatch.setattr(packing, "_rounded", spy)
+    by_best_fit, place = [], packing.Rooms.place
+    monkeypatch.setattr(packing.Rooms, "place", lambda self, length, n: by_best_fit.append(n) or place(self, length, n))
     plan = packing.plan_packing(histogram, 4096)
-    assert sum(placed) >= 0.9 * (sum(histogram.values()) - histogram.get(4096, 0))
+    assert sum(by_best_fit) <= 0.1 * (sum(histogram.values()) - histogram.get(4096, 0))
     assert sum(n for _, n in plan) == -(-sum(k * n for k, n in histogram.items()) // 4096) == 221
 
 
