@@ -26,7 +26,7 @@ from .wordpiece import word_pieces
 #: Classes of lengths by their share of the tokens, the ratio of sizes within one, rounds of multiplicative weights, and how fast a price falls.
 CLASSES, WIDTH, ROUNDS, EAGER = 128, 1.05, 600, 3.0
 #: How often the program is solved for what rounding left, the share of the pieces at which that ends, and of the room that a sequence may keep.
-PASSES, LEFT_OVER, LOOSE = 3, 0.1, 1 / 256
+PASSES, LEFT_OVER, LOOSE = 3, 0.1, 1 / 128
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
