@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
-from .grid import boundary, neighbour_edges
+from .grid import boundary
 
 
 def bridge_edges(bridges: DataFrame) -> DataFrame:
@@ -73,15 +73,16 @@ def components(grid: DataFrame, *keys: str, bridges: DataFrame | None = None, mo
     run = grid.select(*on, "r", "c", "pop").withColumn("new", new).withColumn("run", F.sum("new").over(row))
     run = run.withColumn("run_c", F.min("c").over(Window.partitionBy(*on, "r", "run"))).drop("new", "run")
     run = cut(run, "runs")
-    edges = neighbour_edges(grid.select(*on, "r", "c"), *keys).where("nr <> r")
+    # The run of the cell above: one window, no join of cells with cells.
+    here = F.struct("r", F.col("run_c").alias("c"))
+    above = F.lag(here).over(Window.partitionBy(*on, "c").orderBy("r"))
+    pairs = run.select(*on, above.alias("x"), here.alias("y")).where("x.r = y.r - 1")
     if bridges is not None:
-        both = bridge_edges(bridges)
-        own = grid.select(*on, "r", "c")
-        far = grid.select(*on, F.col("r").alias("nr"), F.col("c").alias("nc"))
-        edges = edges.unionByName(own.join(both, ["state", "r", "c"]).join(far, [*on, "nr", "nc"], "left_semi"))
-    a = run.select(*on, "r", "c", F.struct("r", F.col("run_c").alias("c")).alias("x"))
-    b = run.select(*on, F.col("r").alias("nr"), F.col("c").alias("nc"), F.struct("r", F.col("run_c").alias("c")).alias("y"))
-    pairs = edges.join(a, [*on, "r", "c"]).join(b, [*on, "nr", "nc"]).where("x < y").select(*on, F.col("x.r").alias("xr"), F.col("x.c").alias("xc"), F.col("y.r").alias("yr"), F.col("y.c").alias("yc"))
+        ends = run.select(*on, "r", "c", here.alias("x"))
+        far = run.select(*on, F.col("r").alias("nr"), F.col("c").alias("nc"), here.alias("y"))
+        over = ends.join(bridge_edges(bridges), ["state", "r", "c"]).join(far, [*on, "nr", "nc"])
+        pairs = pairs.unionByName(over.where("x < y").select(*on, "x", "y"))
+    pairs = pairs.select(*on, F.col("x.r").alias("xr"), F.col("x.c").alias("xc"), F.col("y.r").alias("yr"), F.col("y.c").alias("yc"))
     short = pairs.mapInPandas(_contracted(on), pairs.schema).distinct()
     there = short.select(*on, F.struct(F.col("xr").alias("r"), F.col("xc").alias("c")).alias("x"), F.struct(F.col("yr").alias("r"), F.col("yc").alias("c")).alias("y"))
     links = cut(there.union(there.select(*on, F.col("y").alias("x"), F.col("x").alias("y"))), "run-links")

@@ -1,4 +1,5 @@
-"""Sequential algorithms, one state (and arm) at a time: a step depends on all steps before it.
+"""Sequential algorithms: a step depends on all steps before it. Cuts along an order are searched by built-in functions; accretion
+runs one state (and arm) at a time.
 
 States, arms and vintages are independent groups. A state's grid is bounded (a cell a square mile), so a
 group always fits a task. Neighbours are looked up in a dict of cells; every choice has a total order."""
@@ -10,7 +11,7 @@ import time
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Cell = tuple[int, int]
@@ -48,22 +49,6 @@ def closer(total: int, more: int, target: float) -> bool:
     return total == 0 or abs(total + more - target) <= abs(total - target)
 
 
-def greedy_cut(pops: list[int], seats: int) -> list[int]:
-    """The district of each cell of an order. Each district aims at an equal share of what is left; the last takes the rest."""
-    out, left, at = [], sum(pops), 0
-    for d in range(1, seats + 1):
-        if d == seats:
-            out += [d] * (len(pops) - at)
-            break
-        target, total = left / (seats - d + 1), 0
-        while at < len(pops) and closer(total, pops[at], target):
-            total += pops[at]
-            out.append(d)
-            at += 1
-        left -= total
-    return out
-
-
 def accrete(pop: dict[Cell, int], seeds: Iterable[Cell], seats: int, budget: Budget | None = None) -> tuple[dict[Cell, int], list[Cell], list[tuple[int, int, str]]]:
     """(district of each cell, first cell of each district, sealed pockets as (district, population, reason)).
 
@@ -159,10 +144,53 @@ def _by_state(ordered: DataFrame, seats: DataFrame, make: Callable[[pd.DataFrame
     return own.groupBy("state").applyInPandas(run, schema)
 
 
+#: Cells in a chunk of an order.
+CHUNK = 1024
+
+
 def cut_along_order(ordered: DataFrame, seats: DataFrame, errors: bool = False) -> DataFrame:
-    """(state, r, c, pop, district) of cells with ord, cut greedily. seats: (state, seats). With errors there is a column error, and
-    a state that fails is one row with it."""
-    return _by_state(ordered, seats, lambda pdf, n: [pdf.assign(district=greedy_cut(pdf["pop"].tolist(), n))], errors, {})
+    """(state, r, c, pop, district) of cells with ord, cut greedily: each district aims at an equal share of what is left and takes the next cell
+    as in closer(), the last takes the rest. seats: (state, seats). With errors there is a column error, and a state that fails is one row with it.
+
+    Built-in functions only, all states at once. People are summed in two levels: inside chunks of CHUNK cells of an order, then over the
+    chunks of a state. With S the people before a cell of m people, P those before its district and k districts to fill, the district ends
+    before the first such cell with m > 0, S > P and k * (2 * S + m - 2 * P) > 2 * (all - P). Both sides grow along the order, so
+    a district's end is searched seat by seat, first among the chunks' last cells, then in one chunk. A state's peopled cells are one row: a
+    cell a square mile with a block in it. The cells themselves take their districts from at most a start a seat."""
+    own = ordered.join(F.broadcast(seats.select("state", F.col("seats").cast("int").alias("seats"))), "state").select("state", "r", "c", "pop", F.col("ord").cast("long").alias("ord"), "seats")
+    keyed = own.select("state", "ord", F.col("pop").cast("long").alias("m"), "seats", F.floor(F.col("ord") / CHUNK).alias("chunk"))
+    upto = Window.partitionBy("state", "chunk").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    summed = keyed.withColumn("upto", F.sum("m").over(upto))
+    cell = F.when(F.col("m") > 0, F.struct("ord", (F.col("upto") - F.col("m")).alias("s"), "m"))
+    chunks = summed.groupBy("state", "chunk").agg(F.sum("m").alias("people"), F.min("m").alias("least"), F.max("seats").alias("seats"), F.array_sort(F.collect_list(cell)).alias("cells"))
+    before = Window.partitionBy("state").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    chunks = chunks.withColumn("base", F.sum("people").over(before) - F.col("people"))
+    peopled = F.when(F.size("cells") > 0, F.struct("chunk", "base", "cells"))
+    states = chunks.groupBy("state").agg(F.sum("people").alias("all"), F.min("least").alias("least"), F.max("seats").alias("seats"), F.array_sort(F.collect_list(peopled)).alias("chunks"))
+    wrong = F.when(F.coalesce("seats", F.lit(0)) < 1, "ValueError: no seats").when(F.col("least") < 0, "ValueError: negative population of a cell")
+    states = states.withColumn("error", wrong)
+
+    def next_start(acc: Column, k: Column) -> Column:
+        def over(base: Column, x: Column) -> Column:
+            s = base + x["s"] - acc["p"]
+            return (s > 0) & (k * (2 * s + x["m"]) > 2 * (F.col("all") - acc["p"]))
+
+        chunk = F.slice(F.filter("chunks", lambda g: over(g["base"], F.element_at(g["cells"], -1))), 1, 1)
+        first = F.transform(chunk, lambda g: F.get(F.transform(F.slice(F.filter(g["cells"], lambda x: over(g["base"], x)), 1, 1), lambda x: F.struct((g["base"] + x["s"]).alias("p"), x["ord"].alias("ord"))), F.lit(0)))
+        return F.get(F.transform(F.slice(F.concat(first, F.array(F.struct(F.col("all").alias("p"), F.lit(None).cast("long").alias("ord")))), 1, 1), lambda f: F.struct(f["p"].alias("p"), F.concat(acc["starts"], F.filter(F.array(f["ord"]), lambda x: x.isNotNull())).alias("starts"))), F.lit(0))
+
+    some = F.struct(F.lit(0).cast("long").alias("p"), F.array().cast("array<long>").alias("starts"))
+    left = F.when(F.col("error").isNull() & (F.col("seats") > 1), F.sequence(F.col("seats"), F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    # At most a start a seat.
+    starts = states.select("state", "error", F.aggregate(left, some, next_start)["starts"].alias("starts"))
+    told = own.join(F.broadcast(starts), "state")
+    district = (F.size(F.filter("starts", lambda x: x <= F.col("ord"))) + 1).cast("int")
+    if not errors:
+        checked = F.when(F.col("error").isNull(), district).otherwise(F.raise_error(F.concat_ws(": ", F.col("state").cast("string"), "error")).cast("int"))
+        return told.select("state", "r", "c", "pop", checked.alias("district"))
+    kinds = dict(ordered.dtypes)
+    lost = starts.where("error IS NOT NULL").select("state", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("r", "c", "pop")], F.lit(None).cast("int").alias("district"), "error")
+    return told.where("error IS NULL").select("state", "r", "c", "pop", district.alias("district"), "error").unionByName(lost)
 
 
 def grow_logged(ordered: DataFrame, seats: DataFrame, errors: bool = False, budget: float | None = None) -> DataFrame:

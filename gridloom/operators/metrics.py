@@ -15,13 +15,13 @@ FLAGGED_ONLY = ["NY", "CA", "IL", "NJ"]
 
 def district_stats(assigned: DataFrame, ideal: DataFrame) -> DataFrame:
     """One row a district. assigned: (state, r, c, pop, district); ideal: (state, ideal), a row a state."""
-    inner = neighbour_edges(assigned, "district").groupBy("state", "district").agg(F.count(F.lit(1)).alias("inner"))
-    d = assigned.groupBy("state", "district").agg(
+    # Neighbours of the same district to the east and south, each seen from both sides.
+    beside = lambda line, along: F.count(F.lit(1)).over(Window.partitionBy("state", "district", line).orderBy(along).rangeBetween(1, 1))
+    d = assigned.withColumn("beside", beside("r", "c")).withColumn("beside", F.col("beside") + beside("c", "r")).groupBy("state", "district").agg(
         F.sum("pop").cast("long").alias("pop"), F.count(F.lit(1)).alias("cells"),
-        (F.max("c") - F.min("c") + 1).alias("w"), (F.max("r") - F.min("r") + 1).alias("h"),
+        (F.max("c") - F.min("c") + 1).alias("w"), (F.max("r") - F.min("r") + 1).alias("h"), (4 * F.count(F.lit(1)) - 2 * F.sum("beside")).alias("exposed"),
     )
-    d = d.join(inner, ["state", "district"], "left").join(F.broadcast(ideal), "state")
-    d = d.withColumn("exposed", 4 * F.col("cells") - F.coalesce("inner", F.lit(0)))
+    d = d.join(F.broadcast(ideal), "state")
     d = d.withColumn("deviation_pct", deviation_pct(F.col("pop"), F.col("ideal"))).withColumn("ppn", ppn(F.col("cells"), F.col("exposed")))
     d = d.withColumn("aspect", F.greatest("w", "h") / F.least("w", "h")).withColumn("fill", F.col("cells") / (F.col("w") * F.col("h")))
     return d.select("state", "district", "pop", "cells", "exposed", "deviation_pct", "ppn", "aspect", "fill", irregular(F.col("ppn"), F.col("aspect"), F.col("fill")).alias("irregular"))

@@ -77,6 +77,7 @@ def level(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = keys.where("fam = 0").groupBy(*REGION).agg(F.sum("cells").alias("n"))
     # At most a row a seat of all states.
     plan = cut(size.join(best_cuts(_candidates(keys)), REGION, "left").withColumn("few", F.col("n") <= F.col("s")), "splitline-cuts")
+    odd = plan.agg(F.bool_or("few").alias("few"), F.bool_or(F.expr("NOT few AND t IS NULL")).alias("uncut")).first()
     told = regions.join(F.broadcast(plan), REGION, "left")
     half = F.floor(F.col("s") / 2).cast("int")
     r, c = F.col("r"), F.col("c")
@@ -89,11 +90,15 @@ def level(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(stays, F.col("east")).otherwise(F.col("east") & (low == _low(r, c + 1))).alias("east"),
         F.when(stays, F.col("south")).otherwise(F.col("south") & (low == _low(r + 1, c))).alias("south"),
     )
-    order = Window.partitionBy(*REGION).orderBy("r", "c", "pop")
-    alone = F.lit(False)
-    few = told.where("few").withColumn("k", F.row_number().over(order) - 1).select("state", "r", "c", "pop", (F.col("seat_lo") + F.col("k")).cast("int").alias("seat_lo"), F.lit(1).alias("s"), alone.alias("east"), alone.alias("south"))
-    rest = split_in_order(told.where("not few and t is null"))
-    return moved.unionByName(few).unionByName(rest), plan.where("not few and t is not null").select(*REGION, "err", "cut_len", "fam", "t")
+    made = plan.where("not few and t is not null").select(*REGION, "err", "cut_len", "fam", "t")
+    if odd["few"]:
+        order = Window.partitionBy(*REGION).orderBy("r", "c", "pop")
+        alone = F.lit(False)
+        few = told.where("few").withColumn("k", F.row_number().over(order) - 1).select("state", "r", "c", "pop", (F.col("seat_lo") + F.col("k")).cast("int").alias("seat_lo"), F.lit(1).alias("s"), alone.alias("east"), alone.alias("south"))
+        moved = moved.unionByName(few)
+    if odd["uncut"]:
+        moved = moved.unionByName(split_in_order(told.where("not few and t is null")))
+    return moved, made
 
 
 def split_in_order(regions: DataFrame) -> DataFrame:
