@@ -67,6 +67,18 @@ def paths(messages: DataFrame) -> DataFrame:
     return found
 
 
+def _chosen(on_path: DataFrame, messages: DataFrame, best: int | None, score) -> DataFrame:
+    """on_path's rows of the chosen branches, with branch_rank and branch_score. Only ids and scores are moved: no text is copied for a branch that is
+    not chosen."""
+    scored = messages.select(F.col("tree_id").alias("t_"), F.col("msg_id").alias("m_"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    branches = on_path.join(scored, on_path["tree_id"].eqNullSafe(scored["t_"]) & (on_path["msg_id"] == scored["m_"])).groupBy("tree_id", "leaf_id").agg(score("score").alias("branch_score"))
+    ranked = branches.withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.col("branch_score").desc(), "leaf_id")))
+    if best is not None:
+        ranked = ranked.where(F.col("branch_rank") <= best)
+    ranked = ranked.select(F.col("tree_id").alias("t_"), F.col("leaf_id").alias("l_"), "branch_rank", "branch_score")
+    return on_path.join(ranked, on_path["tree_id"].eqNullSafe(ranked["t_"]) & (on_path["leaf_id"] == ranked["l_"])).drop("t_", "l_")
+
+
 def format_branches(messages: DataFrame, best: int | None = 1, score=F.sum) -> DataFrame:
     """One row per chosen branch: tree_id, leaf_id, branch_rank, branch_score, formatted, loss_spans.
 
@@ -75,21 +87,18 @@ def format_branches(messages: DataFrame, best: int | None = 1, score=F.sum) -> D
     roles are empty. loss_spans are the (start, end) code points of the assistant's texts in formatted. Messages
     in a circle have no leaf and are in no branch. An empty table gives no rows. Other columns are not read.
     """
-    on_path = paths(messages)
-    body = messages.select(F.col("tree_id").alias("t_"), F.col("msg_id").alias("m_"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    on_path = _chosen(paths(messages), messages, best, score)
+    body = messages.select(F.col("tree_id").alias("t_"), F.col("msg_id").alias("m_"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = on_path.join(body, on_path["tree_id"].eqNullSafe(body["t_"]) & (on_path["msg_id"] == body["m_"])).drop("t_", "m_")
     head = F.concat(F.lit("### "), escape_role(F.col("role")), F.lit("\n"))
-    pieces = whole.select("tree_id", "leaf_id", "height", "score", (F.col("role") == "assistant").alias("loss"), head.alias("head"), escape_text(F.col("text")).alias("body"))
+    pieces = whole.select("tree_id", "leaf_id", "branch_rank", "branch_score", "height", (F.col("role") == "assistant").alias("loss"), head.alias("head"), escape_text(F.col("text")).alias("body"))
     branch = Window.partitionBy("tree_id", "leaf_id").orderBy(F.col("height").desc())
     size = F.length("head") + F.length("body") + len(END)
     placed = pieces.withColumn("start", F.coalesce(F.sum(size).over(branch.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.length("head"))
     span = F.when(F.col("loss"), F.struct(F.col("start").alias("start"), (F.col("start") + F.length("body")).alias("end")))
     turn = F.struct((-F.col("height")).alias("k"), F.concat("head", "body", F.lit(END)).alias("turn"))
-    rows = placed.groupBy("tree_id", "leaf_id").agg(score("score").alias("branch_score"), F.array_sort(F.collect_list(turn)).alias("turns"), F.array_sort(F.collect_list(span)).alias("loss_spans"))
-    ranked = rows.withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.col("branch_score").desc(), "leaf_id")))
-    if best is not None:
-        ranked = ranked.where(F.col("branch_rank") <= best)
-    return ranked.select("tree_id", "leaf_id", "branch_rank", "branch_score", F.array_join(F.col("turns.turn"), "").alias("formatted"), "loss_spans")
+    rows = placed.groupBy("tree_id", "leaf_id", "branch_rank", "branch_score").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.array_sort(F.collect_list(span)).alias("loss_spans"))
+    return rows.select("tree_id", "leaf_id", "branch_rank", "branch_score", F.array_join(F.col("turns.turn"), "").alias("formatted"), "loss_spans")
 
 
 def parse(formatted: Column) -> Column:

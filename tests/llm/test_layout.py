@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -271,6 +272,33 @@ def test_branches_are_ranked_and_read_back(spark):
     assert chat.format_branches(m.limit(0)).collect() == []
 
 
+def test_wide_trees_against_all_branches(spark):
+    r = random.Random(3)
+    parent, rows = {}, []
+    for tree in (1, 2, 3):
+        for i in range(1, 121):
+            up = None if i == 1 else 1 if tree == 1 else r.randrange(1, i)  # tree 1: a star of 119 leaves
+            parent[tree, i] = up
+            rows.append((tree, i, up, r.choice(["user", "assistant"]), f"t{i} " * (200 if i == 1 else 1), r.choice([None, 0.0, 1.0, 2.0, -1.0])))
+    score = {(t, i): s or 0.0 for t, i, _, _, _, s in rows}
+    want = {}
+    for tree in (1, 2, 3):
+        inner = {u for (t, _), u in parent.items() if t == tree}
+        for leaf in (i for i in range(1, 121) if i not in inner):
+            path, at = [], leaf
+            while at is not None:
+                path.append(at)
+                at = parent[tree, at]
+            want[tree, leaf] = (sum(score[tree, i] for i in path), path[::-1])
+    m = spark.createDataFrame(rows, "tree_id long, msg_id long, parent_id long, role string, text string, score double")
+    for best in (1, 3, None):
+        got = chat.format_branches(m, best=best).withColumn("said", F.transform(chat.parse(F.col("formatted")), lambda t: t["text"])).collect()
+        ranked = {t: sorted((-s, leaf) for (u, leaf), (s, _) in want.items() if u == t) for t in (1, 2, 3)}
+        assert {(x.tree_id, x.branch_rank): (-x.branch_score, x.leaf_id) for x in got} == {(t, k): v for t in ranked for k, v in enumerate(ranked[t][:best], 1)}
+        text = {(t, i): x for t, i, _, _, x, _ in rows}
+        assert all(x.said == [text[x.tree_id, i] for i in want[x.tree_id, x.leaf_id][1]] for x in got)
+
+
 def test_long_threads_and_repeats(spark):
     turns = [(4, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(70)] + [(5, 0, "user", "x"), (5, 0, "user", "x"), (5, 0, "assistant", "y"), (6, None, None, None)]
     got = {r.conv_id: r for r in chat.digest(chat.format_branches(chat.threads(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))).collect()}
