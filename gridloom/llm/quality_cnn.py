@@ -1,6 +1,6 @@
 """Quality classifier: a convolutional network over bytes, trained in numpy.
 
-Learned filters of 8 bytes move over the whole text, two bytes at a time. Each filter's highest answer is
+Learned filters of 8 bytes move over the whole text, byte by byte. Each filter's highest answer is
 kept in every chunk of 512 bytes; chunks begin every 256 bytes, so they overlap, and cover the text to its end.
 A text's chunks are combined by mean, highest and lowest, and a small dense layer makes one probability of
 these. Filters are tables of a value for every byte at every place, which is an embedding and a filter folded together.
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from .labelled import training_rows
 from .shared import held_out_mod, released, text_slices
 
-WIDTH, STRIDE, HALF, FILTERS, DENSE = 8, 2, 256, 16, 16
+WIDTH, STRIDE, HALF, FILTERS, DENSE = 8, 1, 256, 16, 16
+#: Training: steps of BATCH texts, as many whatever the sample's size.
+STEPS, BATCH = 800, 32
 ROW = HALF + WIDTH
 LOW = np.float32(-1e30)
 
@@ -127,7 +129,7 @@ class Filters:
         return g
 
 
-def learn(rows: list[tuple[str, int]], rounds: int = 8, seed: int = 11) -> Filters | None:
+def learn(rows: list[tuple[str, int]], steps: int = STEPS, seed: int = 11) -> Filters | None:
     """None without examples of both classes."""
     labels = np.array([y for _, y in rows], np.float32)
     if len(set(labels.tolist())) < 2:
@@ -139,27 +141,27 @@ def learn(rows: list[tuple[str, int]], rounds: int = 8, seed: int = 11) -> Filte
         sizes = np.array([len(raw[i]) for i in some])
         return *_laid(np.concatenate([raw[i] for i in some]), np.concatenate([[0], np.cumsum(sizes)])), sizes
 
-    order = r.permutation(len(rows))
-    bytes_, filled, first, sizes = laid(order[:500])
-    z, _, at = net.chunks(net.halves(bytes_, filled)[0], first)
-    c = net._combine(z, at, sizes)
+    c = []
+    for k in range(0, len(rows), 500):
+        bytes_, filled, first, sizes = laid(np.arange(k, min(k + 500, len(rows))))
+        z, _, at = net.chunks(net.halves(bytes_, filled)[0], first)
+        c.append(net._combine(z, at, sizes))
+    c = np.concatenate(c)
     net.mean, net.scale = c.mean(0), c.std(0) + 0.1
     net.p["o"][-1] = np.log(labels.mean() / (1 - labels.mean()))
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-    rounds = max(rounds, min(40, 12000 // len(rows)))
-    tick = 0
-    for turn in range(rounds):
-        order = r.permutation(len(rows))
-        for k in range(0, len(order), 32):
-            some = order[k : k + 32]
-            grads = net.gradients(*laid(some), labels[some])
-            tick += 1
-            rate = 0.01 * (0.1 ** (turn / rounds))
-            for name, value in grads.items():
-                m, v = moment[name]
-                m += 0.1 * (value - m)
-                v += 0.01 * (value * value - v)
-                net.p[name] -= (rate * (m / (1 - 0.9**tick)) / (np.sqrt(v / (1 - 0.99**tick)) + 1e-7)).astype(np.float32)
+    order = np.zeros(0, np.int64)
+    for step in range(steps):
+        if len(order) < BATCH:
+            order = np.concatenate([order, *[r.permutation(len(rows)) for _ in range(-(-BATCH // len(rows)))]])
+        some, order = order[:BATCH], order[BATCH:]
+        grads = net.gradients(*laid(some), labels[some])
+        rate = 0.01 * 0.1 ** (step / steps)
+        for name, value in grads.items():
+            m, v = moment[name]
+            m += 0.1 * (value - m)
+            v += 0.01 * (value * value - v)
+            net.p[name] -= (rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.99 ** (step + 1))) + 1e-7)).astype(np.float32)
     return net
 
 

@@ -219,6 +219,26 @@ def test_filters_see_the_end_of_a_text():
     assert a != b
 
 
+def test_filters_look_at_every_byte():
+    net = quality_cnn.Filters()
+    net.p["t"][:] = 0
+    net.p["t"][range(8), list(b"MARKED!?"), :] = 1
+    for at in range(0, 260):
+        text = b"." * at + b"MARKED!?" + b"." * 40
+        laid, filled, first = quality_cnn._laid(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert net.halves(laid, filled)[0].max() == 8, at
+
+
+def test_training_takes_the_same_steps_whatever_the_sample(monkeypatch):
+    taken = []
+    plain = quality_cnn.Filters.gradients
+    monkeypatch.setattr(quality_cnn.Filters, "gradients", lambda self, *a: (taken.append(len(a[-1])), plain(self, *a))[1])
+    for n in (2, 7, 700):
+        taken.clear()
+        quality_cnn.learn([("word " * (1 + i % 3) + ("good" if i % 2 else "bad"), i % 2) for i in range(n)], steps=5)
+        assert taken == [quality_cnn.BATCH] * 5
+
+
 def test_rules_statistics_and_learning(spark):
     docs, labels = _tables(spark)
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels).collect()}
