@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -393,6 +394,74 @@ def test_the_cut_changes_labels_for_the_better(spark):
     assert changed > len(pages)
 
 
+def plain_cut(odds, edges):
+    """The source side of a minimum cut by one path after the other over a matrix of capacities."""
+    n = len(odds)
+    room = np.zeros((n + 2, n + 2))
+    for i, x in enumerate(odds):
+        room[(n, i) if x > 0 else (i, n + 1)] = abs(x)
+    for a, b, w in edges:
+        room[a, b] += w
+        room[b, a] += w
+    while True:
+        before, queue = {n: None}, [n]
+        for i in queue:
+            for j in np.flatnonzero(room[i] > 1e-9).tolist():
+                if j not in before:
+                    before[j] = i
+                    queue.append(j)
+        if n + 1 not in before:
+            return [i in before for i in range(n)]
+        steps, j = [], n + 1
+        while before[j] is not None:
+            steps.append((before[j], j))
+            j = before[j]
+        flow = min(room[s] for s in steps)
+        for a, b in steps:
+            room[a, b] -= flow
+            room[b, a] += flow
+
+
+def test_the_query_equals_a_plain_cut(spark):
+    from gridloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()
+    costs = html_mincut.learned_costs(p.html for p in sorted(pages, key=lambda p: hashlib.md5(str(p.page_id).encode()).hexdigest())[: html_mincut.SAMPLE_PAGES])
+    want = []
+    for p in pages:
+        texts, odds, edges = html_mincut.graph(p.html or "", costs)
+        text = "\n".join(t for t, use in zip(texts, plain_cut(odds, edges)) if use)
+        want.append((p.page_id, p.url, text, len(text)))
+    assert sorted(want) == sorted(tuple(r) for r in queries.op10_html_extraction(spark, sf).select("page_id", "url", "text", "n_chars").collect())
+
+
+@pytest.mark.parametrize("blanked", [False, True])
+def test_pairwise_edges_decide(spark, blanked):
+    """Costs learned from other pages; then all edges go, and nothing else. Blanked: without article elements, classes, ids and roles."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").select("html").collect()]
+    costs = html_mincut.learned_costs(pages[:100])
+    right = alone = changed = 0
+    for page in pages[100:]:
+        want = re.search("<article[^>]*>(.*?)</article>", page, re.S)[1]
+        want = [t for b, t in html_mincut.blocks(f"<article>{want}</article>")[0] if not b.zone[1]]
+        if blanked:
+            page = re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page.replace("<article", "<div").replace("</article", "</div"))
+        texts, odds, edges = html_mincut.graph(page, costs)
+        told = html_mincut.minimum_cut(odds, edges)[: len(texts)]
+        bare = html_mincut.minimum_cut(odds, [])[: len(texts)]
+        right += [t for t, use in zip(texts, told) if use] == want
+        alone += [t for t, use in zip(texts, bare) if use] == want
+        changed += sum(a != b for a, b in zip(told, bare))
+    assert right >= (0.9 if blanked else 1.0) * len(pages[100:])
+    assert alone < 0.1 * len(pages[100:]) and changed >= 0.9 * len(pages[100:])
+
+
+def test_costs_without_marked_pages():
+    assert html_mincut.learned_costs([]) == html_mincut.DEFAULT_COSTS
+    assert html_mincut.learned_costs(["", "<p>x</p>", "<article>only</article>"]) == html_mincut.DEFAULT_COSTS
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
