@@ -5,6 +5,31 @@ from __future__ import annotations
 #: Lower case of A-Z alone, and the words.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+#: Equal weights: a phase is a round robin by name over the sources that are left; it ends with the first that is used up.
+OP2_SQL = """
+WITH RECURSIVE d AS (
+    SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), chr(0))), doc_id NULLS FIRST) - 1 AS r FROM documents
+), s AS (
+    SELECT source, row_number() OVER (ORDER BY source IS NOT NULL, source) AS name, (count(*) + 63) // 64 AS n FROM documents GROUP BY source
+), state AS (
+    SELECT 0 AS phase, source, name, CAST(0 AS BIGINT) AS used, CAST(n AS BIGINT) AS rest, CAST(0 AS BIGINT) AS start FROM s
+    UNION ALL
+    SELECT phase + 1, source, name, used + took, rest - took, start + span FROM (
+        SELECT *, span // m + CASE WHEN pos < span % m THEN 1 ELSE 0 END AS took FROM (
+            SELECT *, min((rest - 1) * m + pos) OVER () + 1 AS span FROM (
+                SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY name) - 1 AS pos FROM state WHERE rest > 0
+            )
+        )
+    )
+), part AS (
+    SELECT source, used, start, count(*) OVER (PARTITION BY phase) AS m, row_number() OVER (PARTITION BY phase ORDER BY name) - 1 AS pos,
+        coalesce(lead(used) OVER (PARTITION BY source ORDER BY phase), used + rest) AS until
+    FROM state WHERE rest > 0
+)
+SELECT d.doc_id, d.source, d.r // 64 AS block_, part.start + (d.r // 64 - part.used) * part.m + part.pos AS slot_, d.r % 64 AS place_
+FROM d JOIN part ON d.source IS NOT DISTINCT FROM part.source AND d.r // 64 >= part.used AND d.r // 64 < part.until
+"""
+
 OP3_SQL = """
 WITH RECURSIVE v AS (
     SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

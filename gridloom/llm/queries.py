@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import attach
-from .oracles import OP3_SQL, OP4_SQL, OP9_SQL, OP11_SQL, OP12_SQL, OP13_SQL
+from .oracles import OP2_SQL, OP3_SQL, OP4_SQL, OP9_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,5 +112,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Of the others, models, schedules and the vocabulary file are not said in SQL: their tests have brute-force versions."""
-    return {"op3_embedding_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op9_chat_formatting": OP9_SQL, "op11_url_filters": OP11_SQL, "op12_source_audit": OP12_SQL, "op13_fill_middle": OP13_SQL}
+    """Of the others, models and the vocabulary file are not said in SQL: their tests have brute-force versions."""
+    return {"op2_mixing": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op9_chat_formatting": OP9_SQL, "op11_url_filters": OP11_SQL, "op12_source_audit": OP12_SQL, "op13_fill_middle": OP13_SQL}

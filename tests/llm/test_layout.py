@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -108,6 +109,25 @@ def test_the_query_equals_a_schedule_made_slot_by_slot(spark):
     assert {r.doc_id: (r.block_, r.slot_, r.place_) for r in got.itertuples()} == want
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.dictionaries(st.one_of(st.none(), st.sampled_from("abcdé")), st.integers(1, 9), min_size=1))
+def test_the_sql_equals_a_schedule_made_slot_by_slot(blocks):
+    """Sources that are used up in any order, each with a last block of one row."""
+    duckdb = pytest.importorskip("duckdb")
+    from gridloom.llm.oracles import OP2_SQL
+
+    names = [s for s, n in blocks.items() for _ in range(64 * (n - 1) + 1)]
+    documents = pa.table({"doc_id": pa.array(range(len(names)), pa.int64()), "source": pa.array(names, pa.string())})
+    link = duckdb.connect()
+    link.register("documents", documents)
+    got = link.execute(f"SELECT slot_, source, min(block_), max(block_) FROM ({OP2_SQL}) GROUP BY ALL ORDER BY slot_").fetchall()
+    used, want = collections.Counter(), []
+    for slot, s in enumerate(slot_by_slot(blocks)):
+        want.append((slot, s, used[s], used[s]))
+        used[s] += 1
+    assert got == want
+
+
 @pytest.mark.parametrize("weights", [dict.fromkeys([f"s{i}" for i in range(21)], 1.0), {"a": 0.1, "b": 0.2, "c": 0.7}, {"a": 1.0, "b": 1 / 3}, {"a": 3.0, "b": 1e-3 * 7}])
 def test_rational_weights_are_exact(weights):
     own = mixing.whole_weights(weights)
