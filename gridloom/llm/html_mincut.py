@@ -272,13 +272,24 @@ def _sums(found: list[tuple[Block, str]], sections: list[Section]) -> list[list[
 
 
 def _logistic(rows: list[tuple[float, ...]], labels: list[bool], prior: Sequence[float]) -> tuple[float, ...]:
-    """Weights of a logistic regression, held near the prior ones as long as rows are few: ridge RIDGE, twenty Newton steps."""
+    """Weights of a logistic regression, held near the prior ones as long as rows are few: ridge RIDGE, at most
+    twenty Newton steps, none of which may raise the loss."""
     x, y = np.array(rows), np.array(labels, float)
     start = np.array(prior)
-    w = start.copy()
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w)).sum() + RIDGE / 2 * ((w - start) ** 2).sum())
+
+    w, now = start, loss(start)
     for _ in range(20):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x.T * (p * (1 - p))) @ x + RIDGE * np.eye(len(w)), x.T @ (y - p) - RIDGE * (w - start))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + RIDGE * np.eye(len(w)), x.T @ (y - p) - RIDGE * (w - start))
+        # A whole step may overshoot where classes are nearly separable: it is halved until it helps.
+        size = next((h for h in 0.5 ** np.arange(20) if loss(w + h * step) < now), 0.0)
+        if not size:
+            break
+        w = w + size * step
+        now = loss(w)
     return tuple(float(v) for v in w)
 
 

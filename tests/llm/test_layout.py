@@ -477,6 +477,18 @@ def test_pairwise_edges_decide(spark, blanked):
     assert alone < 0.1 * len(pages[100:]) and changed >= 0.9 * len(pages[100:])
 
 
+def test_costs_settle_where_classes_are_apart():
+    """The gradient of the penalised loss is nought at the weights, for any sample."""
+    for n in (3, 50, 5000):
+        x = np.random.default_rng(n).normal(0, 3, (n, 3))
+        rows = [(1.0, *r) for r in x.tolist()]
+        y = [r[1] > 0.5 for r in rows]
+        start = np.array((-0.3, 0.3, 0.6, -4.0))
+        w = np.array(html_mincut._logistic(rows, y, tuple(start)))
+        p = 1 / (1 + np.exp(-np.array(rows) @ w))
+        assert np.abs(np.array(rows).T @ (np.array(y) - p) - html_mincut.RIDGE * (w - start)).max() < 1e-3
+
+
 def test_costs_without_marked_pages():
     assert html_mincut.learned_costs([]) == html_mincut.DEFAULT_COSTS
     assert html_mincut.learned_costs(["", "<p>x</p>", "<article>only</article>"]) == html_mincut.DEFAULT_COSTS
