@@ -2,34 +2,46 @@
 
 Unit vectors with cosine >= t lie within epsilon = sqrt(2 - 2t) of each other. A rotation to the principal
 directions keeps all distances; cells of width epsilon on the leading ones give every vector a grid
-cell, and the vectors are sorted by their cells (the epsilon grid order). The order is cut into intervals. Pairs of
-intervals are joined by halving both as long as the boxes around their vectors are nearer than epsilon: blocks provably
-apart are skipped, small ones are compared in double precision. Which intervals meet is found the same way, by
-halving runs of intervals level by level, so no list of all pairs of intervals is made.
-
-Equal vectors are joined as one with their number. Links are counted for each vector where they are found, and only
-a spanning forest of each pair of intervals goes on to the components: links are never listed.
+cell, and the vectors are sorted by their cells (the epsilon grid order). The order is cut into intervals, which are
+written once. Intervals whose boxes are nearer than epsilon meet by a product of the written files: each task reads the intervals it
+joins, and no vector is shuffled for the others it meets. Two intervals are joined by halving both as long as the boxes around their
+vectors are nearer than epsilon: blocks provably apart are skipped. In small blocks the leading directions rule out in single
+precision what is provably farther than epsilon; the rest is compared whole, in double precision.
+
+Equal vectors are joined as one with their number; they are found by digests, so vectors move only to be sorted. Links are counted for
+each vector where they are found, and only a spanning forest of each batch of pairs of intervals goes on to the components: links are
+never listed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .components import connected_components, forest
-from .shared import cut
+from .shared import cut, released
 
-#: Vectors in an interval, which is a unit of work in memory, and in a block compared at once.
+#: Vectors in an interval, which is a unit of work in memory, and in a block compared at once; directions in a cell.
 INTERVAL, LEAF, CELLS = 4096, 512, 12
+#: Intervals in a file and kept by a task that joins them; directions that screen a block in single precision, with its rounding.
+TOGETHER, SCREEN, ROUNDING = 12, 24, 1e-5
 SLACK = 1e-6
 
 
-def unit_vectors(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each length of vector: the rows whose vector can link, and these vectors at length 1 in double precision."""
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors that are not zero at length 1: divided by the largest component first, so that lengths neither overflow nor vanish."""
+    v = v / np.abs(v).max(1)[:, None]
+    return v / np.sqrt((v * v).sum(1))[:, None]
+
+
+def linkable(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each length of vector: the rows whose vector can link, and these vectors."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.array(column.value_lengths().fill_null(0).to_pylist(), np.int64)
     flat = column.flatten()
@@ -44,14 +56,9 @@ def unit_vectors(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
         own = np.flatnonzero(sizes == d)
         v = values[at[own][:, None] + np.arange(d)]
         bad = holes[at[own][:, None] + np.arange(d)].any(1) | ~np.isfinite(v).all(1)
-        v[bad] = 0
-        # Scaled by the largest component first, so that lengths neither overflow nor vanish.
-        top = np.abs(v).max(1)
-        good = top > 0
-        own, v, top = own[good], v[good], top[good]
-        v = v / top[:, None]
-        rows.append(own)
-        out.append(v / np.sqrt((v * v).sum(1))[:, None])
+        good = ~bad & v.any(1)
+        rows.append(own[good])
+        out.append(v[good])
     return rows, out
 
 
@@ -59,7 +66,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each dimension the number, sum and product sums of a task's vectors."""
     total: dict[int, list] = {}
     for batch in batches:
-        for v in unit_vectors(batch.column(1))[1]:
+        for v in map(scaled, linkable(batch.column(1))[1]):
             n = total.setdefault(v.shape[1], [0, np.zeros(v.shape[1]), np.zeros((v.shape[1],) * 2)])
             n[0] += len(v)
             n[1] += v.sum(0)
@@ -82,20 +89,25 @@ def principal(sums: np.ndarray, dim: int) -> np.ndarray:
     return np.linalg.eigh(p / n - np.outer(s / n, s / n))[1][:, ::-1]
 
 
-def _cells(rotations: dict[int, np.ndarray], epsilon: float) -> Callable:
-    """(vec_id, dim, cells as sortable bytes, the vector turned to the principal directions, the vector)."""
+def _cells(rotations: dict[int, np.ndarray], epsilon: float, kind: str) -> Callable:
+    """(vec_id, dim, cells as sortable bytes, digest of the vector at length 1, the vector as given)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, v in zip(*unit_vectors(batch.column(1)), strict=True):
+            for rows, given in zip(*linkable(batch.column(1)), strict=True):
                 if not len(rows):
                     continue
-                d = v.shape[1]
-                turned = v @ rotations[d]
-                cell = (np.floor(turned[:, :CELLS] / epsilon) + 128 + 2.0 / epsilon).clip(0, 65535).astype(">u2")
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), d, np.int32)), pa.array([x.tobytes() for x in cell], pa.binary()), pa.array([x.tobytes() for x in v], pa.binary())], ["vec_id", "dim", "cell", "vector"])
+                v, d = scaled(given), given.shape[1]
+                # Summed one component after the other: equal vectors get equal cells, whatever batch they are in.
+                turned = np.zeros((len(v), min(d, CELLS)))
+                for j in range(d):
+                    turned += v[:, j, None] * rotations[d][j, :CELLS]
+                cell = (np.floor(turned / epsilon) + 128 + 2.0 / epsilon).clip(0, 65535).astype(">u2")
+                key = [blake2b(x.tobytes(), digest_size=16).digest() for x in v + 0.0]  # -0.0 equals 0.0
+                columns = [[x.tobytes() for x in cell], key, [x.tobytes() for x in given.astype(kind)]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), d, np.int32)), *(pa.array(x, pa.binary()) for x in columns)], ["vec_id", "dim", "cell", "key", "vector"])
 
-    return run
+    return released(run)
 
 
 # ---------------------------------------------------------------- joining two intervals
@@ -104,8 +116,13 @@ def _cells(rotations: dict[int, np.ndarray], epsilon: float) -> Callable:
 class Part:
     """Vectors in grid order with the boxes around runs of them, halved again and again."""
 
-    def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, turned: np.ndarray):
-        self.ids, self.copies, self.v, self.t = ids, copies, vectors, turned
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, rotation: np.ndarray):
+        self.ids, self.copies, self.v = ids, copies, scaled(vectors)
+        self.t = self.v @ rotation
+        # x.y - x.x/2 - y.y/2, over the leading directions, as one product of two rows: -1/2 of their squared distance.
+        lead, one = self.t[:, :SCREEN], np.ones((len(ids), 1))
+        half = -0.5 * (lead * lead).sum(1)[:, None]
+        self.left, self.right = np.hstack([lead, half, one]).astype(np.float32), np.hstack([lead, one, half]).astype(np.float32)
         self.boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def box(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,109 +154,108 @@ def join_parts(a: Part, b: Part | None, least: float) -> tuple[np.ndarray, np.nd
             sj = [(j0, (j0 + j1) // 2), ((j0 + j1) // 2, j1)] if j1 - j0 > LEAF else [(j0, j1)]
             stack += [(*x, *y) for x in si for y in sj]
             continue
-        near = a.v[i0:i1] @ other.v[j0:j1].T >= least
+        # The distance over some directions is the whole one at most.
+        half = a.left[i0:i1] @ other.right[j0:j1].T
+        if b is None and i0 == j0:
+            np.fill_diagonal(half, -np.inf)
+        if half.max() < -reach / 2 - ROUNDING:
+            continue
+        x, y = np.nonzero(half >= -reach / 2 - ROUNDING)
+        if len(x) * 16 < half.size:
+            good = np.einsum("ij,ij->i", a.v[i0 + x], other.v[j0 + y]) >= least
+        else:
+            good = (a.v[i0:i1] @ other.v[j0:j1].T >= least)[x, y]
         if b is None:
-            near &= np.arange(i0, i1)[:, None] < np.arange(j0, j1)[None, :]
-        if not near.any():
+            good &= i0 + x < j0 + y
+        x, y = x[good], y[good]
+        if not len(x):
             continue
-        links[0][i0:i1] += near @ other.copies[j0:j1]
-        links[1][j0:j1] += near.T @ a.copies[i0:i1]
-        x, y = np.nonzero(near)
+        np.add.at(links[0], i0 + x, other.copies[j0 + y])
+        np.add.at(links[1], j0 + y, a.copies[i0 + x])
         u, m = forest(np.minimum(a.ids[i0 + x], other.ids[j0 + y]), np.maximum(a.ids[i0 + x], other.ids[j0 + y]))
         edges.append((u, m))
     u, m = forest(*(np.concatenate(x) for x in zip(*edges, strict=True))) if edges else (np.empty(0, np.int64),) * 2
     return links[0], links[1], u, m
 
 
-def _packed(batch: pa.RecordBatch | pa.Table, k: str, i: int, dim: int) -> Part:
-    read = lambda name, kind: np.frombuffer(batch.column(k + name)[i].as_buffer(), kind)
-    n = len(batch.column(k + "ids")[i].as_buffer()) // 8
-    return Part(read("ids", np.int64), read("copies", np.int64), read("vectors", float).reshape(n, dim), np.empty((n, 0)))
+def _joined(rotations: dict[int, np.ndarray], least: float, kind: str) -> Callable:
+    """Rows of two intervals to (vec_id, n, linked): links of a vector, linked null, and a forest of the links, n 0."""
 
-
-def _joined(rotations: dict[int, np.ndarray], least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, Part] = {}
+
+        def part(batch: pa.RecordBatch, i: int, side: str, dim: int) -> Part:
+            place = batch.column(f"{side}_place")[i].as_py()
+            if place not in parts:
+                if len(parts) > TOGETHER:
+                    parts.pop(next(iter(parts)))
+                read = lambda name, kind: np.frombuffer(batch.column(f"{side}_{name}")[i].as_buffer(), kind)
+                parts[place] = Part(read("ids", np.int64), read("copies", np.int64), read("vectors", kind).astype(float).reshape(-1, dim), rotations[dim])
+            return parts[place]
+
         for batch in batches:
+            ids, counts, edges = [], [], []
             for i in range(len(batch)):
-                dim = batch.column("dim")[i].as_py()
-                a = _packed(batch, "a_", i, dim)
-                a.t = a.v @ rotations[dim]
-                b = None
-                if batch.column("a")[i].as_py() != batch.column("b")[i].as_py():
-                    b = _packed(batch, "b_", i, dim)
-                    b.t = b.v @ rotations[dim]
-                one, two, u, m = join_parts(a, b, least)
-                ids = np.concatenate([a.ids, (a if b is None else b).ids, u])
-                n = np.concatenate([one, two, np.zeros(len(u), np.int64)])
-                to = np.concatenate([np.full(len(ids) - len(u), -1, np.int64), m])
-                use = (n > 0) | (np.arange(len(ids)) >= len(ids) - len(u))
-                real = np.arange(len(ids)) >= len(ids) - len(u)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(n[use]), pa.array(to[use], mask=~real[use])], ["vec_id", "n", "linked"])
-
-    return run
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one interval after the other, sorted in grid order, as one row an interval with the box around its vectors."""
-
-    def row(rows: list[tuple]) -> pa.RecordBatch:
-        dim = rows[0][1]
-        v = np.frombuffer(b"".join(r[4] for r in rows)).reshape(len(rows), dim)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([rows[0][0]], pa.int64()), pa.array([dim], pa.int32()), pa.array([np.array([r[2] for r in rows], np.int64).tobytes()], pa.binary()), pa.array([np.array([r[3] for r in rows], np.int64).tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())],
-            ["interval", "dim", "ids", "copies", "vectors"],
-        )
+                dim = batch.column("a_dim")[i].as_py()
+                a, b = part(batch, i, "a", dim), part(batch, i, "b", dim)
+                one, two, u, m = join_parts(a, None if a is b else b, least)
+                ids += [a.ids[one > 0], b.ids[two > 0]]
+                counts += [one[one > 0], two[two > 0]]
+                edges.append((u, m))
+            if not edges:
+                continue
+            vec, at = np.unique(np.concatenate(ids), return_inverse=True)
+            n = np.zeros(len(vec), np.int64)
+            np.add.at(n, at, np.concatenate(counts))
+            u, m = forest(*(np.concatenate(x) for x in zip(*edges, strict=True)))
+            linked = pa.array(np.concatenate([vec, m]), mask=np.arange(len(vec) + len(m)) < len(vec))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([vec, u])), pa.array(np.concatenate([n, np.zeros(len(u), np.int64)])), linked], ["vec_id", "n", "linked"])
+
+    return released(run)
+
+
+PACKED = "place long, dim int, ids binary, copies binary, vectors binary, low array<double>, high array<double>"
 
-    held: list[tuple] = []
-    for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("interval", "dim", "vec_id", "copies", "vector")), strict=True):
-            if held and held[0][:2] != r[:2]:
-                yield row(held)
-                held = []
-            held.append(r)
-    if held:
-        yield row(held)
 
+def _pack(rotations: dict[int, np.ndarray], kind: str, most: int) -> Callable:
+    """A range partition, sorted in grid order, as one row for at most `most` vectors, with the box around them."""
+
+    def row(rows: list[tuple], seq: int) -> pa.RecordBatch:
+        dim = rows[0][1]
+        given = np.frombuffer(b"".join(r[5] for r in rows), kind).reshape(len(rows), dim)
+        t = scaled(given.astype(float)) @ rotations[dim]
+        # The factor is odd: the sum of two places is as often even as odd, by partitions and inside one.
+        packed = [[rows[0][0] * ((1 << 20) + 1) + seq], [dim], [np.array([r[3] for r in rows], np.int64).tobytes()], [np.array([r[4] for r in rows], np.int64).tobytes()], [given.tobytes()], [t.min(0).tolist()], [t.max(0).tolist()]]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(packed, kinds, strict=True)], ["place", "dim", "ids", "copies", "vectors", "low", "high"])
 
-def _boxes(rotations: dict[int, np.ndarray]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        seq = 0
         for batch in batches:
-            low, high = [], []
-            for i in range(len(batch)):
-                dim = batch.column("dim")[i].as_py()
-                t = np.frombuffer(batch.column("vectors")[i].as_buffer()).reshape(-1, dim) @ rotations[dim]
-                low.append(t.min(0))
-                high.append(t.max(0))
-            kind = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("interval"), batch.column("dim"), pa.array(low, kind), pa.array(high, kind)], ["interval", "dim", "low", "high"])
-
-    return run
-
-
-def _interval_pairs(boxes: DataFrame, reach: float) -> DataFrame:
-    """(dim, a, b), a <= b, of the intervals whose boxes are within reach: runs of 2**k intervals are joined from
-    the whole down to single ones, and pairs of runs that are apart go with all that is in them."""
-    levels = [boxes.withColumn("run", F.col("interval")).select("dim", "run", "low", "high")]
-    top = boxes.agg(F.max("interval")).first()[0] or 0
-
-    while top > 0:
-        below = levels[-1]
-        # Component-wise lowest and highest of two runs next to each other.
-        grouped = below.groupBy("dim", F.floor(F.col("run") / 2).alias("run_")).agg(F.collect_list("low").alias("ls"), F.collect_list("high").alias("hs"))
-        both = lambda xs, f: F.when(F.size(xs) == 2, F.zip_with(F.element_at(xs, 1), F.element_at(xs, -1), f)).otherwise(F.element_at(xs, 1))
-        levels.append(cut(grouped.select("dim", F.col("run_").alias("run"), both(F.col("ls"), lambda x, y: F.least(x, y)).alias("low"), both(F.col("hs"), lambda x, y: F.greatest(x, y)).alias("high")), "grid-runs"))
-        top //= 2
-    pairs = levels[-1].select("dim", F.col("run").alias("a"), F.col("run").alias("b"))
-    for level in reversed(levels[:-1]):
-        half = F.explode(F.array(F.lit(0), F.lit(1)))
-        halves = pairs.withColumn("x", half).select("dim", (F.col("a") * 2 + F.col("x")).alias("a"), "b").withColumn("x", half).select("dim", "a", (F.col("b") * 2 + F.col("x")).alias("b")).where("a <= b")
-        one = level.select("dim", F.col("run").alias("a"), F.col("low").alias("al"), F.col("high").alias("ah"))
-        two = level.select("dim", F.col("run").alias("b"), F.col("low").alias("bl"), F.col("high").alias("bh"))
-        met = halves.join(one, ["dim", "a"]).join(two, ["dim", "b"])
-        gap = F.zip_with(F.zip_with("al", "bh", lambda x, y: x - y), F.zip_with("bl", "ah", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y))
-        apart = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)
-        pairs = cut(met.where(apart <= reach).select("dim", "a", "b"), "grid-pairs")
-    return pairs.select("dim", "a", "b")
+            for r in zip(*(batch.column(c).to_pylist() for c in ("part", "dim", "key", "vec_id", "copies", "vector")), strict=True):
+                if held and held[-1][1:3] == r[1:3]:
+                    continue  # the same row again
+                if held and (len(held) == most or held[0][1] != r[1]):
+                    yield row(held, seq)
+                    held, seq = [], seq + 1
+                held.append(r)
+        if held:
+            yield row(held, seq)
+
+    return released(run)
+
+
+def _meeting(intervals: DataFrame, reach: float) -> DataFrame:
+    """Every two intervals, and each with itself, whose boxes are within reach, once. A product without a key: Spark reads the files
+    of one side again for those of the other and shuffles neither."""
+    a, b = (intervals.select(*[F.col(c).alias(f"{k}_{c}") for c in intervals.columns]) for k in "ab")
+    # Which of the two is a goes by the parity of their places, so that tasks have as many pairs each.
+    even = (F.col("a_place") + F.col("b_place")) % 2 == 0
+    once = (F.col("a_place") == F.col("b_place")) | (even == (F.col("a_place") < F.col("b_place")))
+    gap = F.zip_with(F.zip_with("a_low", "b_high", lambda x, y: x - y), F.zip_with("b_low", "a_high", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y))
+    apart = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)
+    return a.join(b, (F.col("a_dim") - F.col("b_dim") == 0) & once & (apart <= reach)).select("a_dim", *[f"{k}_{c}" for k in "ab" for c in ("place", "ids", "copies", "vectors")])
 
 
 # ---------------------------------------------------------------- the operator
@@ -265,29 +281,26 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95, id_column: s
         total[d] = total.get(d, 0) + np.frombuffer(raw)
     rotations = {d: principal(x, d) for d, x in total.items()}
 
-    placed = cut(whole.mapInArrow(_cells(rotations, epsilon), "vec_id long, dim int, cell binary, vector binary"), "grid-cells")
+    given = vectors.schema[vector_column].dataType
+    kind = "<f4" if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else "<f8"
+    placed = whole.mapInArrow(_cells(rotations, epsilon, kind), "vec_id long, dim int, cell binary, key binary, vector binary")
     # Equal vectors are one: the smallest id stands for them.
-    groups = placed.groupBy("dim", "cell", "vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
-    ordered = cut(groups.repartitionByRange("dim", "cell", "vector").sortWithinPartitions("dim", "cell", "vector").withColumn("part", F.spark_partition_id()), "grid-order")
-    # The place in the whole order: in each range partition, after the partitions before it.
-    sizes = ordered.groupBy("dim", "part").count()
-    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("dim").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    within = ordered.withColumn("row", F.row_number().over(Window.partitionBy("dim", "part").orderBy("cell", "vector")) - 1)
-    numbered = within.join(before, ["dim", "part"]).withColumn("interval", F.floor((F.col("before") + F.col("row")) / INTERVAL))
-    sorted_ = numbered.select("interval", "dim", "vec_id", "copies", "vector", "cell").repartition("dim", "interval").sortWithinPartitions("dim", "interval", "cell", "vector").drop("cell")
-    intervals = cut(sorted_.mapInArrow(_pack, "interval long, dim int, ids binary, copies binary, vectors binary"), "grid-intervals")
-    boxes = cut(intervals.mapInArrow(_boxes(rotations), "interval long, dim int, low array<double>, high array<double>"), "grid-boxes")
-    pairs = _interval_pairs(boxes, 2 - 2 * least + SLACK)
-    named = lambda k: intervals.select("dim", F.col("interval").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("ids", "copies", "vectors")])
-    # Both sides of a pair of intervals in one row; the rows are dealt evenly, however the intervals cluster.
-    met = pairs.join(named("a"), ["dim", "a"]).join(named("b"), ["dim", "b"])
-    n_pairs = pairs.count()
-    met = met.repartition(max(1, min(n_pairs, 100_000)), F.hash("dim", "a", "b"))
-    found = cut(met.mapInArrow(_joined(rotations, least), "vec_id long, n long, linked long"), "grid-links")
+    ids = placed.select("vec_id", "key")
+    same = ids.groupBy("key").agg(F.min("vec_id").alias("least_"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    members = ids.join(same, "key", "left").select("vec_id", "key", F.coalesce("least_", "vec_id").alias("least_"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    members = cut(members, "grid-members")
+    twins = members.where("copies > 1").select("vec_id", "key", F.when(F.col("vec_id") == F.col("least_"), F.col("copies")).otherwise(0).alias("copies")).distinct()
+    alone = placed.join(cut(twins, "grid-twins"), ["vec_id", "key"], "left").withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
+
+    # Range partitions are the files of intervals: of one interval each while they are few, of up to TOGETHER later.
+    n = -(-4 * int(sum(x[0] for x in total.values())) // (3 * INTERVAL))
+    files = max(1, min(n, 2 * spark.sparkContext.defaultParallelism), -(-n // TOGETHER))
+    ordered = alone.repartitionByRange(files, "dim", "cell", "key").sortWithinPartitions("dim", "cell", "key", "vec_id").withColumn("part", F.spark_partition_id())
+    ordered = ordered.select("part", "dim", "key", "vec_id", F.col("copies").cast("long").alias("copies"), "vector")
+    intervals = cut(ordered.mapInArrow(_pack(rotations, kind, INTERVAL), PACKED), "grid-intervals")
+    found = cut(_meeting(intervals, 2 - 2 * least + SLACK).mapInArrow(_joined(rotations, least, kind), "vec_id long, n long, linked long"), "grid-links")
 
     links = found.where("linked is null").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    same = groups.select(F.col("vec_id").alias("least_"), "dim", "cell", "vector", "copies")
-    members = placed.join(same, ["dim", "cell", "vector"]).select("vec_id", "least_", "copies")
     edges = found.where("linked is not null").select(F.col("vec_id").alias("a"), F.col("linked").alias("b")).union(members.where("vec_id <> least_").select("vec_id", "least_"))
     components = connected_components(edges, "grid-components")
     counted = members.join(links.withColumnRenamed("vec_id", "least_"), "least_", "left").select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import storage
 from gridloom.llm.components import connected_components
 from gridloom.llm.embedding_dedup import near_duplicate_vectors
 from gridloom.llm.jaccard_join import jaccard_components, keep_one
@@ -83,6 +84,30 @@ def test_vectors_equal_brute_force(spark):
     assert [x.kept for x in again.where("vec_id is null").collect()] == [True] * 3
 
 
+def test_vectors_move_once_however_many_meet(spark):
+    """20,000 vectors without order, 64 of them near or equal to others: the boxes prune nothing, and still less than 3 times the vectors is shuffled."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(20_000, 64)).astype(np.float32)
+    v[10_000:10_032] = v[:32] + r.normal(size=(32, 64)).astype(np.float32) * np.float32(0.05)
+    v[15_000:15_032] = 2 * v[:32]
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>").repartition(8)
+    df = storage.cut(df, "test-vectors")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = {x.vec_id: (x.n_links, x.component_id) for x in near_duplicate_vectors(df).collect()}
+    assert written() - before < 3 * v.nbytes
+    want = {i: (0, i) for i in range(len(v))} | {i + k: (2, i) for i in range(32) for k in (0, 10_000, 15_000)}
+    assert got == want
+
+
+def test_vectors_in_double_precision_and_repeated_rows(spark):
+    """Components beyond single precision decide; an id's row twice counts as a copy."""
+    near, far = ([c, (1 - c * c) ** 0.5, 0.0] for c in (0.95 + 1e-9, 0.95 - 1e-9))
+    df = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, far), (3, near), (3, near)], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_duplicate_vectors(df).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 3, 1), (3, 3, 1)]
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(80)] + [(7, 7)]
