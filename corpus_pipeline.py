@@ -37,10 +37,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences of 4096."""
-    from gridloom.llm.packing import pack
+    """Packs the documents' tokens into sequences of 4096: of equal lengths in the order of the mix, if the documents come from files."""
+    from gridloom.llm.packing import has_places, pack
 
-    return pack(docs, tokenizer_path())
+    return pack(docs, tokenizer_path(), in_order=has_places(docs))
 
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packing", packing)]

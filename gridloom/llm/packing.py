@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,8 @@ def _pieces(path: str, capacity: int, end_id: int) -> Callable:
                     own = np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4")
                     rows += [(lo + i, k, s, min(capacity, len(own) - s), zlib.crc32(own[s : s + capacity])) for k, s in enumerate(range(0, len(own), capacity))]
                 row, piece, start, length, crc = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                further = [c for c in batch.schema.names if c not in ("doc_id", "text_")]
+                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *(batch.column(c).take(pa.array(row)) for c in further)], ["doc_id", "piece", "start", "length", "ids_crc32", *further])
 
     return released(run)
 
@@ -278,16 +280,28 @@ def _placed(table: dict[int, tuple[np.ndarray, ...]]) -> Callable:
     return released(run)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def has_places(docs: DataFrame) -> bool:
+    """Whether the rows come straight from files that number them, so that their order is known."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = 4096, end_id: int = 1, in_order: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece of the end id alone. Rows are packed one by one: rows with equal ids
     or equal texts are separate documents, a null id stays null. An empty table gives no rows. Other
-    columns are not read. Only documents longer than the capacity are cut.
+    columns are not read. Only documents longer than the capacity are cut. Pieces of one length are dealt to the sequences that take
+    such in the order of the ids' md5; if in_order, in the order of docs' rows, which come straight from files: by the names
+    of the files, then by the rows in them.
     """
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text_"))
-    pieces = cut(texts.mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECES), "pieces")
+    wanted = [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text_")]
+    place = [F.col("_metadata.file_name").alias("file_"), F.col("_metadata.row_index").alias("row_")] if in_order else []
+    pieces = cut(docs.select(*wanted, *place).mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECES + ", file_ string, row_ long" * in_order), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     table = place_table(plan_packing(histogram, capacity))
-    ranked = rank_within(pieces, "length", ["doc_id", "piece", "start", "ids_crc32"])
+    ranked = rank_within(pieces, "length", ["row_", "piece"], group="file_") if in_order else rank_within(pieces, "length", ["doc_id", "piece", "start", "ids_crc32"])
     return ranked.mapInArrow(_placed(table), PIECES + ", sequence_id long, offset long")

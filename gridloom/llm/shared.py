@@ -164,18 +164,26 @@ def held_out_mod(modulus: int, column: str = "doc_id"):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
-def rank_within(df: DataFrame, key: str, order: list[str], rows_per_group: int = 100_000) -> DataFrame:
-    """df with rank_: 0-based place of each row among those of its key, by md5 of the order columns and then them.
+def rank_within(df: DataFrame, key: str, order: list[str], rows_per_group: int = 100_000, group: str | None = None) -> DataFrame:
+    """df with rank_: 0-based place of each row among those of its key, by md5 of the order columns and then them; with
+    `group`, a column that deals all rows to groups of bounded size, by that and then the order columns.
 
     A key may hold any share of the rows: each key is dealt to as many groups as its largest key needs, ranked
     inside its group, and moved on by the sum of the groups before it. Only counts by (key, group) are
     summed, never the rows of a key in one task."""
-    from pyspark.sql import Window
-
+    if group is not None:
+        return _ranked(df.withColumn("tag_", F.lit("")).withColumn("group_", F.col(group)), key, order)
     tag = F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in order]))
     top = df.groupBy(key).count().agg(F.max("count")).first()[0] or 1
     groups = max(256, -(-top // rows_per_group))
     tagged = df.withColumn("tag_", tag).withColumn("group_", F.floor(F.conv(F.substring("tag_", 1, 8), 16, 10).cast("double") * F.lit(groups / 2.0**32)).cast("int"))
+    return _ranked(tagged, key, order)
+
+
+def _ranked(tagged: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rank_ by group_, tag_ and the order columns."""
+    from pyspark.sql import Window
+
     sizes = tagged.groupBy(key, "group_").agg(F.count(F.lit(1)).alias("size_"))
     # Sums over at most `groups` rows a key.
     before = sizes.withColumn("before_", F.sum("size_").over(Window.partitionBy(key).orderBy("group_").rowsBetween(Window.unboundedPreceding, -1)))

@@ -38,6 +38,21 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, again[key].values)) == sorted(map(tuple, packed[key].values))
 
 
+def test_packing_follows_the_mix(spark, tmp_path):
+    """Pieces of one length fill the sequences in the order that mixture wrote, by turns from each source."""
+    rows = [(i * 7919 % 1000, "word " * 500, "en", "s0" if i < 200 else "s1", 2500) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    stages["mixture"](spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    written = [r[0] for f in sorted((tmp_path / "mixed").glob("*.parquet")) for r in spark.read.parquet(str(f)).select("doc_id", "_metadata.row_index").orderBy("row_index").collect()]
+    packed = stages["packing"](spark, mixed, SF).orderBy("sequence_id", "offset").collect()
+    assert len({r.length for r in packed}) == 1
+    assert [r.doc_id for r in packed] == written
+    source = {r[0]: r[3] for r in rows}
+    assert {source[i] for i in written[:128]} == {"s0", "s1"}
+
+
 def test_stages_with_odd_rows(spark):
     """Nulls in any column, empty and long texts, repeats, further columns and empty tables."""
     rows = [(None, "a text", "en", "s", 1), (900001, None, None, None, None), (900002, "", "en", "s", 0), (900003, "word " * 60_000, "en", "s", 9), (900004, "plain words of a text", "en", None, 3), (900004, "plain words of a text", "en", None, 3)]
