@@ -132,10 +132,13 @@ def overlap_needed(n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
     return -(-threshold * (n + m) // (100 + threshold))
 
 
-def _postings(width: int, threshold: int, counts: np.ndarray) -> Callable:
-    """kind 0: an n-gram of a set's prefix (key) with the set's size and the place (pos); kind 1: its parities."""
+def _postings(width: int, threshold: int, ordering: bytes) -> Callable:
+    """An n-gram of a set's prefix (key) with the set's size and the place (pos). ordering: what packed_order gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
+        counts = np.frombuffer(zlib.decompress(ordering), np.int32)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in text_slices(batch.column(0), batch.column(1)):
@@ -164,6 +167,13 @@ def _postings(width: int, threshold: int, counts: np.ndarray) -> Callable:
     return released(run)
 
 
+def packed_order(counts: np.ndarray) -> bytes:
+    """The order of the counts, equal ones alike, in as few bytes as go with the code to the tasks."""
+    import zlib
+
+    return zlib.compress(np.unique(counts, return_inverse=True)[1].astype(np.int32).tobytes(), 6)
+
+
 def parities(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
     """For each set the parities of its n-grams on PARITY bits, or on as many as it has n-grams (the next power of two):
     each bit in which two sets differ stands for at least one n-gram that only one of them has. Folding the
@@ -214,10 +224,13 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["kind", "bits"])
 
 
-def _whole_sets(width: int, marked: np.ndarray) -> Callable:
-    """(doc_id, fp, grams) of the documents whose id is marked."""
+def _whole_sets(width: int, bitmap: bytes) -> Callable:
+    """(doc_id, fp, grams) of the documents whose id is marked in the bitmap (compressed, for it goes with the code to the tasks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
+        marked = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8)).astype(bool)
         for batch in batches:
             batch = batch.filter(pa.array(marked[_id_bits(batch.column(0).to_numpy(zero_copy_only=False))]))
             for lo, hi, data, offsets in text_slices(batch.column(0), batch.column(1)):
@@ -232,11 +245,13 @@ def _sets_of(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The sets of the documents in pairs, from a bitmap of their ids (of fixed size) held against all documents:
     texts are not shuffled. What the bitmap lets pass by chance finds no partner in the exact joins that follow."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    import zlib
+
     parts = ids.mapInArrow(_marked, "kind int, bits binary").repartition(16, "kind").mapInArrow(_united, "kind int, bits binary").collect()
     marked = np.zeros((16, 1 << ID_BITS >> 7), np.uint8)
     for k, raw in parts:
         marked[k] |= np.frombuffer(raw, np.uint8)
-    found = texts.where("doc_id is not null").mapInArrow(_whole_sets(width, np.unpackbits(marked.ravel()).astype(bool)), "doc_id long, fp long, grams binary")
+    found = texts.where("doc_id is not null").mapInArrow(_whole_sets(width, zlib.compress(marked.tobytes(), 1)), "doc_id long, fp long, grams binary")
     return cut(found, "jaccard-near")
 
 
@@ -504,7 +519,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: int = 90, id_
     for k, raw in parts:
         counts[k * CHUNK : (k + 1) * CHUNK] += np.frombuffer(raw, np.int64)
 
-    lists = texts.where("doc_id is not null").mapInArrow(_postings(width, threshold, counts), "key long, n int, pos int, fp long, doc_id long")
+    lists = texts.where("doc_id is not null").mapInArrow(_postings(width, threshold, packed_order(counts)), "key long, n int, pos int, fp long, doc_id long")
     lists = lists.repartition("key").sortWithinPartitions("key", "n", "fp", "doc_id")
     shared = cut(lists.mapInArrow(released(_shared), "key long, n int, pos int, fp long, doc_id long"), "jaccard-lists")
     bits = first.where("kind = -1 and doc_id is not null").select("doc_id", F.col("fp1").alias("fp"), "bits", "short").dropDuplicates(["doc_id", "fp"])
@@ -541,20 +556,28 @@ def jaccard_components(docs: DataFrame, width: int = 3, threshold: int = 90, id_
     groups = listed_now.groupBy("key", "leader", "leader_fp", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("reach"), F.max("apart").alias("wide"))
     met = compared(groups.withColumnsRenamed({"leader": "doc_id", "leader_fp": "fp"}), "jaccard-met")
 
-    # Groups that are open still: their members lead themselves.
-    known = connected_components(links.union(met.where("linked")).select("a", "b"), "jaccard-components")
-    open_ = met.where("not linked")
-    leaders = open_.select(F.col("a").alias("leader"), F.col("a_fp").alias("leader_fp")).union(open_.select("b", "b_fp")).distinct()
-    sets = own.join(leaders, ["leader", "leader_fp"], "left_semi").select("doc_id", "fp").union(leaders).distinct()
-    members = with_component(listed_now.drop("component").join(sets, ["doc_id", "fp"], "left_semi"), known)
-    more = compared(members.select("key", F.col("n").alias("lo"), F.col("n").alias("hi"), (F.col("n") - F.col("pos")).alias("reach"), F.lit(0).cast("long").alias("wide"), "doc_id", "fp", "component"), "jaccard-members").where("linked")
+    # Components so far stand for the links that made them: stars, which need fewer rounds than the links.
+    def joined(known: DataFrame, links: DataFrame) -> DataFrame:
+        return known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b"))
+
+    # Groups that are open still: their members lead themselves. Mostly there are none.
+    answers = met.agg(F.count_if("linked").alias("linked"), F.count_if(~F.col("linked")).alias("open")).first()
+    if answers["linked"]:
+        known = connected_components(joined(known, met.where("linked")), "jaccard-components")
+    pairs = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if answers["open"]:
+        open_ = met.where("not linked")
+        leaders = open_.select(F.col("a").alias("leader"), F.col("a_fp").alias("leader_fp")).union(open_.select("b", "b_fp")).distinct()
+        sets = own.join(leaders, ["leader", "leader_fp"], "left_semi").select("doc_id", "fp").union(leaders).distinct()
+        members = with_component(listed_now.drop("component").join(sets, ["doc_id", "fp"], "left_semi"), known)
+        more = compared(members.select("key", F.col("n").alias("lo"), F.col("n").alias("hi"), (F.col("n") - F.col("pos")).alias("reach"), F.lit(0).cast("long").alias("wide"), "doc_id", "fp", "component"), "jaccard-members").where("linked")
+        pairs = joined(known, more)
 
     # Equal sets: each row with the smallest id of its class.
     classes = rows.where("n > 0 and doc_id is not null")
     least = classes.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("least_"))
     same = classes.join(least, ["fp1", "fp2", "n"]).where("doc_id <> least_").select(F.col("doc_id").alias("a"), F.col("least_").alias("b"))
-    found = links.union(met.where("linked")).union(more).select("a", "b")
-    final = connected_components(found.union(same), "jaccard-components")
+    final = connected_components(pairs.union(same), "jaccard-components")
     out = rows.join(final, rows["doc_id"] == final["node"], "left")
     return out.select(rows["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("component", rows["doc_id"]).alias("component_id"))
 

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gridloom import storage
+from gridloom.llm import jaccard_join
 from gridloom.llm.components import connected_components
 from gridloom.llm.embedding_dedup import near_duplicate_vectors
 from gridloom.llm.jaccard_join import jaccard_components, keep_one
@@ -63,6 +65,23 @@ def test_jaccard_edges(spark):
     assert keep_one(odd.limit(0), 3, 90).collect() == []
 
 
+def test_components_are_found_again_only_where_needed(spark, monkeypatch):
+    """Without groups left open the links' components are found once, and once more with the equal sets; codes of tasks stay small."""
+    rows = [(i, " ".join(f"t{i // 3}w{k}" for k in range(40)) + f" end{i % 3}") for i in range(60)] + [(100, "t0w1 " * 5)]
+    calls = []
+
+    def counted(edges, *rest):
+        calls.append(edges.columns)
+        return connected_components(edges, *rest)
+
+    monkeypatch.setattr(jaccard_join, "connected_components", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_components(df, 3, 90).collect()}
+    assert got == brute.jaccard(rows, 3, 90)
+    assert len(calls) == 2
+    assert len(cloudpickle.dumps(jaccard_join._postings(3, 90, jaccard_join.packed_order(np.arange(1 << 20) % 97)))) < 4 << 20
+
+
 def test_vectors_equal_brute_force(spark):
     r = np.random.default_rng(3)
     ids, vectors = [], []
