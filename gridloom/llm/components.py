@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
+FOREST = "u long, v long"
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) for every node of the edges but the smallest ones."""
@@ -54,31 +56,28 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
     """(node, component): component is the smallest node reachable; nodes without an edge are not listed.
 
     edges: two long columns. Null ends and self-loops are ignored, edges may repeat and come either way.
-    Each task first contracts the edges that it holds to a forest, then large-star and small-star rounds
-    run until nothing changes. Every round is written to the shared checkpoint folder."""
+    Each task contracts the edges that it holds to a forest, before and after they are shuffled; large-star and small-star
+    rounds, contracted likewise, run until only stars are left. Every round is written to the shared checkpoint folder, in place of the round before."""
     a, b = edges.columns[:2]
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = cut(e.mapInArrow(_contract, "u long, v long").distinct(), name)
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first())
-
-    seen = mark(e)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
+    e = cut(e.mapInArrow(_contract, FOREST).distinct().mapInArrow(_contract, FOREST), name)
+    rounds = 0
+    while not _only_stars(e):
+        rounds += 1
+        if rounds > most_rounds:
+            raise RuntimeError("components did not settle")
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.where(F.col("u") != F.col("v")).distinct()
         low = small.groupBy("u").agg(F.min("v").alias("m"))
         joined = small.join(low, "u")
-        e = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(e, name, instead_of=e)
-        now = mark(e)
-        if now == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        both = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        e = cut(both.mapInArrow(_contract, FOREST), name, instead_of=e)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v")).distinct()
+
+
+def _only_stars(e: DataFrame) -> bool:
+    """Whether each u of the edges (u, v), u > v, has one v that is no u itself: then v is its component."""
+    ends = e.select(F.col("u").alias("x"), "v", F.lit(0).alias("root")).union(e.select("v", F.lit(None).cast("long"), F.lit(1)))
+    return ends.groupBy("x").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("root").alias("root")).where("lo < hi or (lo is not null and root = 1)").isEmpty()

@@ -251,8 +251,7 @@ def _sets_of(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     marked = np.zeros((16, 1 << ID_BITS >> 7), np.uint8)
     for k, raw in parts:
         marked[k] |= np.frombuffer(raw, np.uint8)
-    found = texts.where("doc_id is not null").mapInArrow(_whole_sets(width, zlib.compress(marked.tobytes(), 1)), "doc_id long, fp long, grams binary")
-    return cut(found, "jaccard-near")
+    return texts.where("doc_id is not null").mapInArrow(_whole_sets(width, zlib.compress(marked.tobytes(), 1)), "doc_id long, fp long, grams binary")
 
 
 # ---------------------------------------------------------------- lists
@@ -473,10 +472,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int, na
     # How many tasks a leader's followers need, of those that need more than one.
     many = pairs.groupBy("a", "a_fp").agg(F.count(F.lit(1)).alias("k_")).where(F.col("k_") > FOLLOWERS).select("a", "a_fp", F.ceil(F.col("k_") / FOLLOWERS).cast("int").alias("parts_"))
     dealt = pairs.join(many, ["a", "a_fp"], "left").withColumn("part", F.coalesce(F.pmod(F.hash("b", "b_fp"), F.col("parts_")), F.lit(0))).drop("parts_")
-    follower = dealt.join(sets.select(F.col("doc_id").alias("b"), F.col("fp").alias("b_fp"), "grams"), ["b", "b_fp"]).select("a", "a_fp", "part", "b", "b_fp", "bound", "grams")
-    own = dealt.select("a", "a_fp", "part").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("fp").alias("a_fp"), "grams"), ["a", "a_fp"])
-    leader = own.select("a", "a_fp", "part", F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("b_fp"), F.lit(0).cast("long").alias("bound"), "grams")
-    stream = follower.unionByName(leader).repartition("a", "a_fp", "part").sortWithinPartitions("a", "a_fp", "part", F.col("b").asc_nulls_first())
+    follower = dealt.select(F.col("b").alias("doc_id"), F.col("b_fp").alias("fp"), "a", "a_fp", "part", "b", "b_fp", "bound")
+    leader = dealt.select("a", "a_fp", "part").distinct().select(F.col("a").alias("doc_id"), F.col("a_fp").alias("fp"), "a", "a_fp", "part", F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("b_fp"), F.lit(0).cast("long").alias("bound"))
+    # Leaders and followers ask for their sets in one join, so that the sets move once and are not written.
+    stream = follower.unionByName(leader).join(sets, ["doc_id", "fp"]).drop("doc_id", "fp")
+    stream = stream.repartition("a", "a_fp", "part").sortWithinPartitions("a", "a_fp", "part", F.col("b").asc_nulls_first())
     return cut(stream.mapInArrow(_verify(threshold), PAIR + ", apart long, linked boolean"), name)
 
 

@@ -1,6 +1,8 @@
 """Joins and near-duplicates against brute force."""
 
+import pathlib
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gridloom import storage
-from gridloom.llm import jaccard_join
+from gridloom.llm import components, jaccard_join
 from gridloom.llm.components import connected_components
 from gridloom.llm.embedding_dedup import near_duplicate_vectors
 from gridloom.llm.jaccard_join import jaccard_components, keep_one
@@ -140,3 +142,37 @@ def test_components_of_chains_and_stars(spark):
     touched = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {x: low[x] for x in touched}
     assert connected_components(df.limit(0)).collect() == []
+
+
+def test_sets_and_settled_components_are_not_written_again(spark, monkeypatch):
+    """Every file that a task writes costs its executor a few processes and every round some twenty stages: sets for verification
+    stay in their shuffle, stars are told from one look, and a round's files give way to those of the next."""
+    names = []
+
+    def told(df, name, instead_of=None):
+        names.append(name)
+        return storage.cut(df, name, instead_of)
+
+    monkeypatch.setattr(components, "cut", told)
+    monkeypatch.setattr(jaccard_join, "cut", told)
+    rows = _texts()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 90).collect()}
+    assert got == brute.jaccard(rows, 3, 90)
+    assert names.count("jaccard-near") == names.count("jaccard-links") + names.count("jaccard-met") + names.count("jaccard-members")
+    # What meets in one task after the shuffle needs no round.
+    names.clear()
+    chain = spark.createDataFrame([(k, k + 1) for k in range(400)] + [(k, 500) for k in range(501, 590)], "a long, b long").repartition(40)
+    want = {k: 0 if k < 500 else 500 for k in [*range(401), *range(500, 590)]}
+    assert {x.node: x.component for x in connected_components(chain, "short").collect()} == want
+    assert names == ["short"]
+    # Where it stays dealt, rounds are needed, and one folder is left of them.
+    names.clear()
+    chain_name = f"chain-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [(x.node, x.component) for x in connected_components(chain, chain_name).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(got) == sorted(want.items())
+    folder = pathlib.Path(storage.checkpoint_root(spark).removeprefix("file:"), "gridloom")
+    assert len(names) > 1 and len(list(folder.glob(f"{chain_name}-*"))) == 1
