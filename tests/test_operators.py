@@ -166,6 +166,41 @@ def test_bridges_join_islands_at_the_nearest_cells(spark):
     assert graph.contiguity(graph.components(one, "district", bridges=graph.bridges(labelled))).first().ok
 
 
+def test_bridges_are_nearest_over_wide_water(spark):
+    """Parts far apart, of all sizes, on both sides of 0, in two states: blocks of several sizes, and ties."""
+    r = random.Random(3)
+    parts = {}
+    for state, spread in (("S", 700), ("T", 25)):
+        for _ in range(14):
+            i, j, h, w = r.randrange(-spread, spread), r.randrange(-spread, spread), r.randrange(1, 12), r.randrange(1, 12)
+            for k in range(h):
+                parts |= {(state, i + k, j + n): 1 for n in range(w) if r.random() < 0.8}
+    labelled = graph.components(spark.createDataFrame([(*k, v) for k, v in parts.items()], CELL))
+    of = {(x.state, x.r, x.c): (x.comp_r, x.comp_c) for x in labelled.collect()}
+    want = set()
+    for state in "ST":
+        own = {}
+        for (s, i, j), k in of.items():
+            if s == state:
+                own.setdefault(k, []).append((i, j))
+        main = min(own, key=lambda k: (-len(own[k]), k))
+        want |= {(state, *x[1], *x[2], x[0]) for x in (min(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2, a, b) for a in own[k] for b in own[main]) for k in own if k != main)}
+    assert len(want) > 25
+    assert {tuple(x) for x in graph.bridges(labelled).collect()} == want
+
+
+def test_bridges_of_long_coasts_compare_no_pair_of_all_cells(spark):
+    """Two coasts of 20,000 cells face each other: with all rows of the other they make 400 million pairs, which took minutes."""
+    import time
+
+    n = 20000
+    coast = spark.range(n).select(F.lit("S").alias("state"), F.col("id").cast("int").alias("r"), F.explode(F.array(F.lit(0), F.lit(3))).alias("c"), F.lit(1).cast("long").alias("pop"))
+    labelled = coast.where(f"c = 0 OR r < {n - 5}").withColumn("comp_r", F.lit(0)).withColumn("comp_c", F.col("c"))
+    began = time.monotonic()
+    assert [tuple(x) for x in graph.bridges(labelled).collect()] == [("S", 0, 3, 0, 0, 9)]
+    assert time.monotonic() - began < 60
+
+
 def test_spiral_is_one_component(spark):
     path, (r, c), (dr, dc), n = {(0, 0)}, (0, 0), (0, 1), 20
     for leg in range(n):
