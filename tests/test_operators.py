@@ -396,6 +396,44 @@ def test_a_large_state_is_repaired_within_a_minute():
     assert b.worst() <= 0.009 * b.ideal
 
 
+def test_a_long_narrow_state_in_scattered_pieces_is_repaired_soon():
+    """Most border cells of long narrow districts part them: a search over the district for each of them took minutes."""
+    import time
+
+    r = random.Random(2)
+    pop = {(i, j): max(0, int(r.gauss(2500, 800))) for i in range(1800) for j in range(8) if r.random() < 0.95}
+    began = time.monotonic()
+    b = repair.repair(pop, {(i, j): 1 + i % 600 * 5 // 600 for i, j in pop}, 5, sum(pop.values()) / 5)
+    assert time.monotonic() - began < 30
+    assert (b.orphan_pieces, b.orphan_cells, b.moves) == (20, 14608, 4820) and sum(b.people) == sum(pop.values())
+
+
+@pytest.mark.parametrize("kept", [40, repair.KEPT])
+def test_kept_parts_answer_as_a_search_does(kept, monkeypatch):
+    """Cells go to and fro, some by bridges: whether a cell may leave its district is what its neighbours' pieces say."""
+    monkeypatch.setattr(repair, "KEPT", kept)
+    r = random.Random(7)
+    land = [(i, j) for i in range(14) for j in range(9) if r.random() < 0.8]
+    links = [tuple(r.sample(land, 2)) for _ in range(3)]
+    b = repair.Board({k: 1 for k in land}, {k: 1 + (k[0] // 5 + r.randrange(4) // 3) % 3 for k in land}, 3, len(land) / 3, links)
+    said = {True: 0, False: 0}
+    for _ in range(300):
+        for i in r.sample(range(len(land)), 40):
+            rest = b.own[b.of[i]] - {i}
+            beside = {j for j in b.near[i] if j in rest}
+            plain = bool(beside) and any(beside <= p for p in b.pieces(rest))
+            assert b.free(i) == plain
+            said[plain] += 1
+        i = r.randrange(len(land))
+        b.give([i], r.choice([1, 2, 3]))
+        if r.random() < 0.2:
+            b.back_to(max(0, len(b.log) - 3))
+    assert min(said.values()) > 500 and b.kept == sum(len(p) for own in b.parted for p in own.values())
+    for _ in range(50):
+        (x, y), d = (r.randrange(-5, 20), r.randrange(-5, 20)), r.choice([1, 2, 3])
+        assert b._nearest(x, y, d) == min((max(abs(i - x), abs(j - y)), b.of[k]) for k, (i, j) in enumerate(b.cells) if b.of[k] != d)[1]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_repair_keeps_people_and_joins_districts(seed):
     r = random.Random(seed)
