@@ -6,12 +6,13 @@ import random
 import struct
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
 from gridloom.operators import demography, grid, kernels, orders, outline, raster, repair, verify
-from gridloom.plans import batch, engine, states
+from gridloom.plans import batch, catalog, engine, states
 from gridloom.plans.census import Census
 from gridloom.plans.ledger import Ledger
 from gridloom.sources import binary, readers, writers
@@ -225,6 +226,18 @@ def test_maps_are_those_that_were_frozen(spark):
     assert {r.verdict for r in verify.against_frozen(hashes, frozen.limit(0)).collect()} == {"new"}
 
 
+def test_a_grid_that_was_never_frozen_has_no_row_as_in_the_sql(spark, tmp_path):
+    """One state's people change: its grid has no frozen hash; the others are held against theirs."""
+    orders_ = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    orders_.withColumn("o_totalprice", F.when(F.col("o_custkey") == 3, 77000.0).otherwise(F.col("o_totalprice"))).write.parquet(str(tmp_path / "orders.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    got = catalog.QUERIES["frozen_hashes"](spark, str(tmp_path)).toPandas()
+    want = db.execute(catalog.ORACLES["frozen_hashes"]).df()
+    assert sorted(got["key"]) == [f"{k}|splitline" for k in range(1, 5)]
+    assert sorted(got[list(want.columns)].itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
+
+
 # ---------------------------------------------------------------- maps of a state
 
 
